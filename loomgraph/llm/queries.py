@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph import runtime
-from loomgraph.llm import packing, tokens
+from loomgraph.llm import audio, html_text, langid, packing, tokens
 
 #: The vocabulary file of the token operators; a parameter of each of them.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,18 +17,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    return langid.identify(docs, ["doc_id", "held_out"])
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(packing.cut_documents(docs, VOCABULARY)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_features(_table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return tokens.read_token_files(tokens.write_token_files(docs, VOCABULARY, runtime.fresh_path(spark, "token_files")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op2_language_id, op4_best_fit_packing, op5_audio_features, op6_html_extraction, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
