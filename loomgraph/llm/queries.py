@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import runtime
-from loomgraph.llm import audio, html_text, langid, packing, tokens
+from loomgraph.llm import audio, html_text, langid, packing, repeats, tokens
 
 #: The vocabulary file of the token operators; a parameter of each of them.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,13 +35,17 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return tokens.read_token_files(tokens.write_token_files(docs, VOCABULARY, runtime.fresh_path(spark, "token_files")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op4_best_fit_packing, op5_audio_features, op6_html_extraction, op10_token_files)}
+    return {f.__name__: f for f in (op2_language_id, op4_best_fit_packing, op5_audio_features, op6_html_extraction, op9_substring_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
