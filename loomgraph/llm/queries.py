@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import runtime
-from loomgraph.llm import audio, html_text, langid, packing, repeats, tokens
+from loomgraph.llm import audio, decontam, html_text, langid, packing, repeats, secret_scan, tokens
 
 #: The vocabulary file of the token operators; a parameter of each of them.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
     return langid.identify(docs, ["doc_id", "held_out"])
@@ -35,6 +39,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
 
@@ -45,7 +53,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op4_best_fit_packing, op5_audio_features, op6_html_extraction, op9_substring_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op4_best_fit_packing, op5_audio_features, op6_html_extraction, op8_secret_scan, op9_substring_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
