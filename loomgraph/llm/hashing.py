@@ -9,7 +9,7 @@ import xxhash
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; bounded, emptied when full."""
 
-    def __init__(self, seed: int = 0, most: int = 2_000_000):
+    def __init__(self, seed: int = 0, most: int = 500_000):
         super().__init__()
         self.seed, self.most = seed, most
 

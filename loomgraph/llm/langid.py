@@ -77,11 +77,11 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, dimensions: int = 1 << 13, margin: float = 0.2, most_languages: int = 1000) -> Model:
+def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, dimensions: int = 1 << 13, margin: float = 0.2, most_languages: int = 1000, most_rows: int = 6000) -> Model:
     """Fit a model on labelled(doc_id, text, lang), rows with null lang or text left out.
 
     The fit uses a bounded sample: about `per_language` rows of each language, chosen by a hash of doc_id with a
-    threshold from the language's row count (all rows where it has fewer). Whole texts are turned into sparse
+    threshold from the language's row count (all rows where it has fewer), about `most_rows` in all. Whole texts are turned into sparse
     vectors on the executors; only those come to the driver, at most `dimensions` numbers a row. Languages are
     as many as `lang` has values, `most_languages` at most. Fails if no row is labelled.
     """
@@ -91,6 +91,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, dimen
         raise ValueError("no labelled rows to learn from")
     if len(counts) > most_languages:
         raise ValueError(f"lang has more than {most_languages} values")
+    per_language = min(per_language, most_rows / len(counts))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, per_language / n)])
     draw = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(draw < share[F.col("lang")]).select("id", "lang", "text")

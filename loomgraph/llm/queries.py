@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import runtime
-from loomgraph.llm import audio, decontam, html_text, langid, packing, repeats, secret_scan, tokens
+from loomgraph.llm import audio, decontam, edit_counts, html_text, jaccard, langid, packing, repeats, secret_scan, tokens
 
 #: The vocabulary file of the token operators; a parameter of each of them.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, ["doc_id", "held_out"])
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(packing.cut_documents(docs, VOCABULARY)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -39,6 +43,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.edited_counts(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op4_best_fit_packing, op5_audio_features, op6_html_extraction, op8_secret_scan, op9_substring_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_ngram_jaccard_join, op4_best_fit_packing, op5_audio_features, op6_html_extraction, op7_token_counts, op8_secret_scan, op9_substring_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

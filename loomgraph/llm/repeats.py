@@ -227,7 +227,7 @@ def _repeated(batches, most: int):
         yield from solve(carried[0].combine_chunks())
 
 
-def repeated_windows(docs: DataFrame, length: int = 35, rounds: int = 2, at_once: int = 1_000_000, most: int = 4096) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 35, rounds: int = 2, at_once: int = 400_000, most: int = 4096) -> DataFrame:
     """Windows of docs(k1, k2, text) that occur more than once: (k1, k2, first, n) runs of window starts.
 
     (k1, k2) names a row; rows with equal names must have equal texts, and each counts as an occurrence. Runs of
