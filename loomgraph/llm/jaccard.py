@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import runtime
-from loomgraph.llm.hashing import chain, hashes, mix
+from loomgraph.llm.hashing import BASE, chain, hashes, mix
 from loomgraph.operators.connectivity import connected_components
 
 PERCENT = 85
@@ -260,7 +260,7 @@ CELLS = "cell long, node long, set binary, root long, far double, pivot long"
 
 
 def _to_cells(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Members of a region (region, salt, node, set) against its pivots (region, salt, node, set): their cells.
+    """Members of a region (region, salt, node, set) against its pivots (the same, named c_...): their cells.
 
     A row for each cell whose window a member is in: its distance from the cell's pivot, and its root: the pivot it
     is linked to (of linked pivots the first), or itself. `pivot` is set in one row of each linked member.
@@ -268,9 +268,9 @@ def _to_cells(left: pa.Table, right: pa.Table) -> pa.Table:
     out: dict[str, list] = {n.split()[0]: [] for n in CELLS.split(", ")}
     kinds = {"cell": pa.int64(), "node": pa.int64(), "set": pa.binary(), "root": pa.int64(), "far": pa.float64(), "pivot": pa.int64()}
     if left.num_rows and right.num_rows:
-        right = right.sort_by("node")
-        pivots, n = right["node"].to_numpy(), right.num_rows
-        region = _Region([np.frombuffer(s, "<u8") for s in [*right["set"].to_pylist(), *left["set"].to_pylist()]])
+        right = right.sort_by("c_node")
+        pivots, n = right["c_node"].to_numpy(), right.num_rows
+        region = _Region([np.frombuffer(s, "<u8") for s in [*right["c_set"].to_pylist(), *left["set"].to_pylist()]])
         everyone = np.arange(n + left.num_rows)
         part, far, linked = region.part(everyone), np.empty((n, everyone.size)), np.full(everyone.size, -1)
         for k in range(n):
@@ -279,7 +279,7 @@ def _to_cells(left: pa.Table, right: pa.Table) -> pa.Table:
             linked[(linked < 0) & links(shared, region.size[k], region.size)] = k
             region.link(k, everyone[:n], shared[:n])
         nearest = far.min(axis=0)
-        salted = mix(pivots.astype(np.uint64) + np.uint64(left["region"][0].as_py() % (1 << 64)) * np.uint64(0x9E3779B97F4A7C15))
+        salted = mix(pivots.view(np.uint64) + left["region"].to_numpy()[:1].view(np.uint64) * BASE)
         for x, (node, s) in enumerate(zip(left["node"].to_pylist(), left["set"].to_pylist(), strict=True), n):
             root = int(pivots[region.root[linked[x]]]) if linked[x] >= 0 else node
             pivot = int(pivots[linked[x]]) if linked[x] >= 0 else None
@@ -296,7 +296,8 @@ def _divide(members: DataFrame, most: int, pivots: int) -> tuple[DataFrame, Data
     salts = members.groupBy("region").agg(F.ceil(F.count("*") / most).cast("int").alias("salts"))
     dealt = members.join(salts, "region").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select("region", "salt", "node", "set")
     centres = picked.join(salts, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "node", "set")
-    cells = dealt.groupBy("region", "salt").cogroup(centres.groupBy("region", "salt")).applyInArrow(_to_cells, CELLS)
+    centres = centres.toDF("c_region", "c_salt", "c_node", "c_set")
+    cells = dealt.groupBy("region", "salt").cogroup(centres.groupBy("c_region", "c_salt")).applyInArrow(_to_cells, CELLS)
     cells = runtime.materialise(cells, "voronoi_cells")
     found = cells.where("pivot is not null").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
     roots = cells.groupBy("cell", "root").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))
@@ -319,9 +320,9 @@ def _blocks(members: DataFrame, most: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots: int = 16, depth: int = 4) -> DataFrame:
-    """Rows of docs(doc_id, text) with the set class of each and its component: doc_id, n_shingles, node, component.
+    """Rows of docs(doc_id, text) with the set class of each and its component.
 
-    `node` names the document's shingle set (null where it is empty) and `component` the linked classes (the node
+    Returns doc_id, row (a hash of doc_id and text), n_shingles, node, component. `node` names the document's shingle set (null where it is empty) and `component` the linked classes (the node
     itself where nothing links). Every row comes back, repeated rows and null doc_ids too; null and empty texts have
     n_shingles 0 and link with nothing; whole texts are read; other columns are not. Regions of more than `most`
     classes are divided over tasks, at most `depth` times, and then compared in pairs of blocks.
@@ -385,7 +386,7 @@ def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots:
     else:
         joined = connected_components(stars.union(linked)).select(F.col("id").alias("node"), "component")
     joined = runtime.materialise(joined.distinct(), "linked_classes")
-    return own.join(joined, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
+    return own.join(joined, "node", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
 
 
 def components(docs: DataFrame, **parameters) -> DataFrame:
@@ -396,3 +397,16 @@ def components(docs: DataFrame, **parameters) -> DataFrame:
     rows = runtime.materialise(classes(docs, **parameters), "components_of_documents")
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that stay when one document of each component does: the least doc_id's.
+
+    Of repeated rows one stays; documents without a word link with nothing and all stay. All columns are kept.
+    """
+    rows = classes(docs, **parameters).where("component is not null")
+    winners = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("w")).select(F.col("w.row").alias("__row")).distinct()
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = docs.where(worded).withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    kept = named.join(winners, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    return kept.unionByName(docs.where(~worded))
