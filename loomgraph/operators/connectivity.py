@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.graph import BWD, Graph, relabel, to_directed
+from loomgraph.plans.iterate import levels
 from loomgraph.runtime import discard, materialise
 
 
@@ -61,3 +63,135 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("v").alias("id")).union(loops.select(F.col("u").alias("id"))).distinct().join(now.select(F.col("u").alias("id")), "id", "left_anti")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
+
+
+def is_connected(g: Graph) -> DataFrame:
+    """One row (connected): whether every vertex is reached forward from the one of least id; true for no vertices."""
+    first = g.vertices.agg(F.min("id").alias("id")).where("id is not null")
+    reached = levels(g.edges, first.select(F.col("id").alias("s"), F.col("id").alias("v")))
+    n = g.vertices.agg(F.count("*").alias("n"))
+    return reached.agg(F.count("*").alias("k")).crossJoin(n).select((F.col("k") == F.col("n")).alias("connected"))  # one row each
+
+
+def strongly_connected_components(g: Graph, max_rounds: int = 100_000) -> DataFrame:
+    """(id, component, round): components named by their least id.
+
+    Each round first trims vertices without in- or out-edges among the rest, then gives every vertex the least id
+    that reaches it, and takes as the component of that id what reaches it within its colour.
+    """
+    rest = materialise(g.vertices.select("id"), "scc_rest")
+    arcs = materialise(g.edges.where("src <> dst").select("src", "dst").distinct(), "scc_arcs")
+    done = None
+
+    def add(rows):
+        nonlocal done
+        done = rows if done is None else done.union(rows)
+
+    for k in range(max_rounds):
+        if rest.isEmpty():
+            break
+        ends = arcs.select(F.col("src").alias("id")).intersect(arcs.select(F.col("dst").alias("id")))
+        alone = materialise(rest.join(ends, "id", "left_anti"), "scc_alone")
+        if not alone.isEmpty():
+            add(alone.select("id", F.col("id").alias("component"), F.lit(k).alias("round")))
+            rest = materialise(rest.join(alone, "id", "left_anti"), "scc_rest")
+            arcs = materialise(arcs.join(alone.select(F.col("id").alias("src")), "src", "left_anti").join(alone.select(F.col("id").alias("dst")), "dst", "left_anti"), "scc_arcs")
+            continue
+        colour = materialise(rest.select("id", F.col("id").alias("c"), F.lit(True).alias("new")), "scc_colour")
+        while not colour.where("new").isEmpty():
+            got = colour.where("new").select(F.col("id").alias("src"), "c").join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+            lower = F.col("m").isNotNull() & (F.col("m") < F.col("c"))
+            colour = materialise(colour.drop("new").join(got, "id", "left").select("id", F.when(lower, F.col("m")).otherwise(F.col("c")).alias("c"), F.coalesce(lower, F.lit(False)).alias("new")), "scc_colour")
+        same = arcs.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst")
+        roots = colour.where("id = c").select(F.col("id").alias("s"), F.col("id").alias("v"))
+        found = materialise(levels(materialise(same, "scc_same"), roots, BWD).select(F.col("v").alias("id"), F.col("s").alias("component")), "scc_found")
+        add(found.select("id", "component", F.lit(k).alias("round")))
+        rest = materialise(rest.join(found, "id", "left_anti"), "scc_rest")
+        gone = found.select("id")
+        arcs = materialise(arcs.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"), "scc_arcs")
+    if done is None:
+        return g.vertices.select("id", F.col("id").alias("component"), F.lit(0).alias("round")).limit(0)
+    return done
+
+
+def largest_component(g: Graph) -> Graph:
+    """The largest weak component (ties: the one of the least id), its ids made dense in ascending order."""
+    found = connected_components(g.edges)
+    named = g.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    named = materialise(named, "components")
+    best = named.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    ids = materialise(relabel(Graph(named.join(best, "component", "left_semi").select("id"), g.edges)), "dense")
+    arcs = g.edges.join(ids.toDF("src", "s"), "src").join(ids.toDF("dst", "d"), "dst")
+    rest = [c for c in g.edges.columns if c not in ("src", "dst")]
+    return Graph(ids.select(F.col("new_id").alias("id")), arcs.select(F.col("s").alias("src"), F.col("d").alias("dst"), *rest))
+
+
+def by_component(g: Graph, kernel, schema: str, most_edges: int = 5_000_000) -> DataFrame:
+    """Run kernel(pairs) -> pandas frame on the simple undirected edges of each weak component, one task each.
+
+    For kernels that are sequential by nature. A component of more than `most_edges` edges fails loudly.
+    """
+    simple = materialise(to_directed(g.edges), "simple_edges")
+    found = connected_components(simple)
+    rows = simple.join(found.select(F.col("id").alias("src"), "component"), "src")
+    rows = materialise(rows.select("component", "src", "dst"), "component_edges")
+    if not rows.groupBy("component").count().where(F.col("count") > most_edges).isEmpty():
+        raise ValueError(f"a component has more than {most_edges} edges")
+
+    def run(pdf):
+        pairs = sorted(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))
+        return kernel(int(pdf["component"].iloc[0]), pairs)
+
+    return rows.groupBy("component").applyInPandas(run, schema)
+
+
+def low_links(pairs: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """The bridges of a simple undirected graph, by a depth-first search without recursion."""
+    near: dict[int, list[int]] = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    order: dict[int, int] = {}
+    low: dict[int, int] = {}
+    out = set()
+    for root in near:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        stack = [(root, None, iter(near[root]))]
+        while stack:
+            v, parent, rest = stack[-1]
+            for w in rest:
+                if w == parent:
+                    continue
+                if w in order:
+                    low[v] = min(low[v], order[w])
+                else:
+                    order[w] = low[w] = len(order)
+                    stack.append((w, v, iter(near[w])))
+                    break
+            else:
+                stack.pop()
+                if parent is not None:
+                    low[parent] = min(low[parent], low[v])
+                    if low[v] > order[parent]:
+                        out.add((min(v, parent), max(v, parent)))
+    return out
+
+
+def bridges(g: Graph) -> DataFrame:
+    """(src, dst) with src < dst: the edges of the simple undirected graph whose loss parts a component."""
+
+    def kernel(component, pairs):
+        import pandas as pd
+
+        return pd.DataFrame(sorted(low_links(pairs)), columns=["src", "dst"])
+
+    return by_component(g, kernel, "src long, dst long")
+
+
+def two_edge_components(g: Graph) -> DataFrame:
+    """(id, component): vertices joined by two edge-disjoint paths, named by their least id."""
+    rest = to_directed(g.edges).join(bridges(g), ["src", "dst"], "left_anti")
+    found = connected_components(rest)
+    return g.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
