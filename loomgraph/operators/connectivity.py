@@ -13,7 +13,7 @@ from loomgraph.runtime import discard, materialise
 
 
 def _forests(batches):
-    """Contract the edges of each batch to a forest: (vertex, least vertex it reaches in the batch)."""
+    """Contract the edges of each batch to a forest: (vertex, least vertex it reaches in the batch); loops stay."""
     for batch in batches:
         u, v = (batch.column(k).to_numpy() for k in (0, 1))
         if not len(u):
@@ -30,7 +30,9 @@ def _forests(batches):
             if (new == label).all() and (label[a] == label[b]).all():
                 break
             label = new
-        own = np.flatnonzero(label != np.arange(ids.size))
+        loop = np.zeros(ids.size, bool)
+        loop[a[a == b]] = True
+        own = np.flatnonzero((label != np.arange(ids.size)) | loop)
         yield pa.record_batch([pa.array(ids[own]), pa.array(ids[label[own]])], names=["u", "v"])
 
 
@@ -42,8 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     component. Loops are allowed; null endpoints are not.
     """
     pairs = edges.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
-    loops = pairs.where("u = v").select("u").distinct()
-    now = materialise(pairs.where("u <> v").mapInArrow(_forests, "u long, v long").where("u <> v").distinct(), "components")
+    first = materialise(pairs.mapInArrow(_forests, "u long, v long").distinct(), "components")
+    loops, now = first.where("u = v").select("u"), first.where("u <> v")
     seen = None
     for _ in range(max_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph import functions as fn
 from loomgraph import graph as G
+from loomgraph import streaming, viz
 from loomgraph.graph import Graph
-from loomgraph.operators import centrality, connectivity, paths, statistics
-from loomgraph.runtime import materialise
-from loomgraph.sources import derived
+from loomgraph.operators import boxcover, centrality, connectivity, cuttree, hubs, paths, statistics
+from loomgraph.runtime import fresh_path, materialise
+from loomgraph.sources import derived, files, generators
 
 #: Derived graphs in SQL, as common tables `nat`, `cos` and `pn` with src and dst.
 NAT = """nat as (select src, dst from (select src, dst, row_number() over (partition by src order by w desc, dst) r from (
@@ -313,6 +315,224 @@ def _sampled(g: Graph) -> DataFrame:
     return _rounded(centrality.edge_betweenness_sampled(g, samples=1000), "score")  # as many as all pairs: exact
 
 
+# --- box covers
+
+_BALLS = "+ walk as (select id s, id t, 0 dist from v union select s, dst, dist + 1 from walk join e on src = t where dist < 2), ball as (select s center, t v, min(dist) dist from walk group by 1, 2)"
+
+
+@_query("box_balls", "cos", _BALLS + " select center, v, dist from ball", recursive=True)
+def _balls(g: Graph) -> DataFrame:
+    return boxcover.balls(g, 2)
+
+
+@_query("box_coverage", "cos", _BALLS + " select count(distinct v) / cast((select count(*) from v) as double) coverage from ball where center % 10 = 0", recursive=True)
+def _coverage(g: Graph) -> DataFrame:
+    return boxcover.coverage(g, g.vertices.where("id % 10 = 0"), 2)
+
+
+def _whole(name: str, make):
+    """A query of how much the centers of a method cover, which is all, whatever centers it takes."""
+
+    @_query(name, "cos", "select cast(1 as double) coverage")
+    def run(g: Graph) -> DataFrame:
+        u = Graph(g.vertices, materialise(G.make_undirected(g.edges), "undirected"))
+        return boxcover.coverage(u, materialise(make(u), "centers"), 1)
+
+
+_whole("box_memb", lambda g: boxcover.memb(g, 1))
+_whole("box_sketch", lambda g: boxcover.sketch_cover(g, 1, k=8, alpha=0.1))
+
+
+@_query("box_burning", "nat", "select cast(1 as double) coverage")
+def _burning(g: Graph) -> DataFrame:
+    u = Graph(g.vertices, materialise(G.make_undirected(g.edges), "undirected"))
+    return boxcover.coverage(u, materialise(boxcover.burning(u, 1), "centers"), 1)
+
+
+@_query("box_cbb", "nat")
+def _cbb(g: Graph) -> DataFrame:
+    return boxcover.cbb(Graph(g.vertices, G.make_undirected(g.edges)), 2)
+
+
+@_query("box_coloring", "nat")
+def _coloring(g: Graph) -> DataFrame:
+    return boxcover.coloring(Graph(g.vertices, G.make_undirected(g.edges)), 3)
+
+
+@_query("box_sketches", "cos", "+ near as (select id c, id v from v union select src, dst from e union select a.src, b.dst from e a join e b on a.dst = b.src), r as (select c, v, row_number() over (partition by c order by v) k from near) select c id, string_agg(v, ',' order by v) sketch from r where k <= 4 group by 1")
+def _sketches(g: Graph) -> DataFrame:
+    found = boxcover.build_sketches(g, 2, 4, g.vertices.select("id", F.col("id").cast("double").alias("rank")))
+    return found.select("id", F.concat_ws(",", F.transform("sketch", lambda r: r.cast("long").cast("string"))).alias("sketch"))
+
+
+def _box_closed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("flower", *r) for r in boxcover.flower_boxes(2, 2, 4)] + [("tree", *r) for r in boxcover.tree_boxes(5, 2, 3)]
+    return spark.createDataFrame(rows, "family string, diameter long, boxes long")
+
+
+_QUERIES["box_closed_forms"] = _box_closed_forms
+_SQL["box_closed_forms"] = "select * from (values ('flower', 2, 44), ('flower', 4, 12), ('flower', 8, 4), ('flower', 16, 2), ('tree', 2, 21), ('tree', 8, 5), ('tree', 26, 1)) t(family, diameter, boxes)"
+
+# --- cut trees
+
+
+@_query("cut_pair_flows", "nat")
+def _flows(g: Graph) -> DataFrame:
+    a, b = g.vertices.select(F.col("id").alias("u")), g.vertices.select(F.col("id").alias("v"))
+    return cuttree.pair_flows(g, a.join(b, F.col("u") < F.col("v")))
+
+
+@_query("cut_connectivity", "cos")
+def _cut(g: Graph) -> DataFrame:
+    pairs = g.edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    return cuttree.connectivity(cuttree.cut_tree(g), pairs)
+
+
+@_query("cut_distribution", "cos")
+def _distribution(g: Graph) -> DataFrame:
+    return cuttree.distribution(cuttree.cut_tree(g), g.num_vertices())
+
+
+@_query("cut_equivalence", "nat")
+def _equivalence(g: Graph) -> DataFrame:
+    return cuttree.equivalent(cuttree.cut_tree(g), cuttree.plain_cut_tree(g))
+
+
+@_query("cut_two_edge_components", "cos")
+def _two_edge(g: Graph) -> DataFrame:
+    return connectivity.two_edge_components(g)
+
+
+# --- distance index
+
+
+@_query("hub_distances", "cos", _WALK + ", q as (select a.id u, b.id v from v a join v b on a.id % 7 = b.id % 5) select u, v, coalesce(dist, 100) dist from q left join d on s = u and t = v", recursive=True)
+def _hub(g: Graph) -> DataFrame:
+    a, b = g.vertices.select(F.col("id").alias("u")), g.vertices.select(F.col("id").alias("v"))
+    return hubs.query(hubs.build(g), a.join(b, F.col("u") % 7 == F.col("v") % 5))
+
+
+@_query("hub_distances_after_insertions", "cos", "+ f as (select src, dst from e union all select id, (id * 13 + 5) % 100 from v where id % 9 = 0), walk as (select id s, id t, 0 dist from v union select s, dst, dist + 1 from walk join f on src = t where dist < 30), d as (select s, t, min(dist) dist from walk group by 1, 2), q as (select a.id u, b.id v from v a join v b on a.id % 7 = b.id % 5) select u, v, coalesce(dist, 100) dist from q left join d on s = u and t = v", recursive=True)
+def _hub_added(g: Graph) -> DataFrame:
+    new = g.vertices.where("id % 9 = 0").select(F.col("id").alias("seq"), F.col("id").alias("src"), ((F.col("id") * 13 + 5) % 100).alias("dst"))
+    new = new.join(g.vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
+    a, b = g.vertices.select(F.col("id").alias("u")), g.vertices.select(F.col("id").alias("v"))
+    return hubs.query(hubs.build(g, new), a.join(b, F.col("u") % 7 == F.col("v") % 5))
+
+
+@_query("hub_label_size", "cos")
+def _labels(g: Graph) -> DataFrame:
+    return hubs.average_label_size(hubs.build(g), g)
+
+
+# --- changes
+
+
+def _log(g: Graph) -> DataFrame:
+    add = g.edges.where("src % 4 = 0").select((F.col("src") * 1000 + F.col("dst")).alias("seq"), F.lit("add").alias("op"), F.col("dst").alias("src"), F.col("src").alias("dst"))
+    gone = g.edges.where("dst % 3 = 0").select((F.col("src") * 2000 + F.col("dst")).alias("seq"), F.lit("remove").alias("op"), "src", "dst")
+    return add.union(gone)
+
+
+@_query("change_log", "cos", "+ l as (select src * 1000 + dst seq, 'add' op, dst src, src dst from e where src % 4 = 0 union all select src * 2000 + dst, 'remove', src, dst from e where dst % 3 = 0), g as (select src, dst, max(seq) filter (where op = 'remove') gone from l group by 1, 2) select src, dst from e where not exists (select 1 from g where g.src = e.src and g.dst = e.dst and gone is not null) union all select l.src, l.dst from l join g on g.src = l.src and g.dst = l.dst where op = 'add' and (gone is null or seq > gone)")
+def _changes(g: Graph) -> DataFrame:
+    return streaming.apply_changes(g, _log(g)).edges
+
+
+@_query("change_degree_counts", "cos", "+ l as (select dst src, src dst from e where src % 4 = 0) select id, sum(o) out_added, sum(i) in_added from (select src id, 1 o, 0 i from l union all select dst, 0, 1 from l) x group by 1")
+def _degree_counts(g: Graph) -> DataFrame:
+    return streaming.degree_counts(_log(g))
+
+
+@_query("change_scenario", "cos")
+def _scenario(g: Graph) -> DataFrame:
+    return streaming.random_additions_and_removals(g, 5)
+
+
+@_query("change_stream", "cos", "+ l as (select dst src, src dst from e where src % 4 = 0) select src, dst from e union all select src, dst from l")
+def _stream(g: Graph) -> DataFrame:
+    spark = g.edges.sparkSession
+    where = fresh_path(spark, "stream")
+    _log(g).where("op = 'add'").write.parquet(f"{where}/in")
+    changes = spark.readStream.schema(streaming.CHANGE).parquet(f"{where}/in")
+    query, observed = streaming.follow(changes, g, f"{where}/checkpoint")
+    query.awaitTermination()
+    return observed.graph.edges
+
+
+# --- drawing, files, generators, small functions
+
+
+@_query("viz_edge_colors", "nat", "+ s as (select src, dst, cast((src * 7 + dst) % 10 as double) score from e), m as (select min(score) a, max(score) b from s) select src, dst, printf('%.3f 1.000 1.000', (1 - (score - a) / (b - a)) * 2 / 3) color from s, m")
+def _colors(g: Graph) -> DataFrame:
+    scores = g.edges.select("src", "dst", ((F.col("src") * 7 + F.col("dst")) % 10).cast("double").alias("score"))
+    return viz.edge_colors(scores).select("src", "dst", F.col("properties")["color"].alias("color"))
+
+
+@_query("viz_dot", "nat")
+def _dot(g: Graph) -> DataFrame:
+    lines = viz.Dot.of(g).text().splitlines()
+    return g.edges.sparkSession.createDataFrame(list(enumerate(lines)), "line long, text string")
+
+
+@_query("io_text_round_trip", "pn", "select src, dst from e")
+def _text(g: Graph) -> DataFrame:
+    spark = g.edges.sparkSession
+    path = fresh_path(spark, "edges_text")
+    files.write_edge_list(g.edges, path)
+    return files.read_edge_list(spark, path)
+
+
+@_query("io_parquet_round_trip", "pn", "select src, dst from e")
+def _parquet(g: Graph) -> DataFrame:
+    spark = g.edges.sparkSession
+    path = fresh_path(spark, "edges_parquet")
+    files.write_parquet(g, path)
+    return files.read_parquet(spark, path).edges
+
+
+def _values(name: str, sql: str | None, make) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: make(spark)
+    if sql:
+        _SQL[name] = sql
+
+
+_values("io_built_in", None, lambda s: files.built_in_edges(s, "Karate_Club"))
+_values("gen_path", "select range src, range + 1 dst from range(9)", lambda s: generators.path(s, 10))
+_values("gen_cycle", "select range src, (range + 1) % 10 dst from range(10)", lambda s: generators.cycle(s, 10))
+_values("gen_grid", "select range src, range + 1 dst from range(12) where range % 4 < 3 union all select range, range + 4 from range(8)", lambda s: generators.grid(s, 3, 4))
+_values("gen_barbell", "select a.range src, b.range dst from range(5) a, range(5) b where a.range < b.range union all select a.range + 5, b.range + 5 from range(5) a, range(5) b where a.range < b.range union all select 0, 5", lambda s: generators.barbell(s, 5))
+_values("gen_flower_size", "select cast(256 as bigint) edges, cast(172 as bigint) vertices", lambda s: _size(generators.uv_flower(s, 100, 2, 2)))
+_values("gen_tree_size", "select cast(100 as bigint) edges, cast(101 as bigint) vertices", lambda s: _size(generators.shm(s, 50, 5, 2).union(generators.path(s, 1))))
+_values("gen_ba_size", "select cast(3 + 97 * 3 as bigint) edges, cast(100 as bigint) vertices", lambda s: _size(generators.barabasi_albert(s, 100, 3)))
+_values("gen_dms_size", "select cast(15 + 94 * 5 as bigint) edges, cast(100 as bigint) vertices", lambda s: _size(generators.dms(s, 100, 5, 2)))
+_values("gen_hk_size", "select cast(3 + 97 * 3 as bigint) edges, cast(100 as bigint) vertices", lambda s: _size(generators.holme_kim(s, 100, 3, 0.5)))
+_values("gen_ws_size", "select cast(200 as bigint) edges, cast(100 as bigint) vertices", lambda s: _size(generators.watts_strogatz(s, 100, 4, 0.0)))
+_values("gen_spanning_tree_size", "select cast(99 as bigint) edges, cast(100 as bigint) vertices", lambda s: _size(generators.random_spanning_tree(s, 100)))
+_values("gen_erdos_renyi", None, lambda s: generators.erdos_renyi(s, 100, 5))
+_values("gen_configuration", None, lambda s: generators.configuration(s, [4] * 50))
+_values("gen_kronecker", None, lambda s: generators.kronecker(s, 7, average_degree=8))
+_values("gen_planar", None, lambda s: generators.random_planar(s, 30, 60))
+_values("gen_connected_random", None, lambda s: generators.connected_random(s, 50, 100))
+
+
+def _size(edges: DataFrame) -> DataFrame:
+    g = Graph.of_endpoints(edges)
+    return g.edges.agg(F.count("*").alias("edges")).crossJoin(g.vertices.agg(F.count("*").alias("vertices")))  # one row each
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("i"), (F.col("o_custkey") % 10).alias("x"))
+
+
+_QUERIES["fn_prefix_sums"] = lambda spark, sf_dir: fn.prefix_sums(_orders(spark, sf_dir))
+_SQL["fn_prefix_sums"] = "select o_orderkey i, o_custkey % 10 x, cast(sum(o_custkey % 10) over (order by o_orderkey) as bigint) total from orders"
+_QUERIES["fn_range_sum"] = lambda spark, sf_dir: fn.range_sum(_orders(spark, sf_dir), 10, 99)
+_SQL["fn_range_sum"] = "select cast(sum(o_custkey % 10) as bigint) total from orders where o_orderkey between 10 and 99"
+_QUERIES["fn_lower_bound"] = lambda spark, sf_dir: fn.lower_bound(_orders(spark, sf_dir), 1000)
+_SQL["fn_lower_bound"] = "select min(i) i from (select o_orderkey i, sum(o_custkey % 10) over (order by o_orderkey) t from orders) x where t >= 1000"
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -45,10 +45,16 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def workers_see_package(spark: SparkSession) -> None:
-    """Put this checkout on the Python path of the workers, whatever folder the driver was started in."""
+#: Rows of an Arrow batch between Spark and its Python workers, where the session leaves the default: texts are long.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the workers find this checkout, whatever folder the driver was started in, and keep their batches small."""
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if here not in paths:
         env["PYTHONPATH"] = os.pathsep.join([here, *paths])
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")

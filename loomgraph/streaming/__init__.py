@@ -1 +1,151 @@
-"""Part of the graph engine; see the package docstring."""
+"""Changing graphs: ordered change logs in batches and as streams, indices that follow, and what they cost.
+
+A change is a row (seq, op, src, dst) with op 'add' or 'remove'. Adding puts one more parallel arc; removing takes
+all arcs src -> dst.
+"""
+
+from __future__ import annotations
+
+import time
+from abc import ABC, abstractmethod
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from loomgraph.graph import Graph, GraphError
+from loomgraph.operators import hubs
+from loomgraph.runtime import materialise
+
+CHANGE = "seq long, op string, src long, dst long"
+
+
+def apply_changes(g: Graph, changes: DataFrame) -> Graph:
+    """The graph after all changes in order of seq; ends must be vertices."""
+    ends = changes.select(F.col("src").alias("id")).union(changes.select(F.col("dst").alias("id")))
+    if not ends.join(g.vertices, "id", "left_anti").isEmpty():
+        raise GraphError("a change names no vertex of the graph")
+    if not changes.where("op not in ('add', 'remove') or op is null").isEmpty():
+        raise GraphError("a change is neither 'add' nor 'remove'")
+    last = changes.groupBy("src", "dst").agg(F.max(F.when(F.col("op") == "remove", F.col("seq"))).alias("gone"))
+    kept = g.edges.join(last.where("gone is not null").select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst")
+    new = changes.where("op = 'add'").join(last, ["src", "dst"]).where("gone is null or seq > gone").select("src", "dst")
+    return Graph(g.vertices, kept.union(new))
+
+
+class GraphIndex(ABC):
+    """What is built from a graph and asked later."""
+
+    @abstractmethod
+    def construct(self, g: Graph) -> None: ...
+
+
+class DynamicGraphIndex(GraphIndex):
+    """An index that follows changes; it is told after the graph has changed."""
+
+    @abstractmethod
+    def changed(self, g: Graph, changes: DataFrame) -> None: ...
+
+
+class DistanceIndex(DynamicGraphIndex):
+    """Two-hop labels under insertions; removals fail."""
+
+    def __init__(self):
+        self.labels: DataFrame | None = None
+
+    def construct(self, g: Graph) -> None:
+        self.base, self.log = g, None
+        self.labels = hubs.build(g)
+
+    def changed(self, g: Graph, changes: DataFrame) -> None:
+        if not changes.where("op = 'remove'").isEmpty():
+            hubs.remove_edge()
+        new = changes.select("seq", "src", "dst")
+        self.log = new if self.log is None else self.log.union(new)
+        self.labels = hubs.build(self.base, self.log)
+
+    def distances(self, pairs: DataFrame) -> DataFrame:
+        return hubs.query(self.labels, pairs)
+
+
+class ObservedGraph:
+    """A graph with indices that it owns or that only observe it."""
+
+    def __init__(self, g: Graph):
+        self.graph, self.indices = g, []
+
+    def attach(self, index: GraphIndex) -> GraphIndex:
+        index.construct(self.graph)
+        if isinstance(index, DynamicGraphIndex):
+            self.indices.append(index)
+        return index
+
+    def change(self, changes: DataFrame) -> Graph:
+        after = apply_changes(self.graph, changes)
+        self.graph = Graph(after.vertices, materialise(after.edges, "edges"))
+        for index in self.indices:
+            index.changed(self.graph, changes)
+        return self.graph
+
+
+def evaluate(g: Graph, workloads: list[DataFrame], index: DynamicGraphIndex | None = None) -> list[float]:
+    """Seconds for each workload of changes, with the index attached or without one."""
+    observed, out = ObservedGraph(g), []
+    if index is not None:
+        observed.attach(index)
+    for changes in workloads:
+        began = time.perf_counter()
+        observed.change(changes)
+        out.append(time.perf_counter() - began)
+    return out
+
+
+def index_cost(g: Graph, workloads: list[DataFrame], index: DynamicGraphIndex) -> list[float]:
+    """Seconds that the index adds to each workload."""
+    return [a - b for a, b in zip(evaluate(g, workloads, index), evaluate(g, workloads), strict=True)]
+
+
+def random_additions_and_removals(g: Graph, k: int, seed: int = 0) -> DataFrame:
+    """A change log: k random arcs that are not there are added, then removed in reverse order."""
+    n = g.num_vertices()
+    if n * (n - 1) - g.edges.where("src <> dst").select("src", "dst").distinct().count() < k:
+        raise GraphError("there is no room for so many new arcs")
+    ids = g.vertices.select("id", F.row_number().over(Window.orderBy("id")).alias("r")) if n <= 100_000 else g.vertices.withColumn("r", F.col("id") + 1)
+    draws = g.vertices.sparkSession.range(20 * k + 100)
+    pairs = draws.select("id", *[(F.pmod(F.xxhash64(F.lit(seed), F.lit(side), "id"), F.lit(n)) + 1).alias(side) for side in ("a", "b")]).where("a <> b")
+    rows = pairs.join(ids.select(F.col("id").alias("src"), F.col("r").alias("a")), "a").join(ids.select(F.col("id").alias("dst"), F.col("r").alias("b")), "b")
+    fresh = rows.groupBy("src", "dst").agg(F.min("id").alias("at")).join(g.edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    first = fresh.orderBy("at").limit(k)
+    numbered = materialise(first.withColumn("seq", F.row_number().over(Window.orderBy("at")) - 1), "scenario")  # k rows
+    back = numbered.select((F.lit(2 * k - 1) - F.col("seq")).alias("seq"), F.lit("remove").alias("op"), "src", "dst")
+    return numbered.select("seq", F.lit("add").alias("op"), "src", "dst").union(back)
+
+
+# --- streams
+
+
+def degree_counts(changes: DataFrame) -> DataFrame:
+    """A streaming or batch count of added arcs: (id, out_added, in_added) for every vertex that a change names."""
+    ends = F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    rows = changes.where("op = 'add'").select(F.explode(ends).alias("e")).select("e.*")
+    return rows.groupBy("id").agg(F.sum("o").alias("out_added"), F.sum("i").alias("in_added"))
+
+
+def follow(changes: DataFrame, g: Graph, checkpoint: str, on_graph=None, **trigger) -> tuple[StreamingQuery, ObservedGraph]:
+    """Apply a stream of changes batch by batch; on_graph(graph, batch number) is called after each.
+
+    Batches that arrive again after a failure carry the same number and are applied once.
+    """
+    observed = ObservedGraph(g)
+    done = {"last": -1}
+
+    def apply(batch: DataFrame, number: int) -> None:
+        if number <= done["last"]:
+            return
+        observed.change(materialise(batch, "changes"))
+        done["last"] = number
+        if on_graph is not None:
+            on_graph(observed.graph, number)
+
+    query = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return query, observed
