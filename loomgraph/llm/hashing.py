@@ -6,28 +6,9 @@ import numpy as np
 import xxhash
 
 
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash; bounded, emptied when full."""
-
-    def __init__(self, seed: int = 0, most: int = 500_000):
-        super().__init__()
-        self.seed, self.most = seed, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return out
-
-
-_HASHES: dict[int, WordHashes] = {}
-
-
-def hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
-    """64-bit hashes of words; the worker keeps the table between tasks."""
-    if seed not in _HASHES:
-        _HASHES[seed] = WordHashes(seed)
-    return np.fromiter(map(_HASHES[seed].__getitem__, words), np.uint64, len(words))
+def hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -5,8 +5,11 @@ metric; two classes link at distance 0.15 or less.
 
 First regions: single shingles are the pivots. A set is nearest to the pivots it contains, all at one distance; a
 global order (frequent shingles last) breaks the tie, and since a partner within 0.15 may lack some shingles, the
-window of a set are its first n - ceil(0.85 n) + 1 shingles: two sets that link share one of them. Regions that
-share sets join into one. In each region, documents are the pivots of Voronoi cells: a set goes to the cell of its
+window of a set are its first n - ceil(0.85 n) + 1 shingles: two sets that link share one of them. Within such a
+region, 256 equal parts of all shingles are pivots at once: how many shingles of a set lie in each part is its
+distance from the part's complement, and by the triangle inequality two sets differ by at least the sum of the
+differences of those counts. Sets that are near enough by that bound join, and regions that share sets join into
+one. In each of these, documents are the pivots of Voronoi cells: a set goes to the cell of its
 nearest pivot and, by the triangle inequality, into every cell whose pivot is at most 2 * 0.15 farther than that.
 Sets within 0.15 of one pivot are linked through it, so only pairs that are not yet in one component are compared
 further. Cells divide again until they are small. Regions too large for a task divide the same way over many tasks.
@@ -28,6 +31,8 @@ FAR = 1 - PERCENT / 100
 SLACK = 1e-9
 #: The order table: its size in bits, fixed, so that it can be broadcast whatever the input.
 ORDER_BITS = 20
+#: Shingles of a usual class, for what a task can hold.
+PER_CLASS = 512
 
 
 def shingles_of(text: str | None, width: int = 4) -> np.ndarray:
@@ -35,7 +40,7 @@ def shingles_of(text: str | None, width: int = 4) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    names = hashes(words, seed=3)
+    names = hashes(words)
     if len(words) < width:
         return mix(chain(names, len(words)) + np.uint64(len(words)))
     return np.unique(chain(names, width))
@@ -46,6 +51,11 @@ def _signature(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s.copy() + np.uint64(s.size)).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
 
 
+def _parts(s: np.ndarray) -> bytes:
+    """How many shingles of a set lie in each of the 256 parts of all shingles, 255 at most."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def links(overlap, a, b):
     """Whether sets of sizes a and b that share `overlap` link."""
     return 100 * overlap >= PERCENT * (a + b - overlap)
@@ -59,7 +69,8 @@ def _column(batch, k):
 
 
 def _describe(batches, at_once: int):
-    """Rows of documents (row, doc_id, node, n) and rows of the order table (row null: bucket, count)."""
+    """Rows of documents (row, doc_id, node, n, parts) and rows of the order table (row null: bucket, count)."""
+    names = ["row", "doc_id", "node", "n", "parts"]
 
     def frequent(sets):
         if not sets:
@@ -72,21 +83,22 @@ def _describe(batches, at_once: int):
             np.maximum.at(table, bucket, count[many])
             there = np.flatnonzero(table)
             null = pa.nulls(there.size, pa.int64())
-            yield pa.record_batch([null, null, pa.array(there), pa.array(table[there])], names=["row", "doc_id", "node", "n"])
+            yield pa.record_batch([null, null, pa.array(there), pa.array(table[there]), pa.nulls(there.size, pa.binary())], names=names)
 
     sets, known, size = [], set(), 0
     for batch in batches:
-        nodes, ns = [], []
+        nodes, ns, parts = [], [], []
         for text in _column(batch, 2):
             s = shingles_of(text)
             node = _signature(s) if s.size else None
             nodes.append(node)
             ns.append(s.size)
+            parts.append(_parts(s) if s.size else None)
             if s.size and node not in known:
                 known.add(node)
                 sets.append(s)
                 size += s.size
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64())], names=["row", "doc_id", "node", "n"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), pa.array(parts, pa.binary())], names=names)
         if size >= at_once:
             yield from frequent(sets)
             sets, known, size = [], set(), 0
@@ -105,48 +117,82 @@ def _order_table(described: DataFrame) -> np.ndarray:
 
 
 def _windows(batches, order, at_once: int = 1 << 16):
-    """(pivot shingle, node, n) for the first shingles of each set, a set of the batch once."""
+    """(pivot shingle, node, n) for the first shingles of each set, a set of the task once (while it is remembered)."""
     known: set[int] = set()
     for batch in batches:
         pivots, nodes, ns = [], [], []
-        for node, text in zip(_column(batch, 0), _column(batch, 1), strict=True):
-            if node is None or node in known:
+        for text in _column(batch, 0):
+            s = shingles_of(text)
+            if not s.size or (node := _signature(s)) in known:
                 continue
             if len(known) >= at_once:
                 known.clear()
             known.add(node)
-            s = shingles_of(text)
-            first = s.size - -(-PERCENT * s.size // 100) + 1
             rank = order[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
-            s = s[np.argsort(rank, kind="stable")[:first]]
-            pivots.append(s.view(np.int64))
-            nodes.append(np.full(s.size, node, np.int64))
-            ns.append(np.full(s.size, 0, np.int64) + rank.size)
+            first = s[np.argsort(rank, kind="stable")[: s.size - -(-PERCENT * s.size // 100) + 1]]
+            pivots.append(first.view(np.int64))
+            nodes.append(np.full(first.size, node, np.int64))
+            ns.append(np.full(first.size, s.size, np.int64))
         if pivots:
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in (pivots, nodes, ns)], names=["pivot", "node", "n"])
 
 
-def _stars(batches):
-    """From rows sorted by (pivot, n): an edge from each node to the first one of its run of compatible sizes.
-
-    Along sizes in order, a step of more than 100/85 parts a region: no pair across it can link.
-    """
-    last = None  # pivot, n and star of the row before
+def _met(batches):
+    """From rows sorted by (pivot, n, node): the rows whose region has another set, each set of a region once."""
+    last, before = None, None  # the row before, and the pivot of the one before that
     for batch in batches:
-        pivot, node, n = (batch.column(k).to_numpy() for k in range(3))
-        if not len(pivot):
+        rows = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        if last is not None:
+            rows = np.concatenate([last[None], rows])
+        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
+        pivot = rows[:, 0]
+        same = pivot[1:] == pivot[:-1]
+        met = np.append(same, False) | np.insert(same, 0, before == pivot[0] if before is not None else False)
+        if met[:-1].any():
+            yield pa.record_batch([pa.array(np.ascontiguousarray(rows[:-1][met[:-1], k])) for k in range(3)], names=["pivot", "node", "n"])
+        if rows.shape[0] > 1:
+            before = pivot[-2]
+        last = rows[-1]
+    if last is not None and before is not None and before == last[0]:
+        yield pa.record_batch([pa.array(last[k : k + 1]) for k in range(3)], names=["pivot", "node", "n"])
+
+
+def _near(i: int, n: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which sets may link with the i-th: their differences over the parts add up to no more than a link allows."""
+    apart = np.abs(parts - parts[i]).sum(axis=1, dtype=np.int64)
+    return links((n + n[i] - apart) // 2, n[i], n)
+
+
+def _joins(batches, most: int):
+    """From rows (pivot, node, n, parts) sorted by pivot: edges that join the sets of a region that may link.
+
+    Every set outside the largest join of its region is held against all others, so no pair is missed. A region of
+    more than `most` sets is joined as a whole along its sizes.
+    """
+    for rows in _groups(batches):
+        node, n = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        size = node.size
+        if size < 2:
             continue
-        before_p = np.concatenate([[pivot[0] if last is None else last[0]], pivot[:-1]])
-        before_n = np.concatenate([[0 if last is None else last[1]], n[:-1]])
-        new = (pivot != before_p) | (100 * before_n < PERCENT * n)
-        run = np.cumsum(new)
-        stars = np.concatenate([[node[0] if last is None else last[2]], node[new]])
-        star = stars[run]
-        last = (pivot[-1], n[-1], star[-1])
-        differ = node != star
-        if differ.any():
-            pairs = np.unique(np.stack([node[differ], star[differ]]), axis=1)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["src", "dst"])
+        if size > most:
+            order = np.argsort(n, kind="stable")
+            step = 100 * n[order[:-1]] >= PERCENT * n[order[1:]]
+            src, dst = node[order[1:]][step], node[order[:-1]][step]
+        else:
+            parts = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(size, 256).astype(np.int16)
+            root, turned = np.arange(size), np.zeros(size, bool)
+            i = size // 2
+            while i is not None:
+                turned[i] = True
+                found = np.unique(root[_near(i, n, parts)])
+                root[np.isin(root, found)] = found[0]
+                value, count = np.unique(root, return_counts=True)
+                rest = np.flatnonzero(~turned & (root != value[count.argmax()]))
+                i = int(rest[0]) if rest.size else None
+            differ = root != np.arange(size)
+            src, dst = node[differ], node[root[differ]]
+        if src.size:
+            yield pa.record_batch([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
 
 # --- recursion within a region --------------------------------------------------------------------------------
@@ -160,8 +206,20 @@ class _Region:
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.flat = flat.astype(np.int32)
         self.edge = np.concatenate([[0], np.cumsum(self.size)])
-        self.mark = np.zeros(int(self.flat.max()) + 1, np.int32)
+        held = np.bincount(self.flat)
+        self.lone = np.add.reduceat((held[self.flat] == 1).astype(np.int32), self.edge[:-1])  # of each set, those that no other set has
+        self.mark = np.zeros(held.size, np.int32)
         self.root = np.arange(len(sets))
+        # The windows again, with the region's own order, rare shingles first; one that no other set has meets nothing.
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
+        order = np.lexsort((self.flat, held[self.flat], owner))
+        place = np.arange(owner.size) - np.repeat(self.edge[:-1], self.size)
+        window = order[(place < (self.size + (-PERCENT * self.size // 100) + 1)[owner]) & (held[self.flat[order]] > 1)]
+        self.own_edge = np.searchsorted(owner[window], np.arange(len(sets) + 1))
+        self.own = self.flat[window]
+        back = np.argsort(self.own, kind="stable")
+        self.holder = owner[window][back]
+        self.holder_edge = np.searchsorted(self.own[back], np.arange(held.size + 1))
 
     def part(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The members' shingles one after another, and where each begins."""
@@ -187,11 +245,21 @@ class _Region:
         value, count = np.unique(self.root[members], return_counts=True)
         return self.root[members] != value[count.argmax()]
 
+    def near(self, p: int) -> np.ndarray:
+        """The sets that share a shingle of their windows with p's."""
+        lists = [self.holder[self.holder_edge[x] : self.holder_edge[x + 1]] for x in self.own[self.own_edge[p] : self.own_edge[p + 1]]]
+        return np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+
     def compare(self, members: np.ndarray) -> None:
-        """All pairs of members but those within the largest component."""
-        part = self.part(members)
-        for p in members[self._apart(members)]:
-            self.link(int(p), members, self.overlaps(int(p), part))
+        """All pairs of members but those within the largest component, met by their windows."""
+        inside = np.zeros(self.root.size, bool)
+        inside[members] = True
+        for p in members[self._apart(members)].tolist():
+            met = self.near(p)
+            most = np.minimum(self.size[met] - self.lone[met], self.size[p] - self.lone[p])
+            met = met[inside[met] & (self.root[met] != self.root[p]) & links(most, self.size[p], self.size[met])]
+            if met.size:
+                self.link(p, met, self.overlaps(p, self.part(met)))
 
     def solve(self, members: np.ndarray, pivots: int = 12, small: int = 48) -> None:
         apart = self._apart(members)
@@ -199,7 +267,9 @@ class _Region:
             return
         if members.size <= small:
             return self.compare(members)
-        chosen = members[np.arange(pivots) * members.size // pivots]
+        # The set with least of its own is nearest to what the others share; the other pivots are spread.
+        chosen = np.unique(np.append(members[np.arange(pivots) * members.size // pivots], members[(self.lone[members] / self.size[members]).argmin()]))
+        pivots = chosen.size
         part = self.part(members)
         far = np.empty((pivots, members.size))
         for k, p in enumerate(chosen.tolist()):
@@ -207,6 +277,7 @@ class _Region:
             self.link(p, members, shared)
             far[k] = 1 - shared / (self.size[p] + self.size[members] - shared)
         nearest = far.min(axis=0)
+        cells, work = [], 0
         for k in range(pivots):
             there = np.flatnonzero(far[k] <= nearest + 2 * FAR + SLACK)
             cell = members[there]
@@ -215,11 +286,12 @@ class _Region:
             # Members of the largest component matter only within reach of one that is not in it.
             d = far[k][there]
             reach = (d >= d[apart].min() - FAR - SLACK) & (d <= d[apart].max() + FAR + SLACK)
-            cell = cell[apart | reach]
-            if cell.size > 0.8 * members.size:
-                self.compare(cell)
-            else:
-                self.solve(cell)
+            cells.append(cell[apart | reach])
+            work += int(apart.sum()) * cells[-1].size
+        if work > 0.7 * self._apart(members).sum() * members.size:
+            return self.compare(members)  # sets that are far from all pivots are in all cells
+        for cell in cells:
+            self.solve(cell)
 
 
 def _groups(batches, key: int = 0):
@@ -256,7 +328,7 @@ def _solve(batches):
 # --- regions too large for a task ----------------------------------------------------------------------------
 
 
-CELLS = "cell long, node long, set binary, root long, far double, pivot long"
+CELLS = "cell long, node long, root long, far double, pivot long"
 
 
 def _to_cells(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -266,7 +338,7 @@ def _to_cells(left: pa.Table, right: pa.Table) -> pa.Table:
     is linked to (of linked pivots the first), or itself. `pivot` is set in one row of each linked member.
     """
     out: dict[str, list] = {n.split()[0]: [] for n in CELLS.split(", ")}
-    kinds = {"cell": pa.int64(), "node": pa.int64(), "set": pa.binary(), "root": pa.int64(), "far": pa.float64(), "pivot": pa.int64()}
+    kinds = {"cell": pa.int64(), "node": pa.int64(), "root": pa.int64(), "far": pa.float64(), "pivot": pa.int64()}
     if left.num_rows and right.num_rows:
         right = right.sort_by("c_node")
         pivots, n = right["c_node"].to_numpy(), right.num_rows
@@ -280,20 +352,23 @@ def _to_cells(left: pa.Table, right: pa.Table) -> pa.Table:
             region.link(k, everyone[:n], shared[:n])
         nearest = far.min(axis=0)
         salted = mix(pivots.view(np.uint64) + left["region"].to_numpy()[:1].view(np.uint64) * BASE)
-        for x, (node, s) in enumerate(zip(left["node"].to_pylist(), left["set"].to_pylist(), strict=True), n):
+        for x, node in enumerate(left["node"].to_pylist(), n):
             root = int(pivots[region.root[linked[x]]]) if linked[x] >= 0 else node
             pivot = int(pivots[linked[x]]) if linked[x] >= 0 else None
             for k in np.flatnonzero(far[:, x] <= nearest[x] + 2 * FAR + SLACK):
-                for name, value in zip(out, (int(salted[k].astype(np.int64)), node, s, root, far[k, x], pivot), strict=True):
+                for name, value in zip(out, (int(salted[k].astype(np.int64)), node, root, far[k, x], pivot), strict=True):
                     out[name].append(value)
                 pivot = None
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
 def _divide(members: DataFrame, most: int, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """One Voronoi round over regions(region, node, set) of more than `most` sets: (links, cells left to solve)."""
+    """One Voronoi round over large regions(region, node, n, set): (links, cells left to solve).
+
+    A region whose cells would hold half of it or more each, on average, stays one cell (see _blocks()).
+    """
     picked = members.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64(F.lit(3), "node"), "node"))).where(F.col("k") <= pivots)
-    salts = members.groupBy("region").agg(F.ceil(F.count("*") / most).cast("int").alias("salts"))
+    salts = members.groupBy("region").agg(F.ceil(F.greatest(F.count("*") / most, F.sum("n") / (most * PER_CLASS))).cast("int").alias("salts"))
     dealt = members.join(salts, "region").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select("region", "salt", "node", "set")
     centres = picked.join(salts, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "node", "set")
     centres = centres.toDF("c_region", "c_salt", "c_node", "c_set")
@@ -304,84 +379,84 @@ def _divide(members: DataFrame, most: int, pivots: int) -> tuple[DataFrame, Data
     main = roots.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("cell", "main")
     others = roots.join(main, "cell").where("root <> main").groupBy("cell", "main").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     left = cells.join(others, "cell").where((F.col("root") != F.col("main")) | F.col("far").between(F.col("low") - FAR - SLACK, F.col("high") + FAR + SLACK))
-    return found, left.select(F.col("cell").alias("region"), "node", "set")
+    left = left.select("cell", "node").join(members, "node")
+    counts = members.groupBy("region").agg(F.count("*").alias("size"))
+    spread = left.groupBy("region").agg(F.count("*").alias("held")).join(counts, "region").select("region", (F.col("held") * 2 > F.col("size") * pivots).alias("stuck"))
+    left = left.join(spread, "region").select(F.when(F.col("stuck"), F.col("region")).otherwise(F.col("cell")).alias("region"), "node", "n", "set")
+    return found, left.dropDuplicates(["region", "node"])
 
 
 def _blocks(members: DataFrame, most: int) -> DataFrame:
-    """Regions(region, node, set) as pairs of blocks, each of which fits a task: exact where pivots don't divide."""
+    """Regions(region, node, n, set) as pairs of blocks, each of which fits a task: exact where pivots don't divide."""
     half = max(1, most // 2)
-    n = members.groupBy("region").agg(F.ceil(F.count("*") / half).cast("int").alias("blocks"))
-    own = members.join(n, "region").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = members.groupBy("region").agg(F.ceil(F.greatest(F.count("*") / half, F.sum("n") / (half * PER_CLASS))).cast("int").alias("blocks"))
+    own = members.join(blocks, "region").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     both = own.select("region", "node", "set", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
     return both.select(F.xxhash64("region", F.least("b", "c"), F.greatest("b", "c")).alias("region"), "node", "set")
 
 
+def _large(members: DataFrame, most: int) -> DataFrame:
+    """(region) of more than `most` classes, or of more shingles than so many usual ones have."""
+    sizes = members.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    return runtime.materialise(sizes.where((F.col("size") > most) | (F.col("shingles") > most * PER_CLASS)).select("region"), "large_regions")
+
+
 # --- the join -------------------------------------------------------------------------------------------------
 
 
-def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots: int = 16, depth: int = 4) -> DataFrame:
+def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots: int = 16, depth: int = 3) -> DataFrame:
     """Rows of docs(doc_id, text) with the set class of each and its component.
 
     Returns doc_id, row (a hash of doc_id and text), n_shingles, node, component. `node` names the document's shingle set (null where it is empty) and `component` the linked classes (the node
     itself where nothing links). Every row comes back, repeated rows and null doc_ids too; null and empty texts have
     n_shingles 0 and link with nothing; whole texts are read; other columns are not. Regions of more than `most`
-    classes are divided over tasks, at most `depth` times, and then compared in pairs of blocks.
+    classes (or PER_CLASS times as many shingles) are divided over tasks, at most `depth` times, and then compared in
+    pairs of blocks.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    described = runtime.materialise(rows.select("row", "doc_id", "text").mapInArrow(lambda b: _describe(b, at_once), "row long, doc_id long, node long, n long"), "shingle_sets")
+    described = rows.select("row", "doc_id", "text").mapInArrow(lambda b: _describe(b, at_once), "row long, doc_id long, node long, n long, parts binary")
+    described = runtime.materialise(described, "shingle_sets")
     order = spark.sparkContext.broadcast(_order_table(described))  # 2^ORDER_BITS bytes
     own = described.where("row is not null")
+    # One row speaks for each class.
+    speakers = own.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.max("parts").alias("parts"))
 
-    def window_rows(batches):
-        def named(batch):
-            nodes = [_signature(s) if (s := shingles_of(t)).size else None for t in _column(batch, 0)]
-            return pa.record_batch([pa.array(nodes, pa.int64()), batch.column(0)], names=["node", "text"])
-
-        yield from _windows(map(named, batches), order.value)
-
-    near = rows.select("text").where("text is not null").mapInArrow(window_rows, "pivot long, node long, n long")
-    stars = near.repartition("pivot").sortWithinPartitions("pivot", "n", "node").mapInArrow(_stars, "src long, dst long").distinct()
-    regions = connected_components(stars).select(F.col("id").alias("node"), F.col("component").alias("region"))
-    regions = runtime.materialise(regions, "regions")
-
-    # The texts of one row of each class that has a region, as sets.
-    speakers = own.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
-    speakers = runtime.materialise(speakers.join(regions, "node"), "speakers")
+    windows = rows.select("text").where("text is not null").mapInArrow(lambda b: _windows(b, order.value), "pivot long, node long, n long")
+    met = windows.repartition("pivot").sortWithinPartitions("pivot", "n", "node").mapInArrow(_met, "pivot long, node long, n long")
+    met = runtime.materialise(met, "shared_windows")
+    held = met.select("pivot", "node").join(speakers.select("node", "n", "parts"), "node").select("pivot", "node", "n", "parts")
+    joins = held.repartition("pivot").sortWithinPartitions("pivot", "node").mapInArrow(lambda b: _joins(b, 4096), "src long, dst long").distinct()
+    regions = connected_components(joins).select(F.col("id").alias("node"), F.col("component").alias("region"))
+    speakers = runtime.materialise(speakers.drop("parts").join(regions, "node"), "speakers")
 
     def sets(batches):
         for batch in batches:
-            made = [shingles_of(t).astype("<u8").tobytes() for t in _column(batch, 2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["region", "node", "set"])
-
-    members = rows.select("row", "text").join(speakers, "row").select("region", "node", "text").mapInArrow(sets, "region long, node long, set binary")
-    sizes = speakers.groupBy("region").agg(F.count_distinct("node").alias("size"))
-    large = runtime.materialise(sizes.where(F.col("size") > most).select("region"), "large_regions")
-    found = []
-    if large.isEmpty():
-        found.append(members)
-    else:
+            made = [shingles_of(t).astype("<u8").tobytes() for t in _column(batch, 3)]
+            yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.binary())], names=["region", "node", "n", "set"])
+
+    members = rows.select("row", "text").join(speakers, "row").select("region", "node", "n", "text").mapInArrow(sets, "region long, node long, n long, set binary")
+    large = _large(speakers, most)
+    found, linked = [members], None
+    if not large.isEmpty():
         members = runtime.materialise(members, "region_sets").dropDuplicates(["region", "node"])
-        found.append(members.join(large, "region", "left_anti"))
-        members = members.join(large, "region", "left_semi")
-        linked = None
+        found = [members.join(large, "region", "left_anti")]
         for _ in range(depth):
-            got, members = _divide(members, most, pivots)
+            got, members = _divide(members.join(large, "region", "left_semi"), most, pivots)
             linked = got if linked is None else linked.union(got)
             members = runtime.materialise(members, "region_sets")
-            sizes = members.groupBy("region").agg(F.count("*").alias("size"))
-            large = runtime.materialise(sizes.where(F.col("size") > most).select("region"), "large_regions")
+            large = _large(members, most)
             found.append(members.join(large, "region", "left_anti"))
-            members = members.join(large, "region", "left_semi")
             if large.isEmpty():
                 break
         else:
-            found.append(_blocks(members, most))
+            found.append(_blocks(members.join(large, "region", "left_semi"), most))
+    found = [part.select("region", "node", "set") for part in found]
     todo = found[0]
     for more in found[1:]:
         todo = todo.unionByName(more)
     stars = todo.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_solve, "src long, dst long")
-    if len(found) == 1:
+    if linked is None:
         joined = stars.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     else:
         joined = connected_components(stars.union(linked)).select(F.col("id").alias("node"), "component")

@@ -64,7 +64,7 @@ class Windows:
         count = np.array([len(w) for w in texts], np.int64)
         self.ends = np.cumsum(count)
         self.base = self.ends - count
-        names = hashes([w for t in texts for w in t], seed=9)
+        names = hashes([w for t in texts for w in t])
         firsts = np.zeros(names.size, bool)
         firsts[self.base[count > 0]] = True
         self.starts = np.zeros(0, np.int64)
