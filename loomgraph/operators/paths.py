@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import FWD, UNREACHABLE, Graph
 from loomgraph.plans.iterate import levels, relax
+from loomgraph.runtime import materialise
 
 
 def _start(g: Graph, s: int) -> DataFrame:
@@ -64,9 +65,9 @@ def diameter(g: Graph, sweeps: int = 4, batch: int = 256) -> DataFrame:
     """
     spark = g.vertices.sparkSession
     kind = "double" if g.weighted else "int"
+    if g.num_vertices() <= batch:  # one batch holds all sources
+        return all_pairs_distance(g).agg(F.max("dist").alias("diameter"))
     hub = g.degrees().orderBy(F.desc("degree"), "id").first()
-    if hub is None:
-        return spark.createDataFrame([], f"diameter {kind}")
     best, bound, at = 0, None, hub["id"]
     for _ in range(sweeps):
         there = _distances(g, _start(g, at), FWD, 1e-9)
@@ -83,8 +84,6 @@ def diameter(g: Graph, sweeps: int = 4, batch: int = 256) -> DataFrame:
     rest = g.vertices.join(bound, "id", "left")
     while True:
         todo = rest.where(F.col("bound").isNull() | (F.col("bound") > F.lit(best))).orderBy(F.desc_nulls_first("bound"), "id").limit(batch).select("id")
-        from loomgraph.runtime import materialise
-
         todo = materialise(todo, "sweep")
         if todo.isEmpty():
             return spark.createDataFrame([(best,)], f"diameter {kind}")
