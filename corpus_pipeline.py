@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,28 +12,42 @@ from loomgraph.llm import decontam, jaccard, langid, packing, secret_scan
 from loomgraph.llm.queries import VOCABULARY
 
 
+def _stage(function):
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        runtime.prepare(spark)
+        return function(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found, with `lang` as predicted; those that language ID rejects go."""
     named = langid.identify(docs, docs.columns)
     return named.where(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one of the least doc_id."""
     return jaccard.representatives(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, or its template with other values, go."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; every secret found in a text is replaced by a mark, and n_chars follows."""
     clean = secret_scan.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents, each with its sequence and its place there."""
     return packing.pack(packing.cut_documents(docs, VOCABULARY))
