@@ -36,15 +36,27 @@ def _forests(batches):
         yield pa.record_batch([pa.array(ids[own]), pa.array(ids[label[own]])], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _at_once(batches):
+    """All components of the edges of one task: (id, component)."""
+    rows = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    label: dict[int, int] = {}
+    for batch in _forests(rows.combine_chunks().to_batches()):
+        label |= dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    ids = pa.compute.unique(pa.chunked_array([*rows["u"].chunks, *rows["v"].chunks], pa.int64()))
+    yield pa.record_batch([ids, pa.array([label.get(i, i) for i in ids.to_pylist()], pa.int64())], names=["id", "component"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, small: int = 50_000) -> DataFrame:
     """(id, component): the weak component of every endpoint of edges(src, dst), named by its least id.
 
     Alternating large-star and small-star rounds, each written in the shared folder; tasks first contract their own
     edges, so what is shuffled is a forest of each. The number of rounds grows with the logarithm of the largest
-    component. Loops are allowed; null endpoints are not.
+    component. Forests of at most `small` edges are joined in one task. Loops are allowed; null endpoints are not.
     """
     pairs = edges.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
     first = materialise(pairs.mapInArrow(_forests, "u long, v long").distinct(), "components")
+    if small and first.count() <= small:
+        return materialise(first.repartition(1).mapInArrow(_at_once, "id long, component long"), "components")
     loops, now = first.where("u = v").select("u"), first.where("u <> v")
     seen = None
     for _ in range(max_rounds):

@@ -127,8 +127,8 @@ def decode_binary(data: bytes, magic: str = MAGIC) -> tuple[int, str, list[tuple
 def read_binary(spark: SparkSession, path: str, magic: str = MAGIC) -> Graph:
     """A file of the binary format; the bytes are decoded on an executor."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    head = files.select(F.substring(F.col("content"), 1, 64)).first()[0]
-    form = bytes(head).split(b"\n")[2].decode() if head and head.count(b"\n") >= 3 else ""
+    head = bytes(files.select(F.substring(F.col("content"), 1, 64)).first()[0] or b"").split(b"\n")
+    form = head[2].decode(errors="replace") if len(head) > 3 and head[:2] == [magic.encode(), VERSION.encode()] else ""
     kind = next((k for k, v in _FORMAT.items() if v == form), "none")
     if kind == "none":
         raise GraphError("not a binary graph of this version")

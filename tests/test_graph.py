@@ -111,9 +111,10 @@ def test_connected(edges):
 
 def test_components(edges):
     rows = [(0, 1), (2, 1), (5, 6), (7, 7), (6, 5), (9, 8), (8, 10), (10, 11), (11, 12)]
-    found = dict(pairs(connectivity.connected_components(edges(rows)), "id", "component"))
-    assert found == {0: 0, 1: 0, 2: 0, 5: 5, 6: 5, 7: 7, **dict.fromkeys(range(8, 13), 8)}
-    assert connectivity.connected_components(edges([])).count() == 0
+    for small in (50_000, 0):
+        found = dict(pairs(connectivity.connected_components(edges(rows), small=small), "id", "component"))
+        assert found == {0: 0, 1: 0, 2: 0, 5: 5, 6: 5, 7: 7, **dict.fromkeys(range(8, 13), 8)}
+        assert connectivity.connected_components(edges([]), small=small).count() == 0
 
 
 def test_strong_components(spark):
