@@ -77,7 +77,7 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, dimensions: int = 1 << 13, margin: float = 0.2, most_languages: int = 1000, most_rows: int = 6000) -> Model:
+def fit(labelled: DataFrame, per_language: int = 500, centroids: int = 4, dimensions: int = 1 << 13, margin: float = 0.2, most_languages: int = 1000, most_rows: int = 3000) -> Model:
     """Fit a model on labelled(doc_id, text, lang), rows with null lang or text left out.
 
     The fit uses a bounded sample: about `per_language` rows of each language, chosen by a hash of doc_id with a
@@ -109,15 +109,17 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, dimen
     x = np.zeros((got.num_rows, dimensions), np.float32)
     for k, (at, value) in enumerate(zip(got["at"].to_pylist(), got["value"].to_pylist(), strict=True)):
         x[k, np.frombuffer(at, "<u4")] = np.frombuffer(value, "<f4")
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _unit(x * idf)
+    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    x *= idf  # in place: the driver holds one copy of the sample
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     langs = np.array(got["lang"].to_pylist())
+    first = np.flatnonzero(np.concatenate([[True], langs[1:] != langs[:-1], [True]]))
     c, of, farthest = [], [], 0.0
-    for lang in sorted(set(langs)):
-        own = x[langs == lang]
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        own = x[a:b]
         centres = _spherical_kmeans(own, centroids)
         c += list(centres)
-        of += [str(lang)] * len(centres)
+        of += [str(langs[a])] * len(centres)
         farthest = max(farthest, 1 - float((own @ centres.T).max(axis=1).min()))
     return Model(idf, np.array(c, np.float32), of, min(farthest + margin, 1.0))
 
