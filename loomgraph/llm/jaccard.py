@@ -427,7 +427,7 @@ def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots:
     met = runtime.materialise(met, "shared_windows")
     held = met.select("pivot", "node").join(speakers.select("node", "n", "parts"), "node").select("pivot", "node", "n", "parts")
     joins = held.repartition("pivot").sortWithinPartitions("pivot", "node").mapInArrow(lambda b: _joins(b, 4096), "src long, dst long").distinct()
-    regions = connected_components(joins).select(F.col("id").alias("node"), F.col("component").alias("region"))
+    regions = connected_components(joins, small=0).select(F.col("id").alias("node"), F.col("component").alias("region"))
     speakers = runtime.materialise(speakers.drop("parts").join(regions, "node"), "speakers")
 
     def sets(batches):
@@ -435,7 +435,8 @@ def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots:
             made = [shingles_of(t).astype("<u8").tobytes() for t in _column(batch, 3)]
             yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.binary())], names=["region", "node", "n", "set"])
 
-    members = rows.select("row", "text").join(speakers, "row").select("region", "node", "n", "text").mapInArrow(sets, "region long, node long, n long, set binary")
+    # A plan that is the same at every size: never the speakers to all texts.
+    members = rows.select("row", "text").join(speakers.hint("shuffle_hash"), "row").select("region", "node", "n", "text").mapInArrow(sets, "region long, node long, n long, set binary")
     large = _large(speakers, most)
     found, linked = [members], None
     if not large.isEmpty():
@@ -459,7 +460,7 @@ def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots:
     if linked is None:
         joined = stars.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     else:
-        joined = connected_components(stars.union(linked)).select(F.col("id").alias("node"), "component")
+        joined = connected_components(stars.union(linked), small=0).select(F.col("id").alias("node"), "component")
     joined = runtime.materialise(joined.distinct(), "linked_classes")
     return own.join(joined, "node", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
 
