@@ -335,7 +335,8 @@ def _to_cells(left: pa.Table, right: pa.Table) -> pa.Table:
     """Members of a region (region, salt, node, set) against its pivots (the same, named c_...): their cells.
 
     A row for each cell whose window a member is in: its distance from the cell's pivot, and its root: the pivot it
-    is linked to (of linked pivots the first), or itself. `pivot` is set in one row of each linked member.
+    is linked to (of linked pivots the first), or itself. `pivot` is that pivot in one row of each linked member, so the
+    links of members and pivots under one root are all in the result, and those need not meet again.
     """
     out: dict[str, list] = {n.split()[0]: [] for n in CELLS.split(", ")}
     kinds = {"cell": pa.int64(), "node": pa.int64(), "root": pa.int64(), "far": pa.float64(), "pivot": pa.int64()}
@@ -354,7 +355,7 @@ def _to_cells(left: pa.Table, right: pa.Table) -> pa.Table:
         salted = mix(pivots.view(np.uint64) + left["region"].to_numpy()[:1].view(np.uint64) * BASE)
         for x, node in enumerate(left["node"].to_pylist(), n):
             root = int(pivots[region.root[linked[x]]]) if linked[x] >= 0 else node
-            pivot = int(pivots[linked[x]]) if linked[x] >= 0 else None
+            pivot = root if linked[x] >= 0 else None
             for k in np.flatnonzero(far[:, x] <= nearest[x] + 2 * FAR + SLACK):
                 for name, value in zip(out, (int(salted[k].astype(np.int64)), node, root, far[k, x], pivot), strict=True):
                     out[name].append(value)

@@ -212,6 +212,20 @@ def test_jaccard(spark, most, pivots):
     assert got == brute_components(texts(df))
 
 
+def test_jaccard_drifting_family(spark):
+    """Versions that drift, each a pivot of its region: a pivot in the middle links two that are far from each other."""
+    w, rows = [f"word{k}" for k in range(100)], []
+    for k in range(15):
+        w = list(w)
+        w[6 * k] = f"new{k}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert {c for _, _, c in want} == {"0"}
+    for pivots in (16, 6):
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.components(df, most=4, pivots=pivots, depth=2).collect()) == want
+
+
 def test_jaccard_recursion():
     """The recursion on sets in memory, deep, against all pairs."""
     rng = np.random.default_rng(4)
