@@ -30,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the least doc_id."""
-    return jaccard.representatives(docs)
+    """One document of each group of near duplicates (5-word shingles, 80 % alike) stays, the one of the least doc_id."""
+    return jaccard.representatives(docs, width=5, percent=80)
 
 
 @_stage

@@ -1,7 +1,7 @@
 """Exact Jaccard join of word shingles in metric space, and its components (operator 3).
 
 A document is the set of its 4-word shingles; documents with equal sets are one class. Distance is 1 - Jaccard, a
-metric; two classes link at distance 0.15 or less.
+metric; two classes link at distance 0.15 or less. Width and threshold are parameters; the text here has operator 3's.
 
 First regions: single shingles are the pivots. A set is nearest to the pivots it contains, all at one distance; a
 global order (frequent shingles last) breaks the tie, and since a partner within 0.15 may lack some shingles, the
@@ -26,8 +26,9 @@ from loomgraph import runtime
 from loomgraph.llm.hashing import BASE, chain, hashes, mix
 from loomgraph.operators.connectivity import connected_components
 
+#: Operator 3's words of a shingle and least Jaccard similarity, in percent.
+WIDTH = 4
 PERCENT = 85
-FAR = 1 - PERCENT / 100
 SLACK = 1e-9
 #: The order table: its size in bits, fixed, so that it can be broadcast whatever the input.
 ORDER_BITS = 20
@@ -35,7 +36,7 @@ ORDER_BITS = 20
 PER_CLASS = 512
 
 
-def shingles_of(text: str | None, width: int = 4) -> np.ndarray:
+def shingles_of(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct shingle hashes of a text; one for the whole sequence where it has fewer words."""
     words = text.encode().lower().split() if text else []
     if not words:
@@ -56,9 +57,14 @@ def _parts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
-def links(overlap, a, b):
+def _far(percent: int) -> float:
+    """The largest distance of sets that link."""
+    return 1 - percent / 100
+
+
+def links(overlap, a, b, percent: int = PERCENT):
     """Whether sets of sizes a and b that share `overlap` link."""
-    return 100 * overlap >= PERCENT * (a + b - overlap)
+    return 100 * overlap >= percent * (a + b - overlap)
 
 
 def _column(batch, k):
@@ -68,7 +74,7 @@ def _column(batch, k):
 # --- signatures and the order of shingles ---------------------------------------------------------------------
 
 
-def _describe(batches, at_once: int):
+def _describe(batches, at_once: int, width: int):
     """Rows of documents (row, doc_id, node, n, parts) and rows of the order table (row null: bucket, count)."""
     names = ["row", "doc_id", "node", "n", "parts"]
 
@@ -89,7 +95,7 @@ def _describe(batches, at_once: int):
     for batch in batches:
         nodes, ns, parts = [], [], []
         for text in _column(batch, 2):
-            s = shingles_of(text)
+            s = shingles_of(text, width)
             node = _signature(s) if s.size else None
             nodes.append(node)
             ns.append(s.size)
@@ -116,20 +122,20 @@ def _order_table(described: DataFrame) -> np.ndarray:
 # --- first regions --------------------------------------------------------------------------------------------
 
 
-def _windows(batches, order, at_once: int = 1 << 16):
+def _windows(batches, order, width: int, percent: int, at_once: int = 1 << 16):
     """(pivot shingle, node, n) for the first shingles of each set, a set of the task once (while it is remembered)."""
     known: set[int] = set()
     for batch in batches:
         pivots, nodes, ns = [], [], []
         for text in _column(batch, 0):
-            s = shingles_of(text)
+            s = shingles_of(text, width)
             if not s.size or (node := _signature(s)) in known:
                 continue
             if len(known) >= at_once:
                 known.clear()
             known.add(node)
             rank = order[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
-            first = s[np.argsort(rank, kind="stable")[: s.size - -(-PERCENT * s.size // 100) + 1]]
+            first = s[np.argsort(rank, kind="stable")[: s.size - -(-percent * s.size // 100) + 1]]
             pivots.append(first.view(np.int64))
             nodes.append(np.full(first.size, node, np.int64))
             ns.append(np.full(first.size, s.size, np.int64))
@@ -157,13 +163,13 @@ def _met(batches):
         yield pa.record_batch([pa.array(last[k : k + 1]) for k in range(3)], names=["pivot", "node", "n"])
 
 
-def _near(i: int, n: np.ndarray, parts: np.ndarray) -> np.ndarray:
+def _near(i: int, n: np.ndarray, parts: np.ndarray, percent: int) -> np.ndarray:
     """Which sets may link with the i-th: their differences over the parts add up to no more than a link allows."""
     apart = np.abs(parts - parts[i]).sum(axis=1, dtype=np.int64)
-    return links((n + n[i] - apart) // 2, n[i], n)
+    return links((n + n[i] - apart) // 2, n[i], n, percent)
 
 
-def _joins(batches, most: int):
+def _joins(batches, most: int, percent: int):
     """From rows (pivot, node, n, parts) sorted by pivot: edges that join the sets of a region that may link.
 
     Every set outside the largest join of its region is held against all others, so no pair is missed. A region of
@@ -176,7 +182,7 @@ def _joins(batches, most: int):
             continue
         if size > most:
             order = np.argsort(n, kind="stable")
-            step = 100 * n[order[:-1]] >= PERCENT * n[order[1:]]
+            step = 100 * n[order[:-1]] >= percent * n[order[1:]]
             src, dst = node[order[1:]][step], node[order[:-1]][step]
         else:
             parts = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(size, 256).astype(np.int16)
@@ -184,7 +190,7 @@ def _joins(batches, most: int):
             i = size // 2
             while i is not None:
                 turned[i] = True
-                found = np.unique(root[_near(i, n, parts)])
+                found = np.unique(root[_near(i, n, parts, percent)])
                 root[np.isin(root, found)] = found[0]
                 value, count = np.unique(root, return_counts=True)
                 rest = np.flatnonzero(~turned & (root != value[count.argmax()]))
@@ -201,7 +207,8 @@ def _joins(batches, most: int):
 class _Region:
     """The sets of a region in memory, and the components found so far."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.percent = percent
         self.size = np.array([s.size for s in sets])
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.flat = flat.astype(np.int32)
@@ -214,7 +221,7 @@ class _Region:
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
         order = np.lexsort((self.flat, held[self.flat], owner))
         place = np.arange(owner.size) - np.repeat(self.edge[:-1], self.size)
-        window = order[(place < (self.size + (-PERCENT * self.size // 100) + 1)[owner]) & (held[self.flat[order]] > 1)]
+        window = order[(place < (self.size + (-percent * self.size // 100) + 1)[owner]) & (held[self.flat[order]] > 1)]
         self.own_edge = np.searchsorted(owner[window], np.arange(len(sets) + 1))
         self.own = self.flat[window]
         back = np.argsort(self.own, kind="stable")
@@ -235,7 +242,7 @@ class _Region:
         return out
 
     def link(self, p: int, members: np.ndarray, overlap: np.ndarray) -> None:
-        near = members[links(overlap, self.size[p], self.size[members])]
+        near = members[links(overlap, self.size[p], self.size[members], self.percent)]
         roots = np.unique(self.root[np.append(near, p)])
         if roots.size > 1:
             self.root[np.isin(self.root, roots)] = roots[0]
@@ -257,7 +264,7 @@ class _Region:
         for p in members[self._apart(members)].tolist():
             met = self.near(p)
             most = np.minimum(self.size[met] - self.lone[met], self.size[p] - self.lone[p])
-            met = met[inside[met] & (self.root[met] != self.root[p]) & links(most, self.size[p], self.size[met])]
+            met = met[inside[met] & (self.root[met] != self.root[p]) & links(most, self.size[p], self.size[met], self.percent)]
             if met.size:
                 self.link(p, met, self.overlaps(p, self.part(met)))
 
@@ -267,6 +274,7 @@ class _Region:
             return
         if members.size <= small:
             return self.compare(members)
+        link_far = _far(self.percent)
         # The set with least of its own is nearest to what the others share; the other pivots are spread.
         chosen = np.unique(np.append(members[np.arange(pivots) * members.size // pivots], members[(self.lone[members] / self.size[members]).argmin()]))
         pivots = chosen.size
@@ -279,13 +287,13 @@ class _Region:
         nearest = far.min(axis=0)
         cells, work = [], 0
         for k in range(pivots):
-            there = np.flatnonzero(far[k] <= nearest + 2 * FAR + SLACK)
+            there = np.flatnonzero(far[k] <= nearest + 2 * link_far + SLACK)
             cell = members[there]
             if cell.size < 2 or not (apart := self._apart(cell)).any():
                 continue
             # Members of the largest component matter only within reach of one that is not in it.
             d = far[k][there]
-            reach = (d >= d[apart].min() - FAR - SLACK) & (d <= d[apart].max() + FAR + SLACK)
+            reach = (d >= d[apart].min() - link_far - SLACK) & (d <= d[apart].max() + link_far + SLACK)
             cells.append(cell[apart | reach])
             work += int(apart.sum()) * cells[-1].size
         if work > 0.7 * self._apart(members).sum() * members.size:
@@ -312,13 +320,13 @@ def _groups(batches, key: int = 0):
         yield carried
 
 
-def _solve(batches):
+def _solve(batches, percent: int):
     """(src, dst) from rows (region, node, set) sorted by region: each node with the first of its component."""
     for rows in _groups(batches):
         if rows.num_rows < 2:
             continue
         nodes = rows.column(1).to_numpy()
-        region = _Region([np.frombuffer(s, "<u8") for s in rows.column(2).to_pylist()])
+        region = _Region([np.frombuffer(s, "<u8") for s in rows.column(2).to_pylist()], percent)
         region.solve(np.argsort(region.size, kind="stable"))
         linked = np.flatnonzero(region.root != np.arange(nodes.size))
         if linked.size:
@@ -331,7 +339,7 @@ def _solve(batches):
 CELLS = "cell long, node long, root long, far double, pivot long"
 
 
-def _to_cells(left: pa.Table, right: pa.Table) -> pa.Table:
+def _to_cells(left: pa.Table, right: pa.Table, percent: int = PERCENT) -> pa.Table:
     """Members of a region (region, salt, node, set) against its pivots (the same, named c_...): their cells.
 
     A row for each cell whose window a member is in: its distance from the cell's pivot, and its root: the pivot it
@@ -343,27 +351,27 @@ def _to_cells(left: pa.Table, right: pa.Table) -> pa.Table:
     if left.num_rows and right.num_rows:
         right = right.sort_by("c_node")
         pivots, n = right["c_node"].to_numpy(), right.num_rows
-        region = _Region([np.frombuffer(s, "<u8") for s in [*right["c_set"].to_pylist(), *left["set"].to_pylist()]])
+        region = _Region([np.frombuffer(s, "<u8") for s in [*right["c_set"].to_pylist(), *left["set"].to_pylist()]], percent)
         everyone = np.arange(n + left.num_rows)
         part, far, linked = region.part(everyone), np.empty((n, everyone.size)), np.full(everyone.size, -1)
         for k in range(n):
             shared = region.overlaps(k, part)
             far[k] = 1 - shared / (region.size[k] + region.size - shared)
-            linked[(linked < 0) & links(shared, region.size[k], region.size)] = k
+            linked[(linked < 0) & links(shared, region.size[k], region.size, percent)] = k
             region.link(k, everyone[:n], shared[:n])
         nearest = far.min(axis=0)
         salted = mix(pivots.view(np.uint64) + left["region"].to_numpy()[:1].view(np.uint64) * BASE)
         for x, node in enumerate(left["node"].to_pylist(), n):
             root = int(pivots[region.root[linked[x]]]) if linked[x] >= 0 else node
             pivot = root if linked[x] >= 0 else None
-            for k in np.flatnonzero(far[:, x] <= nearest[x] + 2 * FAR + SLACK):
+            for k in np.flatnonzero(far[:, x] <= nearest[x] + 2 * _far(percent) + SLACK):
                 for name, value in zip(out, (int(salted[k].astype(np.int64)), node, root, far[k, x], pivot), strict=True):
                     out[name].append(value)
                 pivot = None
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
-def _divide(members: DataFrame, most: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+def _divide(members: DataFrame, most: int, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """One Voronoi round over large regions(region, node, n, set): (links, cells left to solve).
 
     A region whose cells would hold half of it or more each, on average, stays one cell (see _blocks()).
@@ -373,13 +381,13 @@ def _divide(members: DataFrame, most: int, pivots: int) -> tuple[DataFrame, Data
     dealt = members.join(salts, "region").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select("region", "salt", "node", "set")
     centres = picked.join(salts, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "node", "set")
     centres = centres.toDF("c_region", "c_salt", "c_node", "c_set")
-    cells = dealt.groupBy("region", "salt").cogroup(centres.groupBy("c_region", "c_salt")).applyInArrow(_to_cells, CELLS)
+    cells = dealt.groupBy("region", "salt").cogroup(centres.groupBy("c_region", "c_salt")).applyInArrow(lambda a, b: _to_cells(a, b, percent), CELLS)
     cells = runtime.materialise(cells, "voronoi_cells")
     found = cells.where("pivot is not null").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
     roots = cells.groupBy("cell", "root").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))
     main = roots.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("cell", "main")
     others = roots.join(main, "cell").where("root <> main").groupBy("cell", "main").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    left = cells.join(others, "cell").where((F.col("root") != F.col("main")) | F.col("far").between(F.col("low") - FAR - SLACK, F.col("high") + FAR + SLACK))
+    left = cells.join(others, "cell").where((F.col("root") != F.col("main")) | F.col("far").between(F.col("low") - _far(percent) - SLACK, F.col("high") + _far(percent) + SLACK))
     left = left.select("cell", "node").join(members, "node")
     counts = members.groupBy("region").agg(F.count("*").alias("size"))
     spread = left.groupBy("region").agg(F.count("*").alias("held")).join(counts, "region").select("region", (F.col("held") * 2 > F.col("size") * pivots).alias("stuck"))
@@ -405,35 +413,35 @@ def _large(members: DataFrame, most: int) -> DataFrame:
 # --- the join -------------------------------------------------------------------------------------------------
 
 
-def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots: int = 16, depth: int = 3) -> DataFrame:
+def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots: int = 16, depth: int = 3, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Rows of docs(doc_id, text) with the set class of each and its component.
 
     Returns doc_id, row (a hash of doc_id and text), n_shingles, node, component. `node` names the document's shingle set (null where it is empty) and `component` the linked classes (the node
     itself where nothing links). Every row comes back, repeated rows and null doc_ids too; null and empty texts have
     n_shingles 0 and link with nothing; whole texts are read; other columns are not. Regions of more than `most`
     classes (or PER_CLASS times as many shingles) are divided over tasks, at most `depth` times, and then compared in
-    pairs of blocks.
+    pairs of blocks. A shingle has `width` words, and classes of at least `percent` % Jaccard similarity link.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    described = rows.select("row", "doc_id", "text").mapInArrow(lambda b: _describe(b, at_once), "row long, doc_id long, node long, n long, parts binary")
+    described = rows.select("row", "doc_id", "text").mapInArrow(lambda b: _describe(b, at_once, width), "row long, doc_id long, node long, n long, parts binary")
     described = runtime.materialise(described, "shingle_sets")
     order = spark.sparkContext.broadcast(_order_table(described))  # 2^ORDER_BITS bytes
     own = described.where("row is not null")
     # One row speaks for each class.
     speakers = own.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.max("parts").alias("parts"))
 
-    windows = rows.select("text").where("text is not null").mapInArrow(lambda b: _windows(b, order.value), "pivot long, node long, n long")
+    windows = rows.select("text").where("text is not null").mapInArrow(lambda b: _windows(b, order.value, width, percent), "pivot long, node long, n long")
     met = windows.repartition("pivot").sortWithinPartitions("pivot", "n", "node").mapInArrow(_met, "pivot long, node long, n long")
     met = runtime.materialise(met, "shared_windows")
     held = met.select("pivot", "node").join(speakers.select("node", "n", "parts"), "node").select("pivot", "node", "n", "parts")
-    joins = held.repartition("pivot").sortWithinPartitions("pivot", "node").mapInArrow(lambda b: _joins(b, 4096), "src long, dst long").distinct()
+    joins = held.repartition("pivot").sortWithinPartitions("pivot", "node").mapInArrow(lambda b: _joins(b, 4096, percent), "src long, dst long").distinct()
     regions = connected_components(joins, small=0).select(F.col("id").alias("node"), F.col("component").alias("region"))
     speakers = runtime.materialise(speakers.drop("parts").join(regions, "node"), "speakers")
 
     def sets(batches):
         for batch in batches:
-            made = [shingles_of(t).astype("<u8").tobytes() for t in _column(batch, 3)]
+            made = [shingles_of(t, width).astype("<u8").tobytes() for t in _column(batch, 3)]
             yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.binary())], names=["region", "node", "n", "set"])
 
     # A plan that is the same at every size: never the speakers to all texts.
@@ -444,7 +452,7 @@ def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots:
         members = runtime.materialise(members, "region_sets").dropDuplicates(["region", "node"])
         found = [members.join(large, "region", "left_anti")]
         for _ in range(depth):
-            got, members = _divide(members.join(large, "region", "left_semi"), most, pivots)
+            got, members = _divide(members.join(large, "region", "left_semi"), most, pivots, percent)
             linked = got if linked is None else linked.union(got)
             members = runtime.materialise(members, "region_sets")
             large = _large(members, most)
@@ -457,7 +465,7 @@ def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots:
     todo = found[0]
     for more in found[1:]:
         todo = todo.unionByName(more)
-    stars = todo.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_solve, "src long, dst long")
+    stars = todo.repartition("region").sortWithinPartitions("region", "node").mapInArrow(lambda b: _solve(b, percent), "src long, dst long")
     if linked is None:
         joined = stars.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     else:

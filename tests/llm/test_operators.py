@@ -226,6 +226,20 @@ def test_jaccard_drifting_family(spark):
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.components(df, most=4, pivots=pivots, depth=2).collect()) == want
 
 
+@pytest.mark.parametrize("most, pivots", [(4096, 16), (2, 4)])
+def test_jaccard_width_and_percent(spark, most, pivots):
+    """The pipeline's stage: a copy with 20 % more text goes, one with 40 % more stays."""
+    import corpus_pipeline
+
+    w = [f"word{k}" for k in range(200)]
+    rows = [(1, w), (2, [*w, *(f"more{k}" for k in range(44))]), (3, [*w, *(f"much{k}" for k in range(80))]), (4, [*w, *(f"some{k}" for k in range(45))])]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in rows], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.components(df, most=most, pivots=pivots, width=5, percent=80).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert {r.doc_id: r.component_id for r in jaccard.components(df, most=most, pivots=pivots).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {1, 3}
+
+
 def test_jaccard_recursion():
     """The recursion on sets in memory, deep, against all pairs."""
     rng = np.random.default_rng(4)
