@@ -4,7 +4,8 @@ A text is lower-cased and all but its letters become spaces; its byte n-grams of
 fixed number of hashed dimensions. Counts are damped (1 + log), weighted by inverse document frequency and scaled
 to length one. Each language has several centroids, found by spherical k-means over its training vectors; a text
 gets the language of the centroid of largest cosine. A text is rejected if it has no letter, or if its distance
-to the nearest centroid is larger than that of every training text, with a margin.
+to the nearest centroid is larger than the radius of that centroid's language: a high quantile of the distances of
+training texts from centroids of which they were held back, with a margin that leaves room for texts of a word or two.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
 @dataclass
 class Model:
-    """Centroids of all languages: `vectors` [centroid, dimension], the language of each, and the rejection distance."""
+    """Centroids of all languages: `vectors` [centroid, dimension], the language and the rejection distance of each."""
 
     idf: np.ndarray
     vectors: np.ndarray
     languages: list[str]
-    radius: float
+    radius: np.ndarray
 
     @property
     def dimensions(self) -> int:
@@ -77,13 +78,22 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, per_language: int = 500, centroids: int = 4, dimensions: int = 1 << 13, margin: float = 0.2, most_languages: int = 1000, most_rows: int = 3000) -> Model:
+def _held_back(x: np.ndarray, k: int) -> np.ndarray:
+    """Distances of the rows of each half (every other row) from the nearest centroid of the other half."""
+    halves = (x[::2], x[1::2])
+    return np.concatenate([1 - (b @ _spherical_kmeans(a, k).T).max(axis=1) for a, b in (halves, halves[::-1])])
+
+
+def fit(labelled: DataFrame, per_language: int = 500, centroids: int = 4, dimensions: int = 1 << 13, margin: float = 0.2, quantile: float = 0.99, farthest: float = 0.92, most_languages: int = 1000, most_rows: int = 3000) -> Model:
     """Fit a model on labelled(doc_id, text, lang), rows with null lang or text left out.
 
     The fit uses a bounded sample: about `per_language` rows of each language, chosen by a hash of doc_id with a
     threshold from the language's row count (all rows where it has fewer), about `most_rows` in all. Whole texts are turned into sparse
     vectors on the executors; only those come to the driver, at most `dimensions` numbers a row. Languages are
     as many as `lang` has values, `most_languages` at most. Fails if no row is labelled.
+
+    The radius of a language is the `quantile` of its held-back distances plus `margin`, `farthest` at most, so a
+    few odd or mislabelled rows do not set it.
     """
     rows = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().take(most_languages + 1)}
@@ -114,14 +124,15 @@ def fit(labelled: DataFrame, per_language: int = 500, centroids: int = 4, dimens
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     langs = np.array(got["lang"].to_pylist())
     first = np.flatnonzero(np.concatenate([[True], langs[1:] != langs[:-1], [True]]))
-    c, of, farthest = [], [], 0.0
+    c, of, radius = [], [], []
     for a, b in zip(first[:-1], first[1:], strict=True):
         own = x[a:b]
         centres = _spherical_kmeans(own, centroids)
         c += list(centres)
         of += [str(langs[a])] * len(centres)
-        farthest = max(farthest, 1 - float((own @ centres.T).max(axis=1).min()))
-    return Model(idf, np.array(c, np.float32), of, min(farthest + margin, 1.0))
+        far = float(np.quantile(_held_back(own, centroids), quantile)) if len(own) > 1 else 1.0
+        radius += [min(far + margin, farthest)] * len(centres)
+    return Model(idf, np.array(c, np.float32), of, np.array(radius))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -150,7 +161,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 cosine = _unit(block * m.idf) @ m.vectors.T
                 best[first : first + len(block)] = cosine.argmax(axis=1)
                 score[first : first + len(block)] = cosine.max(axis=1)
-            rejected = none | (1 - score > m.radius)
+            rejected = none | (1 - score > m.radius[best])
             score = np.where(none, 0.0, np.clip(score, 0, 1))
             named = np.where(none, UNDETERMINED, languages[best])
             yield pa.record_batch([*batch.columns[:-1], pa.array(named, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])

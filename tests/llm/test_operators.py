@@ -161,6 +161,18 @@ def test_language_id(spark, odd, none):
         langid.fit(none)
 
 
+def test_language_rejection_of_a_large_fit(spark):
+    """Other scripts and mash go, though a few training rows are in one more script; the clean ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    odd = ["Это обычный русский текст о погоде и о людях, которые живут в городе", "这是一个关于天气和城市的普通中文文本。", "これは日本語の文章です", "asdf jkl; qwer zxcv uiop asdfgh hjkl qwerty zxcvbn", "xkcd qzvw jjjj ppqq wrtx vbnm ghjk"]
+    model = langid.fit(docs.union(spark.createDataFrame([(-k, "ζωή και θάλασσα στην πόλη", "en") for k in range(1, 6)], docs.schema)))
+    given = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "doc_id long, text string")
+    assert all(r["rejected"] for r in table(langid.predict(given, model, ["doc_id"])))
+    assert langid.predict(docs.where("text rlike '[a-zA-Z]'"), model, ["doc_id"]).where("rejected").count() == 0
+    short = spark.createDataFrame([(1, "This."), (2, "the cat"), (3, "hello world this is a test")], "doc_id long, text string")
+    assert not any(r["rejected"] for r in table(langid.predict(short, model, ["doc_id"])))
+
+
 # --- Jaccard
 
 
