@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.tokens import crc32_of_ids, encoder, strings
+from loomgraph.llm.tokens import encoder
 
 
 class OpenBins:
@@ -67,21 +69,22 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, en
 
     def cut(batches):
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], enc.dtype).tobytes()
-        names = [f.name for f in (PIECES_WITH_IDS if with_ids else PIECES)]
         for batch in batches:
-            rows: dict[str, list] = {n: [] for n in names}
-            for d, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-                ids = np.frombuffer(enc.ids_bytes(text) + end, enc.dtype)
-                stops = range(ids.size % capacity or capacity, ids.size + 1, capacity)
-                start = 0
-                for k, stop in enumerate(stops):
-                    part = ids[start:stop]
-                    for name, value in zip(names, (d, k, start, stop - start, crc32_of_ids(part), part.tobytes() if with_ids else None), strict=False):
-                        rows[name].append(value)
-                    start = stop
-            kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
-            yield pa.record_batch([pa.array(rows[n], kinds[n]) for n in names], names=names)
+            found = enc.batch(batch.column(1), end_id)
+            total = np.diff(found.id_edges)
+            count = -(-total // capacity)
+            doc = np.repeat(np.arange(total.size), count)
+            piece = np.arange(doc.size) - np.repeat(np.cumsum(count) - count, count)
+            head = total - (count - 1) * capacity
+            start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
+            length = np.where(piece == 0, head[doc], capacity)
+            raw = memoryview(found.ids.astype("<u4").tobytes())
+            at = (found.id_edges[doc] + start).tolist()
+            crcs = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at, length.tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+            if with_ids:
+                columns.append(pa.array([found.ids[a : a + n].tobytes() for a, n in zip(at, length.tolist(), strict=True)], pa.binary()))
+            yield pa.record_batch(columns, names=[f.name for f in (PIECES_WITH_IDS if with_ids else PIECES)])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(cut, PIECES_WITH_IDS if with_ids else PIECES)

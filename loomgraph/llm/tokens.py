@@ -1,9 +1,9 @@
 """Token ids of whole texts, and the fixed-shape Arrow files that hold them (operator 10).
 
-`Encoder` gives the same ids as the tokenizers library gives for the whole text, but asks the library only for
-words it has not met: byte-level BPE never merges across a space that follows a visible character, so a text is
-cut there and the pieces are looked up. Texts whose white space makes such a cut unsafe go through slower exact
-paths. The caches are bounded and are emptied when full.
+`Encoder` gives the same ids as the tokenizers library gives for the whole text, but asks the library's model only
+for words it has not met: byte-level BPE never merges across a space that follows a visible character, so texts are
+cut there, the distinct pieces of a batch are looked up, and the ids are gathered from those. Texts whose white space
+makes such a cut unsafe go through slower exact paths. The caches are bounded and are emptied when full.
 """
 
 from __future__ import annotations
@@ -11,23 +11,40 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import runtime
 
-#: A word of letters below U+0250 with its closing marks: two pre-tokens whatever stands around them.
-PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
-#: Cuts an ASCII text at places where pre-tokens end.
-ASCII_CHUNK = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+# The pre-tokens of byte-level BPE for texts of the letters below U+0250, ASCII marks and white space.
+LETTER, DIGIT, SPACE = "A-Za-zÀ-ÖØ-öø-ɏ", "0-9", r"\t-\r\x1c-\x20"
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{LETTER}{DIGIT}{SPACE}\0]+|[{SPACE}]+(?![^{SPACE}\0])|[{SPACE}]+|\0")
+#: Texts for which PRE_TOKEN is exact, whatever Unicode version the library knows.
+KNOWN = re.compile(rf"[{LETTER}\t-\r\x20-\x7e]*")
+KNOWN_RE2 = rf"\A[{LETTER}\t-\r\x20-\x7e]*\z"
+#: Pieces that are empty or end in white space.
+LOOSE_RE2 = r"(?:\A|[\t-\r\x1c-\x20\x{85}\p{Z}])\z"
+#: Stands between pieces that are looked up together.
+MARK = "\0"
 
 
-class _Unsafe(Exception):
-    """The cut at single spaces is not exact for this text."""
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte: visible Latin-1 bytes are themselves, others follow U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
+def _joined(texts: pa.Array, mark: str) -> str:
+    """The texts one after another with a mark between them."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(texts)], texts.cast(pa.large_string())), pa.scalar(mark, pa.large_string()))[0].as_py()
 
 
 class _Pieces(dict):
@@ -45,6 +62,37 @@ class _Pieces(dict):
         return out
 
 
+@dataclass
+class Encoded:
+    """A batch of texts as runs of pieces: `codes` into a table of ids, and the edges of each text in `codes`."""
+
+    codes: np.ndarray
+    edges: np.ndarray
+    table: np.ndarray  # ids of the distinct pieces, one after another
+    first: np.ndarray  # where each of them begins in the table
+    size: np.ndarray  # and how many ids it has
+    texts: pa.Array  # the distinct pieces, the first `spaced` of which follow a space
+    spaced: int
+    uncut: int  # the first piece that is a whole text
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Ids of each piece."""
+        return self.size[self.codes]
+
+    @cached_property
+    def id_edges(self) -> np.ndarray:
+        """Where each text's ids begin, and the end of the last."""
+        return np.concatenate([[0], np.cumsum(self.sizes)])[self.edges]
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        """The ids of all texts one after another."""
+        ends = np.cumsum(self.sizes)
+        total = int(ends[-1]) if ends.size else 0
+        return self.table[np.repeat(self.first[self.codes] - (ends - self.sizes), self.sizes) + np.arange(total)]
+
+
 class Encoder:
     """Ids of texts by a tokenizers file; equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
@@ -52,44 +100,113 @@ class Encoder:
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        with open(path) as f:
+            kind = json.load(f)
+        pre = kind["pre_tokenizer"] or {}
+        #: Whether words can be handed to the model itself; other kinds of files go through the whole library.
+        self.plain = kind["model"]["type"] == "BPE" and kind["normalizer"] is None and kind["post_processor"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+        self.letters = _byte_letters()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = _Pieces(self._by_library, most)
-        self.chunks = _Pieces(self._by_library, most // 4)
-        self.rest = _Pieces(self._after_space, most)
+        self.words = _Pieces(self._by_model, most)
+        self.foreign = _Pieces(self._by_library, most // 10)
 
     def _by_library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _after_space(self, piece: str) -> bytes:
-        if not piece or piece[-1].isspace():
-            raise _Unsafe
-        if m := PLAIN_WORD.fullmatch(piece):
-            word = self.words[" " + m[1]]
-            return word + self.words[m[2]] if m[2] else word
-        return self._by_library(" " + piece)
+    def _by_model(self, word: str) -> bytes:
+        """The ids of one pre-token; none for the mark between pieces."""
+        if word == MARK:
+            return b""
+        spelled = word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        """The ids of a text that is not cut."""
+        if self.plain and KNOWN.fullmatch(text) and not any(a in text for a in self.added):
+            return b"".join(map(self.words.__getitem__, PRE_TOKEN.findall(text)))
+        return self._by_library(text)
 
     def ids_bytes(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(a in text for a in self.added):
-            return self._by_library(text)
-        head, *rest = text.split(" ")
-        try:
-            if not head or head[-1].isspace():
-                raise _Unsafe
-            return self._by_library(head) + b"".join(map(self.rest.__getitem__, rest))
-        except _Unsafe:
-            if text.isascii():
-                return b"".join(map(self.chunks.__getitem__, ASCII_CHUNK.findall(text)))
-            return self._by_library(text)
+        """The ids of one text."""
+        return self.batch(pa.array([text], pa.large_string())).ids.tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.ids_bytes(text), self.dtype)
 
+    def _pieces(self, pieces: pa.Array, heads: pa.Array) -> tuple[bytes, np.ndarray]:
+        """Ids of all pieces, each after a space, and of heads, without one; and the number of ids of each."""
+        both = pa.concat_arrays([pieces, heads])
+        odd = np.flatnonzero(~pc.match_substring_regex(both, KNOWN_RE2).to_numpy(zero_copy_only=False))
+        if odd.size:  # these are left out of the joined text and asked for one by one
+            both = pc.if_else(pa.array(np.isin(np.arange(len(both)), odd)), pa.scalar("", both.type), both)
+        spaced = _joined(both.slice(0, len(pieces)), MARK + " ")
+        joined = f" {spaced}{MARK}" * bool(len(pieces)) + _joined(both.slice(len(pieces)), MARK) + MARK * bool(len(heads))
+        found = list(map(self.words.__getitem__, PRE_TOKEN.findall(joined)))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        ends = np.cumsum(size)[size == 0]  # only marks have no id
+        each = np.diff(ends, prepend=0)
+        raw = b"".join(found)
+        if odd.size:
+            given = np.flatnonzero(each * np.isin(np.arange(each.size), odd))  # a piece left out is the lone space before it
+            kept = np.repeat(~np.isin(np.arange(each.size), given), each)
+            raw = np.frombuffer(raw, self.dtype)[kept].tobytes()
+            each[given] = 0
+            texts = pa.concat_arrays([pieces, heads]).take(pa.array(odd)).to_pylist()
+            asked = [self.foreign[" " + t if k < len(pieces) else t] for k, t in zip(odd.tolist(), texts, strict=True)]
+            edges = (np.cumsum(each)[odd] * self.dtype.itemsize).tolist()
+            out, at = [], 0
+            for edge, ids in zip(edges, asked, strict=True):
+                out += [raw[at:edge], ids]
+                at = edge
+            raw = b"".join([*out, raw[at:]])
+            each[odd] = [len(ids) // self.dtype.itemsize for ids in asked]
+        return raw, each
+
+    def batch(self, texts: pa.Array, end_id: int | None = None) -> Encoded:
+        """The ids of an Arrow array of texts (null: empty), each followed by end_id where one is given."""
+        if not len(texts):
+            none = np.zeros(0, np.int64)
+            return Encoded(none, np.zeros(1, np.int64), none.astype(self.dtype), none, none, pa.array([], pa.string()), 0, 0)
+        parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        first = parts.offsets.to_numpy().astype(np.int64)
+        first, flat = first - first[0], parts.flatten().dictionary_encode()
+        codes, pieces = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+        # A piece that ends in white space, or is empty, makes the cuts beside it unsafe.
+        loose = pc.match_substring_regex(pieces, LOOSE_RE2).to_numpy(zero_copy_only=False)
+        whole = np.add.reduceat(loose[codes], first[:-1], dtype=np.int64) > 0 if self.plain else np.ones(len(texts), bool)
+        for a in self.added:
+            whole |= pc.fill_null(pc.match_substring(texts, a), False).to_numpy(zero_copy_only=False)
+        # The first piece of a text has no space before it; a text that is not cut is one piece of its own.
+        heads = np.flatnonzero(~whole)
+        head_codes = codes[first[:-1][heads]]
+        codes[first[:-1][heads]] = len(pieces) + np.arange(heads.size)
+        more: list[bytes] = []
+        uncut = texts.filter(pa.array(whole))
+        if whole.any():
+            kept = np.repeat(~whole, np.diff(first))
+            kept[first[:-1][whole]] = True
+            codes[first[:-1][whole]] = len(pieces) + heads.size + np.arange(int(whole.sum()))
+            first = np.concatenate([[0], np.cumsum(np.where(whole, 1, np.diff(first)))])
+            codes = codes[kept]
+            more = [self._whole(t.as_py() or "") for t in uncut]
+        if end_id is not None:
+            more.append(np.array([end_id], self.dtype).tobytes())
+            codes = np.insert(codes, first[1:], len(pieces) + heads.size + len(more) - 1)
+            first = first + np.arange(first.size)
+        used = np.zeros(len(pieces), bool)
+        used[codes[codes < len(pieces)]] = True
+        first_pieces = pieces.take(pa.array(head_codes))
+        raw, size = self._pieces(pc.if_else(pa.array(used), pieces, pa.scalar("", pieces.type)), first_pieces)
+        size = np.concatenate([size, np.fromiter(map(len, more), np.int64, len(more)) // self.dtype.itemsize])
+        return Encoded(codes, first, np.frombuffer(raw + b"".join(more), self.dtype), np.cumsum(size) - size, size, pa.concat_arrays([pieces, first_pieces, pc.fill_null(uncut, "")]), len(pieces), len(pieces) + heads.size)
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -211,7 +328,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, length:
         import uuid
 
         enc, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
         files, top = _filesystem(folder)
         doc_ids, lengths, out = [], [], None
         for batch in batches:
@@ -220,17 +336,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, length:
                 name = f"{shard:06d}-{uuid.uuid4().hex}"
                 sink = files.open_output_stream(f"{top}/{name}.ids.arrow")
                 out = SequenceWriter(sink, enc.dtype, length, batch_rows)
-            for d, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-                ids = enc.ids_bytes(text) + end
-                out.add(ids)
-                doc_ids.append(d)
-                lengths.append(len(ids) // enc.dtype.itemsize)
+            if batch.num_rows:
+                found = enc.batch(batch.column(1), end_id)
+                out.add(found.ids.tobytes())
+                doc_ids.append(batch.column(0))
+                lengths.append(np.diff(found.id_edges))
         if out is None:
             return
         out.close()
         sink.close()
-        n = np.array(lengths, "i8")
-        table = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "start": np.cumsum(n) - n, "length": n})
+        n = np.concatenate(lengths)
+        table = pa.table({"doc_id": pa.chunked_array(doc_ids, pa.int64()), "start": np.cumsum(n) - n, "length": n})
         with files.open_output_stream(f"{top}/{name}.docs.arrow") as sink, pa.ipc.new_file(sink, table.schema) as w:
             w.write_table(table)
         total = int(n.sum())
