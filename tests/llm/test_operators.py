@@ -66,6 +66,11 @@ def test_encoder_is_the_library():
         for _ in range(400):
             text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
             assert enc.ids(text).tolist() == ids_of(text), repr(text)
+    rows = ["".join(rng.choice("ab's\0é× 1\n\t.<日\x1cٱ ") for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["a <|endoftext|> b", None, "a  b"]
+    for end in (None, 2):
+        found = enc.batch(pa.array(rows), end)
+        for k, text in enumerate(rows):
+            assert found.ids[found.id_edges[k] : found.id_edges[k + 1]].tolist() == ids_of(text) + [2] * (end is not None), repr(text)
 
 
 @pytest.mark.parametrize("name", ["odd", "small"])
@@ -528,6 +533,28 @@ def test_edited_counts(odd, small, none, spark):
     assert edit_counts.edited_counts(none, PATH).count() == 0
 
 
+def test_kept_trees(spark, odd):
+    """A second round of edits starts from the stored leaves of the first and encodes only what it touches."""
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["alpha", "beta,", "gamma\n", "10", "a@b.org"]) for _ in range(4000))
+    df = spark.createDataFrame([(1, long), (2, long + " x  y <|endoftext|> a@b.org"), (3, "no edit at all"), (4, None), (1, long)], "doc_id long, text string")
+    trees = runtime.materialise(edit_counts.segment_trees(df, PATH), "trees")
+    for r in trees.collect():
+        assert sum(r.tokens) == len(ids_of({1: long, 2: long + " x  y <|endoftext|> a@b.org", 3: "no edit at all"}.get(r.doc_id)))
+    assert {len(r.chars) > 100 for r in trees.where("doc_id < 3").collect()} == {True}
+    first = runtime.materialise(edit_counts.apply_edits(trees, edit_counts.edit_log(df), PATH), "trees")
+    assert {(r.doc_id, r.n_edits > 0) for r in first.collect()} == {(1, True), (2, True), (3, False), (4, False)}
+    # The second log is one more edit in the middle of each changed text.
+    log = first.where("text is not null").dropDuplicates(["row"]).selectExpr("row", "text", "array(named_struct('start', 9000, 'stop', 9005, 'new', 'new words')) as edits")
+    second = edit_counts.apply_edits(first, log, PATH).collect()
+    assert len(second) == 5
+    for r in second:
+        if r.n_edits:
+            assert r.n_tokens_after == len(ids_of(r.text)) == sum(r.tokens) and 0 < r.n_chars_encoded_again < 2000
+        else:
+            assert r.n_tokens == r.n_tokens_after and not r.n_chars_encoded_again
+
+
 # --- SQL
 
 
