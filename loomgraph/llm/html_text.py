@@ -1,18 +1,19 @@
 """Main text of web pages by tag-path ratios (operator 6).
 
-A page is read into blocks of text, each with its root-to-leaf tag path. Text length and punctuation are summed
-for each path, set against the number of blocks and the share of link text, smoothed along the order in which
-paths come in the page, and fused with the best sibling under the same container. Paths above a threshold select
-the content nodes; the lowest element that holds all of them is the article, and all its blocks are returned but
-those of menus, forms, adverts, comments and the like inside it.
+A page is read, in one pass, into blocks of text, each with its root-to-leaf tag path. Text length, punctuation and
+link text are summed for each path and set against its number of blocks, smoothed along the order in which paths come
+in the page, and fused with the best sibling under the same container. Element and class names only weigh a path's
+score. Paths above a threshold are content; the article is the innermost element that holds most of their text, and
+all its blocks are returned but those of paths that score as menus, adverts, comments and the like inside it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,148 +37,261 @@ NAMED = re.compile(
 )
 #: Elements to which those words are not applied.
 NEVER_NAMED = frozenset(("html", "body", "article", "main"))
+ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: How names weigh the text of a path: inside an article element, inside one with a name of boilerplate.
+FOR, AGAINST = 10.0, 0.01
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
+NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+#: The rest of a tag: quotes hold a value only after an equals sign.
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+>")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？]")
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
 
-@dataclass
+@dataclass(slots=True)
 class _Element:
     name: str
-    serial: int
-    out: bool  # it or an ancestor is not article text
-    path: str
+    serial: int  # its own where it is a block element, else that of the one around it
+    named: int  # how many of it and its ancestors have a name of boilerplate
+    path: int
 
 
-@dataclass
+NONE = _Element("", 0, 0, 0)
+
+
+@dataclass(slots=True)
 class _Block:
-    parts: list[str] = field(default_factory=list)
+    element: int  # the innermost block element
+    path: int
+    named: int
+    inside: bool  # an article element
+    heading: bool
+    parts: list[str]
     links: int = 0
-    chain: tuple[int, ...] = ()
-    path: str = ""
-    out: bool = False
     text: str = ""
 
 
-def _is_out(name: str, attributes: str, inside_article: bool) -> bool:
-    if name in BOILERPLATE or (name == "header" and not inside_article):
+def _is_named(name: str, attributes: str, inside_article: bool, lists: bool) -> bool:
+    """Whether an element's name or attributes speak of boilerplate; without `lists` only hidden ones count."""
+    if lists and (name in BOILERPLATE or (name == "header" and not inside_article)):
         return True
     if not attributes or name in NEVER_NAMED:
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id", "role") and NAMED.search(value):
+        if lists and key in ("class", "id", "role") and NAMED.search(value):
             return True
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
             return True
     return False
 
 
-def blocks_of(page: str) -> list[_Block]:
-    """The blocks of a page in order, white space not yet folded into their text."""
-    stack: list[_Element] = []
-    blocks: list[_Block] = []
-    now, serial, at = _Block(), 0, 0
+class Page:
+    """The blocks of a page in order, its elements and its paths; read in time linear in its length."""
 
-    def flush() -> None:
-        nonlocal now
-        text = " ".join(html.unescape("".join(now.parts)).split())
-        if text:
+    def __init__(self, page: str, lists: bool = True):
+        self.page, self.lists = page, lists
+        self.blocks: list[_Block] = []
+        self.parent = [0]  # of each block element, by serial; 0 is the page
+        self.up = [0]  # the parent of each path
+        self.paths: dict[tuple[int, str], int] = {}
+        self.stack: list[_Element] = []
+        self.where: dict[str, list[int]] = defaultdict(list)  # places of open elements by name; "" for all block elements
+        self.missing: set[str] = set()  # elements known to have no end tag further on
+        self.articles = self.headings = 0  # open elements of these kinds
+        self.now = _Block(0, 0, 0, False, False, [])
+        self._read()
+
+    def _flush(self) -> None:
+        now = self.now
+        if now.parts and (text := " ".join(html.unescape("".join(now.parts)).split())):
             now.text = text
-            blocks.append(now)
-        now = _Block(chain=tuple(e.serial for e in stack if e.name in BLOCK), path=stack[-1].path if stack else "", out=bool(stack) and stack[-1].out)
+            self.blocks.append(now)
+        top = self.stack[-1] if self.stack else NONE
+        self.now = _Block(top.serial, top.path, top.named, self.articles > 0, self.headings > 0, [])
 
-    def say(text: str) -> None:
+    def _say(self, text: str) -> None:
         if text:
-            now.parts.append(text)
-            if any(e.name == "a" for e in stack[-3:]):
-                now.links += len(text.strip())
-
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None)
-            if depth is not None and not (name not in BLOCK and any(e.name in BLOCK for e in stack[depth + 1 :])):
-                block = any(e.name in BLOCK or e.out for e in stack[depth:])
-                del stack[depth:]
-                if block:
-                    flush()
-            continue
-        if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if name == "head" and end is None:
-                    continue
-                at = end.end() if end else len(page)
-            continue
-        if name in VOID:
-            now.parts.append(" ")
-            if name == "hr":
-                flush()
-            continue
+            self.now.parts.append(text)
+            if self.where["a"]:
+                self.now.links += len(text.strip())
+
+    def _pop(self, depth: int) -> bool:
+        """Close all elements from a depth on; whether that ends the block."""
+        ends = False
+        for e in reversed(self.stack[depth:]):
+            self.where[e.name].pop()
+            if e.name in BLOCK:
+                self.where[""].pop()
+                self.articles -= e.name in ARTICLE
+                self.headings -= e.name in HEADINGS
+                ends = True
+            ends |= e.named > 0
+        del self.stack[depth:]
+        return ends
+
+    def _open(self, name: str, attributes: str) -> None:
         if name in BLOCK or name in CLOSES:
-            low = max((k for k, e in enumerate(stack) if e.name in SCOPE.get(name, ())), default=-1)
-            for k in range(low + 1, len(stack)):
-                if stack[k].name == "p" or stack[k].name in CLOSES.get(name, ()):
-                    del stack[k:]
-                    break
-        serial += 1
-        out = (bool(stack) and stack[-1].out) or _is_out(name, m[3], any(e.name in ("article", "main") for e in stack))
-        path = f"{stack[-1].path}/{name}" if stack else name
-        stack.append(_Element(name, serial, out, path if name in BLOCK or not stack else stack[-1].path))
-        if name in BLOCK or out:
-            flush()
-    flush()
-    return blocks
-
-
-def _scores(blocks: list[_Block], width: int) -> dict[str, float]:
-    """The fused, smoothed ratio of each path."""
-    length, marks, links, count = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in blocks:
+            low = max((self.where[n][-1] for n in SCOPE[name] if self.where[n]), default=-1) if name in SCOPE else -1
+            above = [w[k] for n in ("p", *CLOSES.get(name, ())) if (w := self.where[n]) and (k := bisect_right(w, low)) < len(w)]
+            if above:
+                self._pop(min(above))
+        top = self.stack[-1] if self.stack else NONE
+        named = _is_named(name, attributes, self.articles > 0, self.lists)
+        path, serial, block = top.path, top.serial, name in BLOCK
+        if block or top is NONE:
+            path = self.paths.setdefault((path, name), len(self.up))
+            if path == len(self.up):
+                self.up.append(top.path)
+        if block:
+            self.parent.append(serial)
+            serial = len(self.parent) - 1
+            self.where[""].append(len(self.stack))
+            self.articles += name in ARTICLE
+            self.headings += name in HEADINGS
+        self.where[name].append(len(self.stack))
+        self.stack.append(_Element(name, serial, top.named + named, path))
+        if block or named:
+            self._flush()
+
+    def _close(self, name: str) -> None:
+        if not (places := self.where[name]):
+            return
+        depth = places[-1]
+        if name not in BLOCK and self.where[""] and self.where[""][-1] > depth:
+            return
+        if self._pop(depth):
+            self._flush()
+
+    def _after(self, name: str, at: int) -> int | None:
+        """The place after the next end tag of an element, if there is one."""
+        if name in self.missing:
+            return None
+        end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.page, at)
+        close = self.page.find(">", end.end()) if end else -1
+        if close < 0:
+            self.missing.add(name)
+            return None
+        return close + 1
+
+    def _read(self) -> None:
+        page, at, size = self.page, 0, len(self.page)
+        while at < size:
+            start = page.find("<", at)
+            if start < 0:
+                self._say(page[at:])
+                break
+            self._say(page[at:start])
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else size
+                continue
+            m = NAME.match(page, start + 1)
+            if m is None and not page.startswith(("<!", "<?", "</"), start):
+                self._say("<")
+                at = start + 1
+                continue
+            if m is None:
+                end = page.find(">", start)
+                at = end + 1 if end >= 0 else size
+                continue
+            rest = REST.match(page, m.end())
+            if rest is None:  # the page ends inside the tag
+                break
+            at, name, attributes = rest.end(), m[2].lower(), page[m.end() : rest.end() - 1]
+            if m[1]:
+                self._close(name)
+            elif name in RAW:
+                if not attributes.rstrip().endswith("/"):
+                    end = self._after(name, at)
+                    if end is not None or name != "head":
+                        at = size if end is None else end
+            elif name in VOID:
+                self.now.parts.append(" ")
+                if name == "hr":
+                    self._flush()
+            else:
+                self._open(name, attributes)
+        self._flush()
+
+
+def path_scores(page: Page, width: int = 1) -> dict[int, float]:
+    """The smoothed, fused ratio of each path, weighed by names."""
+    length, marks, links, weight, count = (defaultdict(float) for _ in range(5))
+    for b in page.blocks:
         length[b.path] += len(b.text)
         marks[b.path] += len(PUNCTUATION.findall(b.text))
         links[b.path] += b.links
+        weight[b.path] += _weight(b) * len(b.text)
         count[b.path] += 1
     order = list(length)
-    raw = [max(0, length[p] - 2 * links[p]) / count[p] * (1 + marks[p] / count[p]) for p in order]
-    smooth = []
-    for k in range(len(order)):
+    raw = [max(0.0, length[p] - 2 * links[p]) / count[p] * (1 + marks[p] / count[p]) * weight[p] / length[p] for p in order]
+    fused = {}
+    for k, p in enumerate(order):
         near = raw[max(0, k - width) : k + width + 1]
-        smooth.append(sum(near) / len(near))
-    fused = {p: (r * s) ** 0.5 for p, r, s in zip(order, raw, smooth, strict=True)}
-    best: dict[str, float] = defaultdict(float)
+        fused[p] = (raw[k] * sum(near) / len(near)) ** 0.5
+    best: dict[int, float] = defaultdict(float)
     for p, v in fused.items():
-        best[p.rpartition("/")[0]] = max(best[p.rpartition("/")[0]], v)
-    return {p: (v + best[p.rpartition("/")[0]]) / 2 for p, v in fused.items()}
+        best[page.up[p]] = max(best[page.up[p]], v)
+    return {p: (v + best[page.up[p]]) / 2 for p, v in fused.items()}
+
+
+def _weight(b: _Block) -> float:
+    return AGAINST if b.named else FOR if b.inside else 1.0
 
 
-def main_text(page: str | None, threshold: float = 0.5, width: int = 1) -> str:
-    """The article's text: its blocks in page order, white space folded, joined by newlines; '' where there is none."""
-    found = blocks_of(page or "")
-    if not (kept := [b for b in found if not b.out]):
+def main_text(page: str | None, threshold: float = 0.5, width: int = 1, lists: bool = True) -> str:
+    """The article's text: its blocks in page order, white space folded, joined by newlines; '' where there is none.
+
+    Without `lists`, names of elements and classes that speak of boilerplate say nothing. Where all text of a page has
+    such a name, it must outweigh them as any path must: 10 / AGAINST characters at least.
+    """
+    read = Page(page or "", lists)
+    if not read.blocks:
         return ""
-    score = _scores(kept, width)
+    score = path_scores(read, width)
     cut = threshold * max(score.values())
-    content = [b for b in kept if score[b.path] >= cut]
-    chain = list(content[0].chain)
-    for b in content[1:]:
-        n = next((k for k, (x, y) in enumerate(zip(chain, b.chain, strict=False)) if x != y), min(len(chain), len(b.chain)))
-        del chain[n:]
-    # A single paragraph stands for its container: the article is an element that holds blocks, not one block.
-    if chain and all(b.chain == tuple(chain) for b in content) and len(chain) > 1:
-        chain.pop()
-    held = tuple(chain)
-    return "\n".join(b.text for b in kept if b.chain[: len(held)] == held)
+    mass = [0.0] * len(read.parent)
+    own: dict[int, float] = defaultdict(float)
+    for b in read.blocks:
+        if score[b.path] >= cut:
+            own[b.element] += len(b.text) * score[b.path]
+    if all(b.named for b in read.blocks) and sum(len(b.text) for b in read.blocks) < 10 / AGAINST:
+        return ""
+    for serial, m in own.items():
+        mass[serial] += m
+    for serial in range(len(mass) - 1, 0, -1):  # an element comes after its parent
+        mass[read.parent[serial]] += mass[serial]
+    # Down from the page into the element that holds most, while one does and it is not a single block of text.
+    children: dict[int, list[int]] = defaultdict(list)
+    holds = {read.parent[serial] for serial in range(1, len(mass))}
+    for serial in range(1, len(mass)):
+        children[read.parent[serial]].append(serial)
+    at = 0
+    while children[at]:
+        best = max(children[at], key=lambda k: (mass[k], -k))
+        if mass[best] <= 0.5 * mass[at] or best not in holds:
+            break
+        at = best
+    inside = [False] * len(mass)
+    inside[at] = True
+    for serial in range(at + 1, len(mass)):
+        inside[serial] = inside[read.parent[serial]]
+    held = [b for b in read.blocks if inside[b.element]]
+    level = min((b.named for b in held), default=0)  # names above the article say nothing inside it
+    length, links = defaultdict(int), defaultdict(int)
+    for b in held:
+        length[b.path] += len(b.text)
+        links[b.path] += b.links
+
+    def stays(b: _Block) -> bool:
+        if b.named > level:
+            return False
+        return b.heading or score[b.path] >= cut or links[b.path] <= 0.8 * length[b.path]
+
+    return "\n".join(b.text for b in held if stays(b))
 
 
 def extract(pages: DataFrame, threshold: float = 0.5, width: int = 1) -> DataFrame:

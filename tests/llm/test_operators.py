@@ -489,10 +489,42 @@ def test_html_of_pages(spark):
         inner = re.search("<article>(.*)</article>", r.html, re.S)[1]
         want = [" ".join(html_text.html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
         assert got[r.page_id].text == "\n".join(b for b in want if b) and got[r.page_id].n_chars == len(got[r.page_id].text)
+    # The scores decide: without the lists of names nearly all pages keep their text.
+    htmls = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert sum(html_text.main_text(h, lists=False) == html_text.main_text(h) for h in htmls) >= 0.95 * len(htmls)
     empty = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", "")], "page_id long, url string, html string")
     assert [r.text for r in html_text.extract(empty).collect()] == ["", "", ""]
 
 
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<p>", "<li>", '<a ="', "<b x='", "<script></script", "<head>", "</p", "<!--", "<div class='x'>a"])
+def test_hostile_html_takes_linear_time(part):
+    import time
+
+    spent = []
+    for n in (250_000, 1_000_000):
+        start = time.process_time()
+        html_text.main_text(part * (n // len(part)))
+        spent.append(time.process_time() - start)
+    assert spent[1] < max(0.5, 8 * spent[0])
+
+
+def test_html_scores_decide(monkeypatch):
+    """A list without links or telling names is longer than the article; only path scores tell them apart."""
+    items = "".join(f"<li>Entry number {k} of all</li>" for k in range(60))
+    page = f"<body><div><ul>{items}</ul></div><div><p>A text, with marks; and so on. It goes on, for long. {'More of it, still. ' * 20}</p><p>Its end, at last. {'Words, words. ' * 20}</p></div></body>"
+    assert html_text.main_text(page).startswith("A text, with marks") and "Entry" not in html_text.main_text(page)
+    monkeypatch.setattr(html_text, "path_scores", lambda page, width: {b.path: 1.0 for b in page.blocks})
+    assert "Entry" in html_text.main_text(page)
+
+
+def test_html_inner_parts():
+    page = f"<body><div>Short line</div><div class='header-content'><h1><a href='/'>Title</a></h1><p>Long text, with marks.{' And more, of it; still.' * 40}</p><ul><li>item<li>other</ul><ul class='share'><li>Tweet</ul><p>Second one, also long.</p><div class='comments'><p>No, never. I disagree, at length, with all of it.</p></div></div></body>"
+    want = f"Title\nLong text, with marks.{' And more, of it; still.' * 40}\nitem\nother\nSecond one, also long."
+    assert html_text.main_text(page) == html_text.main_text(page.replace("header-content", "post")) == want
+    assert html_text.main_text('<p class=a">quote in a tag</p>') == "quote in a tag"
+    assert html_text.main_text("<nav>" + "menu " * 50 + "</nav>") == ""
+
+
 # --- edits
 
 
