@@ -1,23 +1,29 @@
 """Media columns: bytes as 8-bit audio, and features of the audio as fixed-shape tensors with time spans (operator 5).
 
-A payload is stored losslessly as unsigned 8-bit mono PCM in a WAV container. The features are computed from the
-samples read back: polyphase resampling by a rational factor, overlapped log-mel filterbank frames, and segments
-of energy found with two thresholds (hysteresis).
+A payload is stored losslessly as unsigned 8-bit mono PCM in a WAV container, in a column of Arrow files in the shared
+folder. The features are computed from the bytes read back: polyphase resampling by a rational factor and overlapped
+log-mel filterbank frames, stored in turn as blocks of a fixed-shape tensor column with their time spans. Segments of
+energy, found with two thresholds (hysteresis), and the digests are made from both files read back.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import runtime
+from loomgraph.llm.tokens import filesystem
+
 BLOCK = 64
 
 
@@ -89,30 +95,45 @@ class Analyser:
     def taper(self) -> np.ndarray:
         return np.hanning(self.window + 1)[:-1].astype(np.float32)
 
-    def resample(self, x: np.ndarray) -> np.ndarray:
-        """x at up/down times its rate. Output m is phase (m * down) % up at input (m * down) // up."""
-        padded = np.concatenate([np.zeros(self.taps - 1, np.float32), x])
-        seen = np.lib.stride_tricks.sliding_window_view(padded, self.taps)
-        out = np.zeros(-(-x.size * self.up // self.down), np.float32)
-        for k in range(self.up):
-            m = np.arange(k, out.size, self.up)
-            if m.size:
-                first = k * self.down // self.up
-                out[k :: self.up] = seen[first :: self.down][: m.size] @ self.phases[k * self.down % self.up]
+    def resampled(self, n: int) -> int:
+        """How many samples n become."""
+        return -(-n * self.up // self.down)
+
+    def resample(self, samples: np.ndarray, first: int, stop: int) -> np.ndarray:
+        """The samples [first, stop) at up/down times the rate, from unsigned 8-bit ones; `first` is a multiple of `up`.
+
+        Output m is phase (m * down) % up at input (m * down) // up; beyond both ends there is silence.
+        """
+        low = first * self.down // self.up - self.taps + 1
+        high = (stop - 1) * self.down // self.up + 1
+        x = (samples[max(0, low) : high].astype(np.float32) - 128) / 128
+        x = np.pad(x, (max(0, -low), max(0, high - samples.size)))
+        seen = np.lib.stride_tricks.sliding_window_view(x, self.taps)
+        out = np.zeros(stop - first, np.float32)
+        for k in range(min(self.up, out.size)):
+            n = -(-(out.size - k) // self.up)
+            out[k :: self.up] = seen[k * self.down // self.up :: self.down][:n] @ self.phases[k * self.down % self.up]
         return out
 
     def log_mel(self, samples: bytes, at_once: int = 4096) -> np.ndarray:
-        """Frames [time, band] of log power, overlapping by window - hop; the last frame is padded with silence."""
-        x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-        y = self.resample(x)
-        frames = max(1, 1 + -(-(y.size - self.window) // self.hop))
-        y = np.concatenate([y, np.zeros(max(0, (frames - 1) * self.hop + self.window - y.size), np.float32)])
-        seen = np.lib.stride_tricks.sliding_window_view(y, self.window)[:: self.hop][:frames]
+        """Frames [time, band] of log power, overlapping by window - hop; the last frame is padded with silence.
+
+        Works through strips of frames, so its memory beside the frames is bounded.
+        """
+        x = np.frombuffer(samples, np.uint8)
+        size = self.resampled(x.size)
+        frames = max(1, 1 + -(-(size - self.window) // self.hop))
         out = np.empty((frames, self.bands), np.float32)
         for first in range(0, frames, at_once):
-            spectrum = np.fft.rfft(seen[first : first + at_once] * self.taper, axis=1)
+            stop = min(frames, first + at_once)
+            begin, end = first * self.hop, (stop - 1) * self.hop + self.window
+            y = np.zeros(end - begin, np.float32)
+            there = min(end, size) - begin
+            y[:there] = self.resample(x, begin, begin + there)
+            seen = np.lib.stride_tricks.sliding_window_view(y, self.window)[:: self.hop]
+            spectrum = np.fft.rfft(seen * self.taper, axis=1)
             power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-            out[first : first + at_once] = np.log(power @ self.filters + 1e-6)
+            out[first:stop] = np.log(power @ self.filters + 1e-6)
         return out
 
     def segments(self, mel: np.ndarray) -> list[tuple[int, int]]:
@@ -130,69 +151,167 @@ class Analyser:
         return start * self.hop / second, ((stop - 1) * self.hop + self.window) / second
 
 
+#: Tensors are stored in 16-bit floats: their log powers lie between -14 and 12, with an error below 0.005.
+STORED = pa.float16()
+
+
+def tensor_type(frames: int, bands: int) -> pa.DataType:
+    return pa.fixed_shape_tensor(STORED, (frames, bands), dim_names=["time", "mel"])
+
+
 def tensor_blocks(mel: np.ndarray, frames: int) -> pa.Array:
     """Log-mel frames as an Arrow fixed-shape tensor array of blocks [frames, bands]; the last block is padded with zeros."""
     blocks = -(-len(mel) // frames)
-    full = np.zeros((blocks * frames, mel.shape[1]), np.float32)
+    full = np.zeros((blocks * frames, mel.shape[1]), np.float16)
     full[: len(mel)] = mel
-    kind = pa.fixed_shape_tensor(pa.float32(), (frames, mel.shape[1]))
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), frames * mel.shape[1]))
+    return pa.ExtensionArray.from_storage(tensor_type(frames, mel.shape[1]), pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), frames * mel.shape[1]))
+
+
+MANIFEST = "shard int, media_uri string, tensors_uri string, n_docs long"
+MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.large_binary())])
+
+
+def _manifest_row(**row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("media_uri", pa.string()), ("tensors_uri", pa.string()), ("n_docs", pa.int64())]))
+
 
+def _arrow_file(sink, schema: pa.Schema):
+    return pa.ipc.new_file(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
 
-TENSORS = "doc_id long, block int, start_s double, end_s double, n_frames int, mel array<float>"
 
+def _batches(uri: str):
+    """The record batches of an Arrow file, one at a time."""
+    files, path = filesystem(uri)
+    with files.open_input_file(path) as f:
+        reader = pa.ipc.open_file(f)
+        for k in range(reader.num_record_batches):
+            yield reader.get_batch(k)
 
-def mel_tensors(docs: DataFrame, analyser: Analyser = Analyser(), frames: int = 64) -> DataFrame:
-    """The feature tensors of docs(doc_id, text): a row for each block of `frames` frames, with its time span.
 
-    `mel` is the row-major storage of a [frames, bands] float32 tensor (see tensor_blocks); n_frames of its rows
-    are real, the rest are zeros. Null texts are empty and give one block of silence.
+def write_media(docs: DataFrame, folder: str, analyser: Analyser = Analyser(), at_once: int = 1 << 23) -> DataFrame:
+    """Store the text of each row of docs(doc_id, text) as a WAV value of the column `media` in Arrow files.
+
+    Returns the manifest, a row for each file. Every attempt of a task writes names of its own, and only those of
+    attempts that succeed reach the manifest. Null texts are empty; other columns are not read; an empty table gives
+    an empty manifest. Batches hold about `at_once` bytes, and one text at least.
     """
-    names = ["doc_id", "block", "start_s", "end_s", "n_frames", "mel"]
 
-    def run(batches):
+    def write(batches):
+        files, top = filesystem(folder)
+        out, name, n_docs, rows, size = None, f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, [], 0
+
+        def flush():
+            ids, sizes, media = zip(*rows, strict=True)
+            out.write_batch(pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.large_binary())], schema=MEDIA))
+            rows.clear()
+
         for batch in batches:
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                samples, _ = from_wav(to_wav(payload_of(text.as_py()), analyser.rate))
-                mel = analyser.log_mel(samples)
-                blocks = tensor_blocks(mel, frames)
-                real = [min(frames, len(mel) - k * frames) for k in range(len(blocks))]
-                spans = [analyser.span(k * frames, k * frames + n) for k, n in enumerate(real)]
-                lists = blocks.storage.cast(pa.list_(pa.float32()))
-                yield pa.record_batch([pa.array([d] * len(blocks), pa.int64()), pa.array(range(len(blocks)), pa.int32()), pa.array([s for s, _ in spans]), pa.array([e for _, e in spans]), pa.array(real, pa.int32()), lists], names=names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TENSORS)
+                if out is None:
+                    files.create_dir(top, recursive=True)
+                    sink = files.open_output_stream(f"{top}/{name}.media.arrow")
+                    out = _arrow_file(sink, MEDIA)
+                payload = payload_of(text := text.as_py())
+                rows.append((d, len((text or "").encode()), to_wav(payload, analyser.rate)))
+                n_docs += 1
+                size += len(payload)
+                if size >= at_once:
+                    flush()
+                    size = 0
+        if out is None:
+            return
+        if rows:
+            flush()
+        out.close()
+        sink.close()
+        yield _manifest_row(shard=TaskContext.get().partitionId(), media_uri=f"{folder}/{name}.media.arrow", tensors_uri=None, n_docs=n_docs)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return runtime.materialise(rows.mapInArrow(write, MANIFEST), "media_manifest")
+
+
+def _by_shard(manifest: DataFrame) -> DataFrame:
+    """One small row stands for one file: deal them out so that each is a task of its own."""
+    return manifest.repartitionByRange(max(1, manifest.count()), "shard")
+
+
+def write_tensors(manifest: DataFrame, folder: str, analyser: Analyser = Analyser(), frames: int = 16) -> DataFrame:
+    """Read the media files of a manifest and store their log-mel frames as fixed-shape tensors [frames, bands].
+
+    A row of a tensor file is a block: `row` (the place of its document in the media file), `block`, `n_frames` (real
+    ones; the rest are zeros), `start_s` and `end_s`, and `mel`, of Arrow's fixed-shape tensor type. Every document
+    has a block at least. Returns the manifest with the files' URIs.
+    """
+    schema = pa.schema([("row", pa.int64()), ("block", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mel", tensor_type(frames, analyser.bands))])
+
+    def write(batches):
+        for given in batches:
+            for shard in given.to_pylist():
+                files, top = filesystem(folder)
+                files.create_dir(top, recursive=True)
+                name, row = f"{shard['shard']:06d}-{uuid.uuid4().hex}.tensors.arrow", 0
+                with files.open_output_stream(f"{top}/{name}") as sink, _arrow_file(sink, schema) as out:
+                    for batch in _batches(shard["media_uri"]):
+                        mels = [analyser.log_mel(from_wav(wav.as_py())[0]) for wav in batch.column("media")]
+                        tensors = [tensor_blocks(m, frames) for m in mels]
+                        counts = np.array([len(t) for t in tensors])
+                        owner = np.repeat(np.arange(counts.size), counts)
+                        block = np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)
+                        real = np.minimum(frames, np.array([len(m) for m in mels])[owner] - frames * block)
+                        start, end = analyser.span(frames * block, frames * block + real)
+                        # All blocks of a document are in one batch.
+                        out.write_batch(pa.record_batch([pa.array(row + owner), pa.array(block, pa.int32()), pa.array(real, pa.int32()), pa.array(start), pa.array(end), pa.concat_arrays(tensors)], schema=schema))
+                        row += counts.size
+                yield _manifest_row(**(shard | {"tensors_uri": f"{folder}/{name}"}))
+
+    return runtime.materialise(_by_shard(manifest).mapInArrow(write, MANIFEST), "tensor_manifest")
+
+
+def frames_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The log-mel frames of each document of a batch of a tensor file."""
+    row, real = batch.column("row").to_numpy(), batch.column("n_frames").to_numpy()
+    mel = batch.column("mel").to_numpy_ndarray()
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))
+    flat = mel.reshape(-1, mel.shape[2])
+    kept = np.arange(mel.shape[1])[None, :] < real[:, None]
+    return [flat[a * mel.shape[1] : b * mel.shape[1]][kept[a:b].ravel()] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_segments long, feature string"
 
 
-def audio_features(docs: DataFrame, analyser: Analyser = Analyser()) -> DataFrame:
-    """Store the text of each row of docs(doc_id, text) as audio, read it back and describe it.
+def describe_media(manifest: DataFrame, analyser: Analyser = Analyser()) -> DataFrame:
+    """Sizes and digests of the stored media and features of the stored tensors, a row for each document.
 
-    A row for each input row, repeated rows and null ids included: sizes and digests of the payload read back and of
-    the stored form, and `feature`: the mean of each mel band to one decimal, then the segments as start-stop
-    in seconds (the longest 8 of them; n_segments counts all). Null texts are empty; equal texts give equal
-    values; other columns are not read; texts are never cut.
+    `feature` is the mean of each mel band to one decimal, then all segments as start-stop in seconds. Equal media
+    give equal values.
     """
     names = [c.split()[0] for c in DIGESTS.split(", ")]
 
-    def describe(text: str | None) -> tuple:
-        raw = len((text or "").encode())
-        wav = to_wav(payload_of(text), analyser.rate)
+    def describe(n_bytes: int, wav: bytes, mel: np.ndarray) -> tuple:
         samples, _ = from_wav(wav)
-        mel = analyser.log_mel(samples)
         found = analyser.segments(mel)
-        longest = sorted(sorted(found, key=lambda s: (s[0] - s[1], s))[:8])
-        spans = " ".join("{:.3f}-{:.3f}".format(*analyser.span(*s)) for s in longest)
+        spans = " ".join("{:.3f}-{:.3f}".format(*analyser.span(*s)) for s in found)
         feature = ",".join(f"{v:.1f}" for v in mel.mean(axis=0, dtype=np.float64)) + "|" + spans
-        return raw, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(wav), hashlib.sha256(wav).hexdigest(), len(mel), len(found), feature
+        return n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(wav), hashlib.sha256(wav).hexdigest(), len(mel), len(found), feature
+
+    def read(batches):
+        for given in batches:
+            for shard in given.to_pylist():
+                for media, tensors in zip(_batches(shard["media_uri"]), _batches(shard["tensors_uri"]), strict=True):
+                    rows = [describe(n, w.as_py(), m) for n, w, m in zip(media.column("n_bytes").to_pylist(), media.column("media"), frames_of(tensors), strict=True)]
+                    kinds = [pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64() for n in names[1:]]
+                    yield pa.record_batch([media.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+
+    return _by_shard(manifest).mapInArrow(read, DIGESTS)
 
-    def run(batches):
-        for batch in batches:
-            rows = [describe(t.as_py()) for t in batch.column(1)]
-            columns = zip(*rows, strict=True) if rows else [[]] * (len(names) - 1)
-            kinds = [pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64() for n in names[1:]]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGESTS)
+def audio_features(docs: DataFrame, folder: str | None = None, analyser: Analyser = Analyser()) -> DataFrame:
+    """Store the text of each row of docs(doc_id, text) as audio, store its feature tensors, and describe both read back.
+
+    A row for each input row, repeated rows and null ids included; see write_media(), write_tensors() and
+    describe_media(). `folder` is where the files go, a new one in the shared folder if it is not given. Null texts
+    are empty; equal texts give equal values; other columns are not read; texts are never cut.
+    """
+    folder = folder or runtime.fresh_path(docs.sparkSession, "media")
+    return describe_media(write_tensors(write_media(docs, folder, analyser), folder, analyser), analyser)

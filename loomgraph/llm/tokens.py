@@ -231,7 +231,8 @@ def strings(column: pa.Array) -> Iterator[str]:
 # --- operator 10: the file format -----------------------------------------------------------------------------
 
 
-def _filesystem(uri: str):
+def filesystem(uri: str):
+    """The Arrow file system of a URI, and the path in it."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
@@ -275,7 +276,7 @@ class SequenceFile:
     """Random access to a file of SequenceWriter; local files are memory-mapped, so a row is a view, not a copy."""
 
     def __init__(self, uri: str):
-        files, path = _filesystem(uri)
+        files, path = filesystem(uri)
         self.source = pa.memory_map(path) if files.type_name == "local" else files.open_input_file(path)
         self.reader = pa.ipc.open_file(self.source)
         self.length = self.reader.schema.field("ids").type.list_size
@@ -328,7 +329,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, length:
         import uuid
 
         enc, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
-        files, top = _filesystem(folder)
+        files, top = filesystem(folder)
         doc_ids, lengths, out = [], [], None
         for batch in batches:
             if out is None and batch.num_rows:
@@ -364,7 +365,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                files, path = _filesystem(row["docs_uri"])
+                files, path = filesystem(row["docs_uri"])
                 with files.open_input_file(path) as f:
                     docs = pa.ipc.open_file(f).read_all()
                 ids = SequenceFile(row["ids_uri"])

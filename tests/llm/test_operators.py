@@ -427,6 +427,63 @@ def test_audio(odd, none, small):
     assert audio.audio_features(none).count() == 0
 
 
+def naive_feature(samples, a):
+    """The features of unsigned 8-bit samples from their definitions, one output and one frame at a time."""
+    x = [0.0] * (a.taps - 1) + [(b - 128) / 128 for b in samples]
+    n = a.up * a.taps
+    h = [np.sinc((t - (n - 1) / 2) / max(a.up, a.down)) * (0.54 - 0.46 * np.cos(2 * np.pi * t / (n - 1))) for t in range(n)]
+    y = []
+    for m in range(-(-len(samples) * a.up // a.down)):
+        k, phase = divmod(m * a.down, a.up)
+        taps = [h[j * a.up + phase] for j in range(a.taps)][::-1]
+        y.append(sum(t * v for t, v in zip(taps, x[k : k + a.taps], strict=True)) / sum(taps))
+    frames, mels = max(1, 1 + -(-(len(y) - a.window) // a.hop)), []
+    y += [0.0] * ((frames - 1) * a.hop + a.window - len(y))
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    rate = a.rate * a.up / a.down
+    edges = [700 * (10 ** (mel(rate / 2) * k / (a.bands + 1) / 2595) - 1) for k in range(a.bands + 2)]
+    for f in range(frames):
+        part = np.array([y[f * a.hop + t] * (0.5 - 0.5 * np.cos(2 * np.pi * t / a.window)) for t in range(a.window)])
+        power = np.abs(np.exp(-2j * np.pi * np.outer(np.arange(a.window // 2 + 1), np.arange(a.window)) / a.window) @ part) ** 2
+        row = []
+        for low, mid, high in zip(edges, edges[1:], edges[2:]):
+            row.append(np.log(sum(max(0, min((k * rate / a.window - low) / (mid - low), (high - k * rate / a.window) / (high - mid))) * v for k, v in enumerate(power)) + 1e-6))
+        mels.append(row)
+    level = [10 * np.log10(sum(np.exp(r))) for r in mels]
+    level = [v - sum(level) / frames for v in level]
+    segments, k = [], 0
+    while k < frames:
+        stop = k
+        while stop < frames and level[stop] >= a.leave_db:
+            stop += 1
+        if stop > k and max(level[k:stop]) >= a.enter_db:
+            segments.append((k * a.hop / rate, ((stop - 1) * a.hop + a.window) / rate))
+        k = stop + 1
+    return np.mean(mels, axis=0), segments
+
+
+def test_audio_features_by_definition(spark):
+    import io
+    import wave
+
+    rng = random.Random(9)
+    loud = lambda n: "".join(rng.choice("az~ ÿ\x01") for _ in range(n))
+    rows = [(1, "some words of a text, and a few more. " * 12), (2, ""), (3, loud(900) + "\x7f" * 1500 + loud(700) + "\x7f" * 1300 + loud(800)), (4, "short")]
+    got = {r["doc_id"]: r for r in table(audio.audio_features(spark.createDataFrame(rows, "doc_id long, text string")))}
+    for d, text in rows:
+        raw = text.encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        sink = io.BytesIO()
+        with wave.open(sink, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000), w.writeframes(payload)
+        assert (got[d]["media_bytes"], got[d]["media_sha256"]) == (len(sink.getvalue()), hashlib.sha256(sink.getvalue()).hexdigest())
+        means, segments = naive_feature(payload, audio.Analyser())
+        bands, spans = got[d]["feature"].split("|")
+        assert np.abs(np.array([float(v) for v in bands.split(",")]) - means).max() <= 0.061
+        assert [tuple(map(float, s.split("-"))) for s in spans.split()] == [pytest.approx(s, abs=6e-4) for s in segments] and got[d]["n_segments"] == len(segments)
+    assert got[3]["n_segments"] >= 2
+
+
 def test_wav_and_features():
     import io
     import wave
@@ -440,12 +497,12 @@ def test_wav_and_features():
             assert (w.getnchannels(), w.getsampwidth(), w.getframerate(), w.readframes(n)) == (1, 1, 8000, samples[:n])
     with pytest.raises(ValueError):
         audio.from_wav(wav[:60])
-    x = np.random.default_rng(1).standard_normal(500).astype(np.float32)
-    y = a.resample(x)
-    padded = np.concatenate([np.zeros(a.taps - 1), x])
-    for m in range(y.size):  # the polyphase form, one output at a time
-        k = m * a.down // a.up
-        assert y[m] == pytest.approx(padded[k : k + a.taps] @ a.phases[m * a.down % a.up], abs=1e-5)
+    x = np.random.default_rng(1).integers(0, 256, 500).astype(np.uint8)
+    whole = a.resample(x, 0, a.resampled(500))
+    for first, stop in ((0, 4), (4, 400), (128, 129), (396, 400)):  # any strip is a part of the whole
+        assert whole[first:stop] == pytest.approx(a.resample(x, first, stop), abs=1e-6)
+    many = np.random.default_rng(2).integers(0, 256, 40_000).astype(np.uint8).tobytes()
+    assert a.log_mel(many) == pytest.approx(a.log_mel(many, at_once=7), abs=1e-4)
     t = np.arange(8000) / 8000
     tone = (128 + 100 * np.sin(2 * np.pi * 1000 * t) * (t > 0.5)).astype(np.uint8).tobytes()
     mel = a.log_mel(tone)
@@ -455,12 +512,19 @@ def test_wav_and_features():
     (start, stop), *rest = a.segments(mel)
     assert not rest and abs(a.span(start, stop)[0] - 0.5) < 0.05
     blocks = audio.tensor_blocks(mel, 16)
-    assert isinstance(blocks.type, pa.FixedShapeTensorType) and np.array_equal(blocks.to_numpy_ndarray().reshape(-1, a.bands)[: len(mel)], mel)
-
-
-def test_mel_tensors(odd):
-    rows = table(audio.mel_tensors(odd, frames=32))
-    assert all(len(r["mel"]) == 32 * 24 and 1 <= r["n_frames"] <= 32 and r["end_s"] > r["start_s"] for r in rows)
+    assert isinstance(blocks.type, pa.FixedShapeTensorType) and np.array_equal(blocks.to_numpy_ndarray().reshape(-1, a.bands)[: len(mel)], mel.astype(np.float16))
+
+
+def test_stored_tensors(spark, odd):
+    folder = runtime.fresh_path(spark, "media")
+    manifest = audio.write_tensors(audio.write_media(odd, folder, at_once=1000), folder)
+    assert manifest.agg(F.sum("n_docs")).first()[0] == 11
+    for shard in manifest.collect():
+        for media, tensors in zip(audio._batches(shard.media_uri), audio._batches(shard.tensors_uri), strict=True):
+            assert tensors.column("mel").type == audio.tensor_type(16, 24)
+            for wav, mel in zip(media.column("media"), audio.frames_of(tensors), strict=True):
+                assert np.array_equal(mel, audio.Analyser().log_mel(audio.from_wav(wav.as_py())[0]).astype(np.float16))
+            assert all(1 <= n <= 16 for n in tensors.column("n_frames").to_pylist()) and all(b > a for a, b in zip(tensors.column("start_s").to_pylist(), tensors.column("end_s").to_pylist()))
 
 
 # --- html
