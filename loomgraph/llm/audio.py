@@ -80,7 +80,7 @@ class Analyser:
         t = np.arange(n) - (n - 1) / 2
         cut = 1 / max(self.up, self.down)
         h = (np.sinc(cut * t) * np.hamming(n)).reshape(self.taps, self.up).T[:, ::-1]
-        return (h / h.sum(axis=1, keepdims=True)).astype(np.float32)
+        return h / h.sum(axis=1, keepdims=True)
 
     @cached_property
     def filters(self) -> np.ndarray:
@@ -89,11 +89,11 @@ class Analyser:
         edges = 700 * (10 ** (np.linspace(0, top, self.bands + 2) / 2595) - 1)
         f = np.fft.rfftfreq(self.window, self.down / self.up / self.rate)[:, None]
         low, mid, high = edges[:-2], edges[1:-1], edges[2:]
-        return np.maximum(0, np.minimum((f - low) / (mid - low), (high - f) / (high - mid))).astype(np.float32)
+        return np.maximum(0, np.minimum((f - low) / (mid - low), (high - f) / (high - mid)))
 
     @cached_property
     def taper(self) -> np.ndarray:
-        return np.hanning(self.window + 1)[:-1].astype(np.float32)
+        return np.hanning(self.window + 1)[:-1]
 
     def resampled(self, n: int) -> int:
         """How many samples n become."""
@@ -106,19 +106,20 @@ class Analyser:
         """
         low = first * self.down // self.up - self.taps + 1
         high = (stop - 1) * self.down // self.up + 1
-        x = (samples[max(0, low) : high].astype(np.float32) - 128) / 128
+        x = (samples[max(0, low) : high].astype(float) - 128) / 128
         x = np.pad(x, (max(0, -low), max(0, high - samples.size)))
         seen = np.lib.stride_tricks.sliding_window_view(x, self.taps)
-        out = np.zeros(stop - first, np.float32)
+        out = np.zeros(stop - first)
         for k in range(min(self.up, out.size)):
             n = -(-(out.size - k) // self.up)
             out[k :: self.up] = seen[k * self.down // self.up :: self.down][:n] @ self.phases[k * self.down % self.up]
         return out
 
-    def log_mel(self, samples: bytes, at_once: int = 4096) -> np.ndarray:
+    def log_mel(self, samples: bytes, at_once: int = 2048) -> np.ndarray:
         """Frames [time, band] of log power, overlapping by window - hop; the last frame is padded with silence.
 
-        Works through strips of frames, so its memory beside the frames is bounded.
+        Works through strips of frames in 64-bit floats: memory beside the frames is bounded, and the last bits of sums,
+        which may differ between machines, are far below what is kept.
         """
         x = np.frombuffer(samples, np.uint8)
         size = self.resampled(x.size)
@@ -127,13 +128,12 @@ class Analyser:
         for first in range(0, frames, at_once):
             stop = min(frames, first + at_once)
             begin, end = first * self.hop, (stop - 1) * self.hop + self.window
-            y = np.zeros(end - begin, np.float32)
+            y = np.zeros(end - begin)
             there = min(end, size) - begin
             y[:there] = self.resample(x, begin, begin + there)
             seen = np.lib.stride_tricks.sliding_window_view(y, self.window)[:: self.hop]
             spectrum = np.fft.rfft(seen * self.taper, axis=1)
-            power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-            out[first:stop] = np.log(power @ self.filters + 1e-6)
+            out[first:stop] = np.log((spectrum.real**2 + spectrum.imag**2) @ self.filters + 1e-6)
         return out
 
     def segments(self, mel: np.ndarray) -> list[tuple[int, int]]:
