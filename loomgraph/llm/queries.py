@@ -119,11 +119,15 @@ with d0 as (select doc_id, {tokens_of.replace("TEXT", "coalesce(text, '')")} t f
  bw as (select item_id, i - 1 place, array_to_string(m[i:i+4], chr(1)) k from (select *, unnest(range(1, len(m) - 3)) i from b where len(m) >= 5) x where len(list_filter(m[i:i+4], lambda x: not starts_with(x, '§'))) >= 3),
  nw as (select item_id, count(*) n_windows from bw group by 1),
  dw as (select doc_id, i - 1 place, array_to_string(m[i:i+4], chr(1)) k from (select *, unnest(range(1, len(m) - 3)) i from d where len(m) >= 5) x),
- l as (select doc_id, item_id, dw.place - bw.place shift, count(distinct bw.place) n_matched from dw join bw using (k) group by 1, 2, 3),
- c as (select * from l join nw using (item_id) where n_matched >= 0.8 * n_windows),
- s as (select distinct c.doc_id, c.item_id, shift, b.t[j] x, d.t[j + shift] y from c join b using (item_id) join d on d.doc_id = c.doc_id, unnest(range(1, len(b.t) + 1)) u(j) where starts_with(b.m[j], '§') and j + shift >= 1 and d.m[j + shift] = b.m[j]),
- o as (select doc_id, item_id, shift, count(*) n, count(distinct x) nx, count(distinct y) ny, bool_and(x = y) same from s group by 1, 2, 3),
- g as (select c.*, coalesce(same, true) same, row_number() over (partition by c.doc_id, c.item_id order by n_matched / n_windows desc, coalesce(same, true) desc, n_matched desc) r from c left join o on o.doc_id = c.doc_id and o.item_id = c.item_id and o.shift = c.shift where n is null or (n = nx and n = ny))
+ l as (select distinct doc_id, item_id, bw.place place, dw.place - bw.place shift from dw join bw using (k)),
+ ln as (select *, count(*) over (partition by doc_id, item_id, shift) n from l),
+ bd as (select *, 0 dealing, cast(floor(shift / 8) as bigint) band from ln union all select *, 1, cast(floor((shift + 4) / 8) as bigint) from ln),
+ c as (select doc_id, item_id, dealing, band, count(distinct place) n_matched, any_value(n_windows) n_windows from bd join nw using (item_id) group by 1, 2, 3, 4 having count(distinct place) >= 0.8 * any_value(n_windows)),
+ k as (select c.doc_id, c.item_id, c.dealing, c.band, token, n, shift, min(greatest(place - token, token - place - 4, 0)) far from c join b using (item_id), unnest(range(len(b.t))) u(token), bd where bd.doc_id = c.doc_id and bd.item_id = c.item_id and bd.dealing = c.dealing and bd.band = c.band group by all),
+ kk as (select *, row_number() over (partition by doc_id, item_id, dealing, band, token order by far, n desc, shift) r from k),
+ s as (select distinct kk.doc_id, kk.item_id, dealing, band, b.t[token + 1] x, d.t[token + 1 + shift] y from kk join b using (item_id) join d on d.doc_id = kk.doc_id where r = 1 and starts_with(b.m[token + 1], '§') and token + shift >= 0 and d.m[token + 1 + shift] = b.m[token + 1]),
+ o as (select doc_id, item_id, dealing, band, count(*) n, count(distinct x) nx, bool_and(x = y) same from s group by 1, 2, 3, 4),
+ g as (select c.*, coalesce(same, true) same, row_number() over (partition by c.doc_id, c.item_id order by n_matched / n_windows desc, coalesce(same, true) desc, n_matched desc) r from c left join o using (doc_id, item_id, dealing, band) where n is null or n = nx)
 select doc_id, item_id, n_matched, n_windows, n_matched / n_windows coverage, case when same then 'verbatim' else 'reparameterised' end kind from g where r = 1"""
 
 

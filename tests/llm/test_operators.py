@@ -396,13 +396,19 @@ def test_decontamination(spark, odd, none, small):
             (5, "What is the capital city of Spain"),
             (6, None),
             (6, "x What is the capital city of Peru and how many people live there today, asks Mary? y"),
+            (8, "If Anna drives 120 km in 2 hours and then, as we all know, 120 km in 3 hours, how far does Anna go in 5 hours altogether?"),
+            (9, "so if Peter drives 75 km in 4 hours and then 75 km in 4 hours, how far does Peter go in 4 hours altogether?"),
+            (None, None),
+            (None, "and a clean text without an id"),
+            (None, "x What is the capital city of Peru and how many people live there today, asks Mary? y"),
         ],
         "doc_id long, text string",
     ).withColumn("item_id", F.lit("clash"))
     for few in (1_000_000, 0):  # broadcast and shuffled
         rows = {(r.doc_id, r.item_id): (r.kind, r.coverage) for r in decontam.contaminated(docs, bench, small=few).collect()}
-        assert {k: v[0] for k, v in rows.items()} == {(1, 1): "verbatim", (2, 1): "reparameterised", (6, 5): "reparameterised"}
-    assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [3, 4, 5]
+        assert {k: v[0] for k, v in rows.items()} == {(1, 1): "verbatim", (2, 1): "reparameterised", (6, 5): "reparameterised", (8, 1): "verbatim", (9, 1): "reparameterised", (None, 5): "reparameterised"}
+    # Rows go one by one: those that share an id with one that goes, or have none, stay where they are clean.
+    assert sorted((str(r.doc_id), r.text is None) for r in decontam.clean(docs, bench).collect()) == [("3", False), ("4", False), ("5", False), ("6", True), ("None", False), ("None", True)]
     assert decontam.contaminated(none, bench).count() == decontam.contaminated(odd, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert decontam.clean(odd, bench).count() == 11
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
