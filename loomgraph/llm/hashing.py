@@ -1,4 +1,4 @@
-"""Word hashes and mixing shared by the operators on words and shingles."""
+"""Word hashes and mixing shared by the operators on words and shingles, and names for columns that they add."""
 
 from __future__ import annotations
 
@@ -35,3 +35,11 @@ def chain(names: np.ndarray, length: int) -> np.ndarray:
         out *= BASE
         out += names[k : n + k]
     return mix(out)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """`name`, with underscores before it until no column has it (names do not differ by case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

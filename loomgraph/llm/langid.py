@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.hashing import unused
+
 UNDETERMINED = "und"
 #: Odd multipliers of the n-gram hash, one for each byte of the n-gram.
 FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
@@ -90,7 +92,7 @@ def fit(labelled: DataFrame, per_language: int = 500, centroids: int = 4, dimens
     The fit uses a bounded sample: about `per_language` rows of each language, chosen by a hash of doc_id with a
     threshold from the language's row count (all rows where it has fewer), about `most_rows` in all. Whole texts are turned into sparse
     vectors on the executors; only those come to the driver, at most `dimensions` numbers a row. Languages are
-    as many as `lang` has values, `most_languages` at most. Fails if no row is labelled.
+    as many as `lang` has values, `most_languages` at most. With no labelled row the model knows no language.
 
     The radius of a language is the `quantile` of its held-back distances plus `margin`, `farthest` at most, so a
     few odd or mislabelled rows do not set it.
@@ -98,7 +100,7 @@ def fit(labelled: DataFrame, per_language: int = 500, centroids: int = 4, dimens
     rows = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().take(most_languages + 1)}
     if not counts:
-        raise ValueError("no labelled rows to learn from")
+        return Model(np.ones(dimensions, np.float32), np.zeros((0, dimensions), np.float32), [], np.zeros(0))
     if len(counts) > most_languages:
         raise ValueError(f"lang has more than {most_languages} values")
     per_language = min(per_language, most_rows / len(counts))
@@ -135,19 +137,27 @@ def fit(labelled: DataFrame, per_language: int = 500, centroids: int = 4, dimens
     return Model(idf, np.array(c, np.float32), of, np.array(radius))
 
 
+def judge(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with all its columns, whatever their names, in a struct `row`, then lang_pred, score and rejected."""
+    return predict(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), model, ["row"])
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """docs(text, ...) -> the columns of `keep`, then lang_pred, score, rejected.
 
-    score is the cosine with the nearest centroid, between 0 and 1. Null texts and texts without a letter get
+    Columns of `keep` that have one of those three names already are left out. score is the cosine with the nearest centroid, between 0 and 1. Null texts and texts without a letter get
     'und', score 0 and rejected. Very long texts are counted whole. Ties go to the first centroid in order of
-    language. Equal texts get equal values; columns that are not in `keep` are not read.
+    language. Equal texts get equal values; columns that are not in `keep` are not read; an empty table gives an
+    empty one. A model that knows no language gives 'und' and score 0 to all, and rejects only what has no letter.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # centroids x dimensions floats: its size is set by parameters
     letters = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
-    inputs = docs.select(*keep, F.when(letters, F.col("text").cast("string")).alias("__text"))
+    added = ("lang_pred", "score", "rejected")
+    keep = [k for k in keep if k.lower() not in added]
+    inputs = docs.select(*keep, F.when(letters, F.col("text").cast("string")).alias(unused(keep, "letters")))
     schema = docs.select(*keep).schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
+    for name, kind in zip(added, ("string", "double", "boolean"), strict=True):
         schema = schema.add(name, kind)
 
     def guess(batches):
@@ -157,6 +167,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             text = batch.column(batch.num_columns - 1)
             none = text.is_null().to_numpy(zero_copy_only=False)
             best, score = np.zeros(len(text), int), np.zeros(len(text))
+            if not len(languages):
+                yield pa.record_batch([*batch.columns[:-1], pa.array([UNDETERMINED] * len(text), pa.string()), pa.array(score), pa.array(none)], names=[*batch.schema.names[:-1], *added])
+                continue
             for first, block in _damped(text, m.dimensions):
                 cosine = _unit(block * m.idf) @ m.vectors.T
                 best[first : first + len(block)] = cosine.argmax(axis=1)
@@ -164,7 +177,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             rejected = none | (1 - score > m.radius[best])
             score = np.where(none, 0.0, np.clip(score, 0, 1))
             named = np.where(none, UNDETERMINED, languages[best])
-            yield pa.record_batch([*batch.columns[:-1], pa.array(named, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(named, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names[:-1], *added])
 
     return inputs.mapInArrow(guess, schema)
 
@@ -175,6 +188,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, keep: list[str], **parameters) -> DataFrame:
-    """Fit on the labelled rows that are not held out and predict every row of docs(doc_id, text, lang, ...)."""
+    """Fit on the labelled rows that are not held out and predict every row of docs(doc_id, text, lang, ...).
+
+    Rows with a null doc_id are not held out. Null or empty texts, repeated rows, an empty table and one without
+    labels: see fit() and predict().
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"))), **parameters)
     return predict(docs, model, keep)
