@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import runtime
+from loomgraph.llm.hashing import unused
 
 NUMBER, NAME = "§n", "§a"
 # Units that count as such after a number.
@@ -131,5 +132,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float
     Rows go by their own content: a clean row stays though another with its doc_id (or with none) goes. Null and
     empty texts stay; repeated rows stay or go together; see contaminated().
     """
-    bad = _matches(docs, benchmark, width, coverage, literals, small, drift).select(F.col("dk").alias("__bad")).distinct()
-    return docs.join(bad, row_key() == F.col("__bad"), "left_anti")
+    name = unused(docs.columns, "bad")
+    bad = _matches(docs, benchmark, width, coverage, literals, small, drift).select(F.col("dk").alias(name)).distinct()
+    return docs.join(bad, row_key() == F.col(name), "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm.hashing import unused
 from loomgraph.llm.tokens import encoder
 
 
@@ -93,15 +94,18 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, en
 def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 4096) -> DataFrame:
     """Give each row of pieces(length, ...) a sequence_id and an offset; all other columns pass through.
 
+    Columns of pieces that have those two names already are replaced.
     Rows are dealt out by a hash of what identifies them and met in hash order, which is as good as random order
     for best fit and the same on every attempt of a task. Each task packs its share with its own `open_bins`
     bins, so it holds no more than those. Pieces as long as the capacity get a sequence each. Lengths must lie
     between 1 and capacity; a length outside fails the job. An empty table gives an empty one.
     """
+    pieces = pieces.drop("sequence_id", "offset")
+    name = unused(pieces.columns, "order")
     keys = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
     order = F.xxhash64(F.lit(4), *[F.col(k) for k in keys], F.col("length"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    dealt = pieces.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order", *keys)
+    dealt = pieces.withColumn(name, order).repartition(name).sortWithinPartitions(name, *keys)
 
     def fit(batches):
         bins, top = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
@@ -110,7 +114,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 4096) -> Data
             if any(n is None or not 1 <= n <= capacity for n in lengths):
                 raise ValueError(f"a piece's length is not between 1 and {capacity}")
             placed = np.array([bins.place(n) for n in lengths], "i8").reshape(-1, 2)
-            kept = batch.select([n for n in batch.schema.names if n != "__order"])
+            kept = batch.select([n for n in batch.schema.names if n != name])
             yield pa.record_batch([*kept.columns, pa.array(top + placed[:, 0]), pa.array(placed[:, 1])], names=[*kept.schema.names, "sequence_id", "offset"])
 
     return dealt.mapInArrow(fit, schema)

@@ -2,7 +2,8 @@
 
 Every version of a text is a blob, addressed by the SHA-256 of its bytes. The ledger holds one row for each pair
 of a blob and a rule version that has been scanned, with the spans found. A scan looks only at pairs the ledger
-does not have, and joins findings back to all paths (rows) that hold the blob.
+does not have, and joins findings back to all paths (rows) that hold the blob. The ledger is a table in a folder that
+every scan appends to, so the next version of a corpus, or of the rules, is scanned only where it is new.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import runtime
+from loomgraph.llm.hashing import unused
 
 
 @dataclass(frozen=True)
@@ -113,10 +115,23 @@ def findings(rows: DataFrame, ledger: DataFrame, keys: list[str], rules: tuple[R
     return named.join(spans, "blob", "left").select(*keys, F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
-def scan(rows: DataFrame, keys: list[str], ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Bring the ledger up to date with rows and give the findings of all rows; see update() and findings()."""
-    fresh = runtime.materialise(update(rows, ledger, rules), "secret_ledger")
-    return findings(rows, fresh if ledger is None else ledger.unionByName(fresh), keys, rules)
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger kept in a folder; empty where nothing has been scanned yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return empty_ledger(spark)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def scan(rows: DataFrame, keys: list[str], path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Bring the ledger in the folder `path` up to date with rows and give the findings of all rows.
+
+    See update() and findings(). The new ledger rows become visible together when the scan's job commits, so a scan
+    that fails or loses executors leaves the ledger as it was, and scanning again scans what is still unseen.
+    """
+    spark = rows.sparkSession
+    update(rows, read_ledger(spark, path), rules).write.mode("append").parquet(path)
+    return findings(rows, read_ledger(spark, path), keys, rules)
 
 
 def spans_text(spans: Column) -> Column:
@@ -124,25 +139,32 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, counts of the base kinds, base_sha256 and all spans as text."""
-    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["doc_id"], ledger)
+def report(docs: DataFrame, path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, counts of the base kinds, base_sha256 and all spans as text.
+
+    A row for each input row; null texts are empty; other columns are not read. `path` is the ledger's folder, a new
+    one in the shared folder if it is not given.
+    """
+    path = path or runtime.fresh_path(docs.sparkSession, "secret_ledger")
+    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["doc_id"], path, rules)
     bases = [r.kind for r in RULES if r.base]
     base = F.filter("spans", lambda s: s["kind"].isin(bases))
     counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in bases]
     return found.select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """docs(doc_id, text, ...) with every secret in text replaced by [SECRET]; all columns and rows are kept.
+def redact(docs: DataFrame, path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs(text, ...) with every secret in text replaced by [SECRET]; all columns and rows are kept, whatever their names.
 
     Overlapping spans go as one. Null texts stay null. The blob findings are joined back to all rows by content.
+    `path` is the ledger's folder, as in report().
     """
-    fresh = runtime.materialise(update(docs, ledger), "secret_ledger")
-    known = fresh if ledger is None else ledger.unionByName(fresh)
-    current = known.where(F.concat_ws(":", "kind", F.col("version").cast("string")).isin([f"{r.kind}:{r.version}" for r in RULES]))
-    spans = current.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("__spans"))
-    out = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).join(spans.withColumnRenamed("blob", "__blob"), "__blob", "left")
+    spark, path = docs.sparkSession, path or runtime.fresh_path(docs.sparkSession, "secret_ledger")
+    update(docs, read_ledger(spark, path), rules).write.mode("append").parquet(path)
+    blob, spans = unused(docs.columns, "blob"), unused(docs.columns, "spans")
+    current = read_ledger(spark, path).where(F.concat_ws(":", "kind", F.col("version").cast("string")).isin([f"{r.kind}:{r.version}" for r in rules]))
+    found = current.where(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias(spans))
+    out = docs.withColumn(blob, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)).join(found, blob, "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(done, s):
@@ -152,5 +174,5 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
         gap = F.col("text").substr(done["at"] + 1, s["start"] - done["at"])
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(apart, F.concat(done["text"], gap, F.lit("[SECRET]"))).when(first, F.lit("[SECRET]")).otherwise(done["text"]).alias("text"))
 
-    cleaned = F.aggregate("__spans", start, step, lambda done: F.concat(done["text"], F.col("text").substr(done["at"] + 1, F.length("text"))))
-    return out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)
+    cleaned = F.aggregate(F.col(spans), start, step, lambda done: F.concat(done["text"], F.col("text").substr(done["at"] + 1, F.length("text"))))
+    return out.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)
