@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import runtime
-from loomgraph.llm.hashing import BASE, chain, hashes, mix
+from loomgraph.llm.hashing import BASE, chain, hashes, mix, unused
 from loomgraph.operators.connectivity import connected_components
 
 #: Operator 3's words of a shingle and least Jaccard similarity, in percent.
@@ -268,12 +268,16 @@ class _Region:
             if met.size:
                 self.link(p, met, self.overlaps(p, self.part(met)))
 
-    def solve(self, members: np.ndarray, pivots: int = 12, small: int = 48) -> None:
+    def solve(self, members: np.ndarray, pivots: int = 12, small: int = 16) -> None:
+        """Link the members: pivots, their Voronoi cells, and so on; up to `small` members are all pivots."""
         apart = self._apart(members)
         if not apart.any():
             return
         if members.size <= small:
-            return self.compare(members)
+            part = self.part(members)
+            for p in members.tolist():
+                self.link(p, members, self.overlaps(p, part))
+            return
         link_far = _far(self.percent)
         # The set with least of its own is nearest to what the others share; the other pivots are spread.
         chosen = np.unique(np.append(members[np.arange(pivots) * members.size // pivots], members[(self.lone[members] / self.size[members]).argmin()]))
@@ -413,14 +417,15 @@ def _large(members: DataFrame, most: int) -> DataFrame:
 # --- the join -------------------------------------------------------------------------------------------------
 
 
-def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots: int = 16, depth: int = 3, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Rows of docs(doc_id, text) with the set class of each and its component.
+def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots: int = 16, depth: int = 3, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The set class of each row of docs(doc_id, text), and the component of each class that links with another.
 
-    Returns doc_id, row (a hash of doc_id and text), n_shingles, node, component. `node` names the document's shingle set (null where it is empty) and `component` the linked classes (the node
-    itself where nothing links). Every row comes back, repeated rows and null doc_ids too; null and empty texts have
-    n_shingles 0 and link with nothing; whole texts are read; other columns are not. Regions of more than `most`
-    classes (or PER_CLASS times as many shingles) are divided over tasks, at most `depth` times, and then compared in
-    pairs of blocks. A shingle has `width` words, and classes of at least `percent` % Jaccard similarity link.
+    The first table has row (a hash of doc_id and text), doc_id, node and n: `node` names the row's shingle set and is
+    null where that is empty, `n` is its size. The second has node and component, which names the linked classes. Every row comes
+    back, repeated rows and null doc_ids too; null and empty texts have n 0 and link with nothing; whole texts are
+    read; other columns are not. Regions of more than `most` classes (or PER_CLASS times as many shingles) are divided
+    over tasks, at most `depth` times, and then compared in pairs of blocks. A shingle has `width` words, and classes
+    of at least `percent` % Jaccard similarity link.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
@@ -445,7 +450,7 @@ def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots:
             yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.binary())], names=["region", "node", "n", "set"])
 
     # A plan that is the same at every size: never the speakers to all texts.
-    members = rows.select("row", "text").join(speakers.hint("shuffle_hash"), "row").select("region", "node", "n", "text").mapInArrow(sets, "region long, node long, n long, set binary")
+    members = rows.select("row", "text").join(speakers.hint("shuffle_hash"), "row").dropDuplicates(["row"]).select("region", "node", "n", "text").mapInArrow(sets, "region long, node long, n long, set binary")
     large = _large(speakers, most)
     found, linked = [members], None
     if not large.isEmpty():
@@ -470,8 +475,22 @@ def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots:
         joined = stars.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     else:
         joined = connected_components(stars.union(linked), small=0).select(F.col("id").alias("node"), "component")
+    joined = joined.unionByName(joined.select(F.col("component").alias("node"), "component"))  # a star's centre too
     joined = runtime.materialise(joined.distinct(), "linked_classes")
-    return own.join(joined, "node", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
+    return own.select("row", "doc_id", "node", "n"), joined
+
+
+def _spread_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """left joined (left outer) with right, which has each key once, without taking a hot key's rows to one task.
+
+    Keys that hold more than 1/share of left are at most `share` rows: those are broadcast, the rest is shuffled.
+    """
+    total = left.count()
+    hot = left.groupBy(key).count().where(F.col("count") > max(100, total // share)).select(key)
+    hot = runtime.materialise(hot.join(right, key, "left"), "hot_keys")
+    many = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key, "left")
+    return rest.unionByName(many.select(*rest.columns))
 
 
 def components(docs: DataFrame, **parameters) -> DataFrame:
@@ -479,9 +498,16 @@ def components(docs: DataFrame, **parameters) -> DataFrame:
 
     Documents with empty sets are components of their own. Null doc_ids are met but never name a component.
     """
-    rows = runtime.materialise(classes(docs, **parameters), "components_of_documents")
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own, joined = classes(docs, **parameters)
+    worded = own.where("node is not null").select("doc_id", "node", "n")
+    # Sums of copies are made per class, and of classes per component, before anything meets.
+    least = worded.groupBy("node").agg(F.min("doc_id").alias("least"))
+    linked = joined.join(least, "node")
+    named = _spread_join(joined, linked.groupBy("component").agg(F.min("least").alias("first")), "component").select("node", "first")
+    labels = least.join(named, "node", "left").select("node", F.coalesce("first", "least").alias("component_id"))
+    found = _spread_join(worded, runtime.materialise(labels, "component_ids"), "node")
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.unionByName(own.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def representatives(docs: DataFrame, **parameters) -> DataFrame:
@@ -489,9 +515,13 @@ def representatives(docs: DataFrame, **parameters) -> DataFrame:
 
     Of repeated rows one stays; documents without a word link with nothing and all stay. All columns are kept.
     """
-    rows = classes(docs, **parameters).where("component is not null")
-    winners = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("w")).select(F.col("w.row").alias("__row")).distinct()
+    own, joined = classes(docs, **parameters)
+    first = own.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("w"))
+    named = first.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("w").alias("w"))
+    row, id_ = unused(docs.columns, "row"), unused(docs.columns, "id")
+    winners = named.select(F.col("w.row").alias(row), F.col("w.doc_id").alias(id_)).distinct()
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    named = docs.where(worded).withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    kept = named.join(winners, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    keyed = docs.where(worded).withColumns({row: F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), id_: F.col("doc_id").cast("long")})
+    same = (keyed[row] == winners[row]) & keyed[id_].eqNullSafe(winners[id_])
+    kept = keyed.join(winners, same, "left_semi").dropDuplicates([row, id_]).select(*docs.columns)
     return kept.unionByName(docs.where(~worded))
