@@ -162,8 +162,71 @@ def test_language_id(spark, odd, none):
     assert len(table(langid.predict(odd, model, ["doc_id"]))) == 11 and langid.predict(none, model, ["doc_id"]).count() == 0
     noise = spark.createDataFrame([(1, "日本語の文章です。")], "doc_id long, text string")
     assert table(langid.predict(noise, model, ["doc_id"]))[0]["rejected"]
-    with pytest.raises(ValueError):
-        langid.fit(none)
+    # Nothing learnt: nothing but texts without a letter is rejected.
+    for df in (none, odd.withColumn("lang", F.lit(None).cast("string")), odd.where("lang is null")):
+        blank = table(langid.identify(df, ["doc_id", "text"]))
+        assert len(blank) == df.count() and all((r["lang_pred"], r["score"]) == ("und", 0) and r["rejected"] == (not re.search(r"[^\W\d_]", r["text"] or "")) for r in blank)
+
+
+def test_language_id_by_definition(spark):
+    """The same model made with dictionaries: n-grams, TF-IDF, spherical k-means, radii, nearest centroid."""
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120").collect()]
+    dimensions, k = 512, 2
+
+    def grams(text):
+        b = (" " + re.sub(r"[\W\d_]+", " ", text.lower()) + " ").encode() if text else b"  "
+        out = collections.Counter()
+        for n in (2, 3, 4):
+            for i in range(len(b) - n + 1):
+                x = sum(c * int(f) for c, f in zip(b[i : i + n], langid.FACTORS)) & 0xFFFFFFFF
+                x ^= x >> 15
+                out[(x * 0x2C1B3C6D & 0xFFFFFFFF) >> 23] += 1
+        return {g: 1 + np.log(c) for g, c in out.items()}
+
+    def unit(v):
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {g: x / size for g, x in v.items()}
+
+    dot = lambda a, b: sum(x * b.get(g, 0) for g, x in a.items())
+
+    def mean(vs):
+        out = collections.defaultdict(float)
+        for v in vs:
+            for g, x in v.items():
+                out[g] += x / len(vs)
+        return dict(out)
+
+    def kmeans(vs):
+        centre = mean(vs)
+        c = [max(vs, key=lambda v: dot(v, centre))]
+        while len(c) < min(k, len(vs)):
+            c.append(min(vs, key=lambda v: max(dot(v, m) for m in c)))
+        for _ in range(12):
+            home = [max(range(len(c)), key=lambda j: (dot(v, c[j]), -j)) for v in vs]
+            c = [unit(mean(own)) if (own := [v for v, h in zip(vs, home) if h == j]) else c[j] for j in range(len(c))]
+        return c
+
+    train = sorted(((lang, str(d), t) for d, t, lang in docs if lang and t), key=lambda x: x[:2])
+    raw = [grams(t) for _, _, t in train]
+    idf = {g: np.log((1 + len(raw)) / (1 + sum(g in v for v in raw))) + 1 for g in range(dimensions)}
+    weigh = lambda v: unit({g: x * idf[g] for g, x in v.items()})
+    centroids, radius = [], []
+    for lang in sorted({x[0] for x in train}):
+        own = [weigh(v) for v, x in zip(raw, train) if x[0] == lang]
+        centroids += [(lang, c) for c in kmeans(own)]
+        halves = (own[::2], own[1::2])
+        far = [1 - max(dot(v, c) for c in made) for a, b in (halves, halves[::-1]) for made in [kmeans(a)] for v in b]
+        radius += [min(np.quantile(far, 0.99) + 0.2, 0.92)] * k
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(df, per_language=10_000, centroids=k, dimensions=dimensions, most_rows=10**6)
+    for r in table(langid.predict(df, model, ["text"])):
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            assert r["lang_pred"] == "und"
+            continue
+        v = weigh(grams(r["text"]))
+        scores = [dot(v, c) for _, c in centroids]
+        best = int(np.argmax(scores))
+        assert (r["lang_pred"], r["rejected"]) == (centroids[best][0], bool(1 - scores[best] > radius[best])) and r["score"] == pytest.approx(scores[best], abs=1e-4)
 
 
 def test_language_rejection_of_a_large_fit(spark):
@@ -357,8 +420,10 @@ def test_secrets(spark, odd, small, none):
 
 def test_ledger_is_incremental(spark):
     a = spark.createDataFrame(SECRETS[:3], "doc_id long, text string")
-    ledger = runtime.materialise(secret_scan.update(a), "ledger")
-    assert ledger.count() == 3 * len(secret_scan.RULES)
+    path = runtime.fresh_path(spark, "ledger")
+    first = secret_scan.scan(a, ["doc_id"], path).collect()
+    ledger = secret_scan.read_ledger(spark, path)
+    assert len(first) == 3 and ledger.count() == 3 * len(secret_scan.RULES)
     b = spark.createDataFrame([*SECRETS, SECRETS[0]], "doc_id long, text string")
     fresh = secret_scan.update(b, ledger)
     assert fresh.select("blob").distinct().count() == 2
@@ -367,6 +432,14 @@ def test_ledger_is_incremental(spark):
     assert {(r.kind, r.version) for r in again.collect()} == {("hex", 2)}
     rows = secret_scan.findings(b, ledger.unionByName(fresh), ["doc_id"]).collect()
     assert len(rows) == 6 and len({str(r.spans) for r in rows if r.doc_id == 10}) == 1
+    # The kept ledger: the second version of the corpus adds its new blobs, a new rule version one row a blob, a third scan nothing.
+    assert sorted(map(str, secret_scan.scan(b, ["doc_id"], path).collect())) == sorted(map(str, rows))
+    kept = secret_scan.read_ledger(spark, path)
+    assert kept.count() == 5 * len(secret_scan.RULES)
+    secret_scan.scan(b, ["doc_id"], path, newer)
+    assert kept.sparkSession.read.parquet(path).count() == 5 * len(secret_scan.RULES) + 5
+    secret_scan.report(b, path)
+    assert spark.read.parquet(path).count() == 5 * len(secret_scan.RULES) + 5
 
 
 def test_redaction(spark, odd):

@@ -38,3 +38,24 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     for _, stage in stages[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeats, columns with the names that stages add, unlabelled and empty tables."""
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two three four", "en", "a", 9), (3, "one two three four", "en", "a", 9), (None, "a text without an id", "fr", "x", 1), (None, None, None, None, None), (4, "token: abcdefgh", None, "x", 1)]
+    clash = spark.createDataFrame(rows, schema)
+    for name in ("lang_pred", "score", "rejected", "row", "id", "node", "blob", "spans", "bad", "letters", "order", "offset", "sequence_id", "dk", "text2"):
+        clash = clash.withColumn(name, F.lit("clash"))
+    stages = dict(corpus_pipeline.STAGES)
+    for docs, n, known in ((clash, 7, 3), (clash.withColumn("lang", F.lit(None).cast("string")), 7, 4), (clash.limit(0), 0, 0)):
+        for name, want in (("language_id", known), ("near_duplicates", 6), ("decontamination", 7), ("secrets", 7)):
+            out = stages[name](spark, docs, SF)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+            got = out.collect()
+            assert len(got) == (want if n else 0), name
+            assert all(r.score == "clash" for r in got)
+        assert stages["packing"](spark, docs, SF).count() == n
+    assert [r.text for r in stages["secrets"](spark, clash, SF).where("doc_id = 4").collect()] == ["[SECRET]"]
