@@ -160,7 +160,10 @@ def relabel(g: Graph) -> DataFrame:
     Ranks are counted by ranges of ids: one row for each range is ordered alone, never all vertices at once.
     """
     n = max(1, g.vertices.rdd.getNumPartitions())
-    ranged = g.vertices.repartitionByRange(n, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
+    from loomgraph.runtime import materialise
+
+    # Written: ranges are cut by sampling, and both uses below must see the same ones.
+    ranged = materialise(g.vertices.repartitionByRange(n, "id").withColumn("part", F.spark_partition_id()), "ranged")
     within = F.row_number().over(Window.partitionBy("part").orderBy("id"))
     sizes = ranged.groupBy("part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -36,7 +36,7 @@ def coverage(g: Graph, centers: DataFrame, radius: int) -> DataFrame:
 
 def _by_component(g: Graph, rows: DataFrame, kernel, schema: str, most: int) -> DataFrame:
     """kernel on the rows (center, v, dist) of each weak component; refuses components of more than `most` rows."""
-    named = g.vertices.join(connected_components(g.edges), "id", "left").select(F.col("id").alias("center"), F.coalesce("component", "id").alias("component"))
+    named = _components(g).select(F.col("id").alias("center"), "component")
     joined = materialise(rows.join(named, "center"), "balls")
     if not joined.groupBy("component").count().where(F.col("count") > most).isEmpty():
         raise GraphError(f"a component has more than {most} pairs within the radius")
@@ -154,33 +154,63 @@ def greedy_by_sketches(sketches: dict[int, list[float]], k: int) -> list[int]:
     return chosen
 
 
-def sketch_cover(g: Graph, radius: int, k: int = 128, passes: int = 4, enough: float = 1.0, alpha: float = 1.0, seed: int = 0, most: int = 2_000_000) -> DataFrame:
+def _components(g: Graph) -> DataFrame:
+    """(id, component) of every vertex."""
+    return g.vertices.join(connected_components(g.edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def sketch_cover(g: Graph, radius: int, k: int = 128, passes: int = 4, enough: float = 1.0, alpha: float = 1.0, seed: int = 0) -> DataFrame:
     """(id) of centers by bottom-k sketches, in passes with fresh ranks over what is still uncovered.
 
-    Where the balls hold no more than alpha * k * n pairs they are used themselves. The last pass covers what is
-    left up to `enough` with exact balls.
+    Weak components are sketched and chosen from apart, at every size. Where the balls hold no more than alpha * k * n
+    pairs they are used themselves. The last pass covers what is left with exact balls, until the share `enough` is
+    covered and no further.
     """
     import pandas as pd
 
     n = g.num_vertices()
+    allowed = int((1 - enough) * n)  # vertices that may stay uncovered
     spark = g.vertices.sparkSession
     chosen = spark.createDataFrame([], "id long")
     left = g.vertices
+    named = materialise(_components(g), "components")
     for number in range(passes):
         sketches = materialise(build_sketches(g, radius, k, ranks(g, seed + number), left), "sketches")
         pairs = sketches.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
-        if pairs > most or number + 1 == passes or pairs <= alpha * k * n and sketches.where(F.size("sketch") >= k).isEmpty():
+        if number + 1 == passes or pairs <= alpha * k * n and sketches.where(F.size("sketch") >= k).isEmpty():
             break
-        rows = sketches.select(F.lit(0).alias("g"), "id", "sketch")
-        picked = rows.groupBy("g").applyInPandas(lambda pdf: pd.DataFrame({"id": greedy_by_sketches(dict(zip(pdf["id"].tolist(), map(list, pdf["sketch"]), strict=True)), k)}), "id long")
+        rows = sketches.join(named, "id").select("component", "id", "sketch")
+        picked = rows.groupBy("component").applyInPandas(lambda pdf: pd.DataFrame({"id": greedy_by_sketches(dict(zip(pdf["id"].tolist(), map(list, pdf["sketch"]), strict=True)), k)}), "id long")
         chosen = materialise(chosen.union(picked).distinct(), "centers")
         left = materialise(g.vertices.join(covered(g, chosen, radius), "id", "left_anti"), "uncovered")
-        if left.count() <= (1 - enough) * n:
+        if left.count() <= allowed:
             return chosen
+    need = left.count() - allowed
+    if need <= 0:
+        return chosen
     rest = balls(g, radius).join(left.select(F.col("id").alias("v")), "v").select("center", "v", "dist")
-    need = left.count() - int((1 - enough) * n)
-    picked = _by_component(g, rest, lambda pdf: pd.DataFrame({"id": greedy_cover(_sets(pdf))}), "id long", 20_000_000)
-    return materialise(chosen.union(picked).distinct(), "centers") if need > 0 else chosen
+
+    def kernel(pdf):
+        ball = _sets(pdf)
+        order = greedy_cover(ball)
+        seen: set[int] = set()
+        gains = []
+        for c in order:
+            gains.append(len(ball[c] - seen))
+            seen |= ball[c]
+        return pd.DataFrame({"id": order, "gain": gains})
+
+    # Gains never rise within a component, so the highest gains over all are the greedy choice for the whole graph.
+    picked = materialise(_by_component(g, rest, kernel, "id long, gain long", 20_000_000), "gains")
+    per = sorted(((r["gain"], r["count"]) for r in picked.groupBy("gain").count().collect()), reverse=True)  # distinct gains: few
+    least, some = 1, None
+    for gain, many in per:
+        if need <= gain * many:
+            least, some = gain, -(-need // gain)
+            break
+        need -= gain * many
+    taken = picked.where(F.col("gain") > least).select("id").union(picked.where(F.col("gain") == least).orderBy("id").limit(some or 0).select("id"))
+    return materialise(chosen.union(taken).distinct(), "centers")
 
 
 # --- boxes by mutual distance

@@ -193,19 +193,59 @@ def low_links(pairs: list[tuple[int, int]]) -> set[tuple[int, int]]:
     return out
 
 
-def bridges(g: Graph) -> DataFrame:
-    """(src, dst) with src < dst: the edges of the simple undirected graph whose loss parts a component."""
+def _covered_tree_edges(simple: DataFrame, roots: DataFrame) -> DataFrame:
+    """The bridges (src, dst) of components too large for a task, by random labels on a breadth-first tree.
 
-    def kernel(component, pairs):
-        import pandas as pd
+    Every edge outside the tree gets 128 random bits, a vertex the exclusive or of its edges' bits, and a subtree that
+    of its vertices: what covers the edge above it. That is zero for bridges, and for others with probability 2^-128. Labels
+    go up the tree level by level; each level is one aggregation, so no task holds a component.
+    """
+    both = materialise(simple.select("src", "dst").union(simple.select("dst", "src")), "both_arcs")
+    depth = materialise(levels(both, roots.select(F.col("id").alias("s"), F.col("id").alias("v"))).select(F.col("v").alias("id"), F.col("dist").alias("depth")), "tree_depths")
+    above = both.join(depth.toDF("src", "ds"), "src").join(depth.toDF("dst", "dd"), "dst").where("ds = dd + 1")
+    tree = materialise(above.groupBy(F.col("src").alias("id"), F.col("ds").alias("depth")).agg(F.min("dst").alias("up")), "tree")
+    tree_edges = tree.select(F.least("id", "up").alias("src"), F.greatest("id", "up").alias("dst"))
+    rest = simple.join(tree_edges, ["src", "dst"], "left_anti")
+    bits = [F.xxhash64(F.lit(side), "src", "dst").alias(f"b{side}") for side in (11, 12)]
+    ends = rest.select(F.explode(F.array("src", "dst")).alias("id"), *bits)
+    own = ends.groupBy("id").agg(F.expr("bit_xor(b11)").alias("b11"), F.expr("bit_xor(b12)").alias("b12"))
+    left = materialise(tree.join(own, "id", "left").na.fill(0, ["b11", "b12"]), "labels")
+    found, carried = None, None
+    for d in range(left.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        here = left.where(F.col("depth") == d).select("id", "up", "b11", "b12")
+        if carried is not None:
+            here = here.join(carried.toDF("id", "c11", "c12"), "id", "left").select("id", "up", *[F.col(f"b{k}").bitwiseXOR(F.coalesce(f"c{k}", F.lit(0))).alias(f"b{k}") for k in (11, 12)])
+        here = materialise(here, "level_labels")
+        cut = here.where("b11 = 0 and b12 = 0").select(F.least("id", "up").alias("src"), F.greatest("id", "up").alias("dst"))
+        found = cut if found is None else found.union(cut)
+        carried = here.groupBy("up").agg(F.expr("bit_xor(b11)"), F.expr("bit_xor(b12)"))
+    return found if found is not None else tree_edges.limit(0)
+
+
+def bridges(g: Graph, most_edges: int = 200_000) -> DataFrame:
+    """(src, dst) with src < dst: the edges of the simple undirected graph whose loss parts a component.
+
+    Components of up to `most_edges` edges are searched in a task each, larger ones by all tasks together.
+    """
+    import pandas as pd
 
-        return pd.DataFrame(sorted(low_links(pairs)), columns=["src", "dst"])
+    simple = materialise(to_directed(g.edges).select("src", "dst"), "simple_edges")
+    named = simple.join(connected_components(simple).select(F.col("id").alias("src"), "component"), "src")
+    named = materialise(named.select("component", "src", "dst"), "component_edges")
+    large = materialise(named.groupBy("component").count().where(F.col("count") > most_edges).select("component"), "large_components")
+
+    def run(pdf):
+        return pd.DataFrame(sorted(low_links(sorted(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)))), columns=["src", "dst"])
 
-    return by_component(g, kernel, "src long, dst long")
+    found = named.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, "src long, dst long")
+    if large.isEmpty():
+        return found
+    # A component is named by its least vertex, which is the root of its tree.
+    return found.union(_covered_tree_edges(named.join(large, "component", "left_semi").select("src", "dst"), large.select(F.col("component").alias("id"))))
 
 
-def two_edge_components(g: Graph) -> DataFrame:
+def two_edge_components(g: Graph, most_edges: int = 200_000) -> DataFrame:
     """(id, component): vertices joined by two edge-disjoint paths, named by their least id."""
-    rest = to_directed(g.edges).join(bridges(g), ["src", "dst"], "left_anti")
+    rest = to_directed(g.edges).join(bridges(g, most_edges), ["src", "dst"], "left_anti")
     found = connected_components(rest)
     return g.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -19,8 +19,9 @@ NAT = """nat as (select src, dst from (select src, dst, row_number() over (parti
  join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where s_nationkey <> c_nationkey group by 1, 2) x) y where r <= 3)"""
 COS = """cos as (select src, dst from (select src, dst, row_number() over (partition by src order by w desc, dst) r from (
  select x.l_suppkey src, y.l_suppkey dst, count(*) w from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and x.l_suppkey <> y.l_suppkey group by 1, 2) x) y where r <= 3)"""
+FAV = COS.replace("cos as", "fav as").replace("r <= 3", "r <= 1")
 PN = """pn as (select distinct src, dst from (select l_partkey src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) dst from lineitem) x where dst is not null and src <> dst)"""
-_OF = {"nat": (NAT, derived.nation_edges), "cos": (COS, derived.supplier_edges), "pn": (PN, derived.part_edges)}
+_OF = {"nat": (NAT, derived.nation_edges), "cos": (COS, derived.supplier_edges), "fav": (FAV, derived.favourite_edges), "pn": (PN, derived.part_edges)}
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -257,11 +258,34 @@ def _largest(g: Graph) -> DataFrame:
     return connectivity.largest_component(Graph(g.vertices, G.make_undirected(g.edges))).edges
 
 
-@_query("cc_bridges", "nat", "+ b as (select distinct least(src, dst) x, greatest(src, dst) y from e), a as (select x, y from b union select y, x from b), r as (select x bx, y by_, x t from b union select bx, by_, a.y from r join a on a.x = t where not (a.x = bx and a.y = by_) and not (a.x = by_ and a.y = bx)) select x src, y dst from b where not exists (select 1 from r where bx = x and by_ = y and t = y)", recursive=True)
+_BRIDGES = "+ b as (select distinct least(src, dst) x, greatest(src, dst) y from e where src <> dst), a as (select x, y from b union select y, x from b), r as (select x bx, y by_, x t from b union select bx, by_, a.y from r join a on a.x = t where not (a.x = bx and a.y = by_) and not (a.x = by_ and a.y = bx)), br as (select x src, y dst from b where not exists (select 1 from r where bx = x and by_ = y and t = y))"
+
+
+@_query("cc_bridges", "fav", _BRIDGES + " select src, dst from br", recursive=True)
 def _bridges(g: Graph) -> DataFrame:
     return connectivity.bridges(g)
 
 
+@_query("cc_bridges_by_labels", "fav", _BRIDGES + " select src, dst from br", recursive=True)
+def _bridges_by_labels(g: Graph) -> DataFrame:
+    return connectivity.bridges(g, most_edges=0)  # as components too large for a task are searched
+
+
+@_query("cc_bridges_suppliers", "cos", _BRIDGES + " select src, dst from br", recursive=True)
+def _bridges_suppliers(g: Graph) -> DataFrame:
+    return connectivity.bridges(g, most_edges=0)
+
+
+@_query("cut_two_edge_components", "fav", _BRIDGES + ", k as (select x, y from a where not exists (select 1 from br where (src = x and dst = y) or (src = y and dst = x))), q as (select id s, id t from v union select s, y from q join k on x = t) select s id, min(t) component from q group by 1", recursive=True)
+def _two_edge(g: Graph) -> DataFrame:
+    return connectivity.two_edge_components(g)
+
+
+@_query("cc_weak_rounds", "fav", "+ b as (select src x, dst y from e union select dst, src from e), r as (select id s, id t from v union select s, y from r join b on x = t) select s id, min(t) component from r group by 1", recursive=True)
+def _weak_rounds(g: Graph) -> DataFrame:
+    return connectivity.connected_components(g.edges, small=0)  # as forests too large for a task are joined
+
+
 # --- centrality
 
 
@@ -330,23 +354,40 @@ def _coverage(g: Graph) -> DataFrame:
     return boxcover.coverage(g, g.vertices.where("id % 10 = 0"), 2)
 
 
-def _whole(name: str, make):
-    """A query of how much the centers of a method cover, which is all, whatever centers it takes."""
+#: The greedy cover of the undirected graph by balls of radius 1, ties to the smaller id.
+_GREEDY = """+ u as (select distinct x, y from (select src x, dst y from e union all select dst, src from e union all select id, id from v) t),
+ ball as (select x c, list(y order by y) b from u group by 1), balls as (select list({'c': c, 'b': b} order by c) l from ball),
+ pick as (select cast([] as bigint[]) chosen, (select list(id order by id) from v) rest union all
+  select list_append(chosen, best.c), list_filter(rest, lambda x: not list_contains(best.b, x)) from
+  (select chosen, rest, list_reduce(list_transform(l, lambda z: {'g': len(list_intersect(z.b, rest)), 'c': z.c, 'b': z.b}), lambda p, q: case when q.g > p.g then q else p end) best from pick, balls where len(rest) > 0) t)
+ select unnest(chosen) id from pick where len(rest) = 0"""
+
+
+def _undirected(g: Graph) -> Graph:
+    return Graph(g.vertices, materialise(G.make_undirected(g.edges), "undirected"))
+
+
+@_query("box_memb", "cos", _GREEDY, recursive=True)
+def _memb(g: Graph) -> DataFrame:
+    return boxcover.memb(_undirected(g), 1)
+
 
-    @_query(name, "cos", "select cast(1 as double) coverage")
-    def run(g: Graph) -> DataFrame:
-        u = Graph(g.vertices, materialise(G.make_undirected(g.edges), "undirected"))
-        return boxcover.coverage(u, materialise(make(u), "centers"), 1)
+@_query("box_sketch", "cos", _GREEDY, recursive=True)
+def _sketch(g: Graph) -> DataFrame:
+    return boxcover.sketch_cover(_undirected(g), 1, k=1000, alpha=0.0)  # sketches that hold whole balls: estimates are exact
 
 
-_whole("box_memb", lambda g: boxcover.memb(g, 1))
-_whole("box_sketch", lambda g: boxcover.sketch_cover(g, 1, k=8, alpha=0.1))
+_LEAST_COVER = """+ n as (select id, row_number() over (order by id) - 1 k from v), u as (select src x, dst y from e union select dst, src from e union select id, id from v),
+ ball as (select p.k, cast(sum(cast(1 as bigint) << q.k) as bigint) m from u join n p on p.id = x join n q on q.id = y group by 1), whole as (select cast(sum(cast(1 as bigint) << k) as bigint) w from n),
+ pick as (select cast(-1 as bigint) k, cast(0 as bigint) m, 0 size union select b.k, pick.m | b.m, size + 1 from pick join ball b on b.k > pick.k where size < 8 and pick.m <> (select w from whole) and pick.m | b.m <> pick.m)
+ select cast(min(size) as bigint) boxes, cast(1 as double) coverage from pick where m = (select w from whole)"""
 
 
-@_query("box_burning", "nat", "select cast(1 as double) coverage")
+@_query("box_burning", "nat", _LEAST_COVER, recursive=True)
 def _burning(g: Graph) -> DataFrame:
-    u = Graph(g.vertices, materialise(G.make_undirected(g.edges), "undirected"))
-    return boxcover.coverage(u, materialise(boxcover.burning(u, 1), "centers"), 1)
+    u = _undirected(g)
+    centers = materialise(boxcover.burning(u, 1), "centers")
+    return centers.agg(F.count("*").alias("boxes")).crossJoin(boxcover.coverage(u, centers, 1))  # one row each
 
 
 @_query("box_cbb", "nat")
@@ -376,31 +417,51 @@ _SQL["box_closed_forms"] = "select * from (values ('flower', 2, 44), ('flower',
 # --- cut trees
 
 
-@_query("cut_pair_flows", "nat")
-def _flows(g: Graph) -> DataFrame:
+#: Least cuts of all pairs: sides are chosen vertex by vertex, given up where the cut is no less than single vertices'.
+_CUTS = """+ b as (select distinct least(src, dst) x, greatest(src, dst) y from e where src <> dst),
+ n as (select id, row_number() over (order by id) - 1 k from v), deg as (select id, count(*) d from (select x id from b union all select y from b) t group by 1),
+ adj as (select p.k, cast(coalesce(sum(cast(1 as bigint) << q.k), 0) as bigint) low from n p left join b on p.id = b.y or p.id = b.x left join n q on q.id = case when b.x = p.id then b.y else b.x end and q.k < p.k group by 1),
+ most as (select max(d) m from (select d, row_number() over (order by d desc) r from deg) t where r = 2),
+ cuts as (select cast(-1 as bigint) k, cast(0 as bigint) s, cast(0 as bigint) c union all
+  select a.k, t.s | (side << a.k), t.c + bit_count(case when side = 1 then a.low & ~t.s else a.low & t.s end) from cuts t join adj a on a.k = t.k + 1, (values (cast(0 as bigint)), (cast(1 as bigint))) w(side), most
+  where t.c + bit_count(case when side = 1 then a.low & ~t.s else a.low & t.s end) < m and not (a.k = 0 and side = 1)),
+ done as (select s, c from cuts where k = (select max(k) from n)),
+ conn as (select p.id u, q.id v, cast(least(min(dp.d), min(dq.d), coalesce(min(c) filter (((s >> p.k) & 1) <> ((s >> q.k) & 1)), 1000000000)) as bigint) w from n p join n q on p.id < q.id join deg dp on dp.id = p.id join deg dq on dq.id = q.id left join done on true group by 1, 2)"""
+
+
+def _all_pairs(g: Graph) -> DataFrame:
     a, b = g.vertices.select(F.col("id").alias("u")), g.vertices.select(F.col("id").alias("v"))
-    return cuttree.pair_flows(g, a.join(b, F.col("u") < F.col("v")))
+    return a.join(b, F.col("u") < F.col("v"))
 
 
-@_query("cut_connectivity", "cos")
+@_query("cut_pair_flows", "nat", _CUTS + " select u, v, w flow from conn", recursive=True)
+def _flows(g: Graph) -> DataFrame:
+    return cuttree.pair_flows(g, _all_pairs(g))
+
+
+@_query("cut_connectivity", "nat", _CUTS + " select u, v, w connectivity from conn", recursive=True)
 def _cut(g: Graph) -> DataFrame:
-    pairs = g.edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    return cuttree.connectivity(cuttree.cut_tree(g), pairs)
+    return cuttree.connectivity(cuttree.cut_tree(g), _all_pairs(g))
+
 
+@_query("cut_connectivity_plain", "nat", _CUTS + " select u, v, w connectivity from conn", recursive=True)
+def _cut_plain(g: Graph) -> DataFrame:
+    return cuttree.connectivity(cuttree.plain_cut_tree(g), _all_pairs(g))
 
-@_query("cut_distribution", "cos")
+
+@_query("cut_distribution", "nat", _CUTS + ", w as (select distinct w from conn) select w.w, count(*) pairs from w join conn on conn.w >= w.w group by 1 union all select 0, count(*) from conn where not exists (select 1 from w where w = 0)", recursive=True)
 def _distribution(g: Graph) -> DataFrame:
     return cuttree.distribution(cuttree.cut_tree(g), g.num_vertices())
 
 
-@_query("cut_equivalence", "nat")
-def _equivalence(g: Graph) -> DataFrame:
-    return cuttree.equivalent(cuttree.cut_tree(g), cuttree.plain_cut_tree(g))
+@_query("cut_distribution_suppliers", "cos")
+def _distribution_suppliers(g: Graph) -> DataFrame:
+    return cuttree.distribution(cuttree.cut_tree(g), g.num_vertices())
 
 
-@_query("cut_two_edge_components", "cos")
-def _two_edge(g: Graph) -> DataFrame:
-    return connectivity.two_edge_components(g)
+@_query("cut_equivalence", "nat", _CUTS + " select distinct w, true same from conn", recursive=True)
+def _equivalence(g: Graph) -> DataFrame:
+    return cuttree.equivalent(cuttree.cut_tree(g), cuttree.plain_cut_tree(g))
 
 
 # --- distance index
@@ -444,9 +505,15 @@ def _degree_counts(g: Graph) -> DataFrame:
     return streaming.degree_counts(_log(g))
 
 
-@_query("change_scenario", "cos")
+@_query("change_scenario", "cos", "select cast(5 as bigint) added, cast(5 as bigint) distinct_added, cast(0 as bigint) present, cast(0 as bigint) outside, cast(5 as bigint) undone")
 def _scenario(g: Graph) -> DataFrame:
-    return streaming.random_additions_and_removals(g, 5)
+    """How many arcs a random scenario adds, and how many of them were there, leave the graph, or are removed in mirror order."""
+    log = materialise(streaming.random_additions_and_removals(g, 5), "scenario")
+    add, gone = log.where("op = 'add'"), log.where("op = 'remove'").select("src", "dst", F.col("seq").alias("back"))
+    there = g.edges.distinct().withColumn("there", F.lit(1))
+    ends = g.vertices.select("id", F.lit(1).alias("known"))
+    rows = add.join(gone, ["src", "dst"], "left").join(there, ["src", "dst"], "left").join(ends.toDF("src", "ks"), "src", "left").join(ends.toDF("dst", "kd"), "dst", "left")
+    return rows.agg(F.count("*").alias("added"), F.countDistinct("src", "dst").alias("distinct_added"), F.count("there").alias("present"), F.count_if(F.col("ks").isNull() | F.col("kd").isNull()).alias("outside"), F.count_if(F.col("seq") + F.col("back") == 9).alias("undone"))
 
 
 @_query("change_stream", "cos", "+ l as (select dst src, src dst from e where src % 4 = 0) select src, dst from e union all select src, dst from l")
@@ -497,7 +564,16 @@ def _values(name: str, sql: str | None, make) -> None:
         _SQL[name] = sql
 
 
-_values("io_built_in", None, lambda s: files.built_in_edges(s, "Karate_Club"))
+def _built_in(spark: SparkSession) -> DataFrame:
+    out = None
+    for name in ("Karate_Club", "dolphin"):
+        g = Graph.of_endpoints(materialise(files.built_in_edges(spark, name), "built_in"))
+        row = _size(g.edges).crossJoin(statistics.triangles_and_wedges(g)).select(F.lit(name).alias("name"), "edges", "vertices", "triangles", "open_wedges")  # one row each
+        out = row if out is None else out.union(row)
+    return out
+
+
+_values("io_built_in", "select * from (values ('Karate_Club', 156, 34, 45, 393), ('dolphin', 318, 62, 95, 638)) t(name, edges, vertices, triangles, open_wedges)", _built_in)
 _values("gen_path", "select range src, range + 1 dst from range(9)", lambda s: generators.path(s, 10))
 _values("gen_cycle", "select range src, (range + 1) % 10 dst from range(10)", lambda s: generators.cycle(s, 10))
 _values("gen_grid", "select range src, range + 1 dst from range(12) where range % 4 < 3 union all select range, range + 4 from range(8)", lambda s: generators.grid(s, 3, 4))

@@ -12,9 +12,11 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is named (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one is set only on a local master that names none (tests)."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set(CHECKPOINT_DIR, found)
         spark.sparkContext.setCheckpointDir(found)

@@ -10,10 +10,10 @@ def _read(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
-def _top3(pairs: DataFrame) -> DataFrame:
-    """The three heaviest targets of each source; ties go to smaller ids."""
+def _top(pairs: DataFrame, most: int = 3) -> DataFrame:
+    """The heaviest targets of each source; ties go to smaller ids."""
     order = Window.partitionBy("src").orderBy(F.desc("w"), "dst")
-    return pairs.withColumn("r", F.row_number().over(order)).where("r <= 3").select("src", "dst")
+    return pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("src", "dst")
 
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,15 +22,20 @@ def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line.select("l_orderkey", "l_suppkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(cust.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(supp.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     pairs = rows.where("s_nationkey <> c_nationkey").groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("w"))
-    return _top3(pairs)
+    return _top(pairs)
 
 
-def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier -> the three suppliers that most often share an order with it."""
+def supplier_edges(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
+    """Supplier -> the suppliers (three, or `most`) that most often share an order with it."""
     (line,) = _read(spark, sf_dir, "lineitem")
     a, b = line.select("l_orderkey", F.col("l_suppkey").alias("src")), line.select("l_orderkey", F.col("l_suppkey").alias("dst"))
     pairs = a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
-    return _top3(pairs)
+    return _top(pairs, most)
+
+
+def favourite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier -> the supplier that most often shares an order with it."""
+    return supplier_edges(spark, sf_dir, 1)
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

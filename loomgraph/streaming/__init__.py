@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomgraph.graph import Graph, GraphError
+from loomgraph.graph import Graph, GraphError, relabel
 from loomgraph.operators import hubs
 from loomgraph.runtime import materialise
 
@@ -81,8 +81,11 @@ class ObservedGraph:
         return index
 
     def change(self, changes: DataFrame) -> Graph:
-        after = apply_changes(self.graph, changes)
-        self.graph = Graph(after.vertices, materialise(after.edges, "edges"))
+        return self.replace(materialise(apply_changes(self.graph, changes).edges, "edges"), changes)
+
+    def replace(self, edges: DataFrame, changes: DataFrame) -> Graph:
+        """Take the edges that `changes` have led to, and tell the indices."""
+        self.graph = Graph(self.graph.vertices, edges)
         for index in self.indices:
             index.changed(self.graph, changes)
         return self.graph
@@ -106,17 +109,23 @@ def index_cost(g: Graph, workloads: list[DataFrame], index: DynamicGraphIndex) -
 
 
 def random_additions_and_removals(g: Graph, k: int, seed: int = 0) -> DataFrame:
-    """A change log: k random arcs that are not there are added, then removed in reverse order."""
+    """A change log: k random arcs that are not there are added, then removed in reverse order.
+
+    Ends are drawn from the vertices by dense ranks, so ids may have gaps; more are drawn until k new arcs are found.
+    """
     n = g.num_vertices()
     if n * (n - 1) - g.edges.where("src <> dst").select("src", "dst").distinct().count() < k:
         raise GraphError("there is no room for so many new arcs")
-    ids = g.vertices.select("id", F.row_number().over(Window.orderBy("id")).alias("r")) if n <= 100_000 else g.vertices.withColumn("r", F.col("id") + 1)
-    draws = g.vertices.sparkSession.range(20 * k + 100)
-    pairs = draws.select("id", *[(F.pmod(F.xxhash64(F.lit(seed), F.lit(side), "id"), F.lit(n)) + 1).alias(side) for side in ("a", "b")]).where("a <> b")
-    rows = pairs.join(ids.select(F.col("id").alias("src"), F.col("r").alias("a")), "a").join(ids.select(F.col("id").alias("dst"), F.col("r").alias("b")), "b")
-    fresh = rows.groupBy("src", "dst").agg(F.min("id").alias("at")).join(g.edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    first = fresh.orderBy("at").limit(k)
-    numbered = materialise(first.withColumn("seq", F.row_number().over(Window.orderBy("at")) - 1), "scenario")  # k rows
+    spark, ids = g.vertices.sparkSession, materialise(relabel(g), "ranks")
+    draws, numbered = 2 * k + 100, None
+    while numbered is None:
+        pairs = spark.range(draws).select("id", *[F.pmod(F.xxhash64(F.lit(seed), F.lit(side), "id"), F.lit(n)).alias(side) for side in ("a", "b")]).where("a <> b")
+        rows = pairs.join(ids.select(F.col("id").alias("src"), F.col("new_id").alias("a")), "a").join(ids.select(F.col("id").alias("dst"), F.col("new_id").alias("b")), "b")
+        fresh = rows.groupBy("src", "dst").agg(F.min("id").alias("at")).join(g.edges.select("src", "dst"), ["src", "dst"], "left_anti")
+        first = materialise(fresh.orderBy("at").limit(k), "draws")
+        if first.count() == k:
+            numbered = materialise(first.withColumn("seq", F.row_number().over(Window.orderBy("at")).cast("long") - 1), "scenario")  # k rows
+        draws *= 4
     back = numbered.select((F.lit(2 * k - 1) - F.col("seq")).alias("seq"), F.lit("remove").alias("op"), "src", "dst")
     return numbered.select("seq", F.lit("add").alias("op"), "src", "dst").union(back)
 
@@ -131,19 +140,38 @@ def degree_counts(changes: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.sum("o").alias("out_added"), F.sum("i").alias("in_added"))
 
 
+def _last_state(spark, folder: str) -> tuple[int, DataFrame | None]:
+    """The highest batch whose edges are wholly written below a folder, and those edges."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [-1]
+    if fs.exists(where):
+        for status in fs.listStatus(where):
+            path = status.getPath()
+            if path.getName().isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+                found.append(int(path.getName()))
+    last = max(found)
+    return last, spark.read.schema("src long, dst long").parquet(f"{folder}/{last}") if last >= 0 else None
+
+
 def follow(changes: DataFrame, g: Graph, checkpoint: str, on_graph=None, **trigger) -> tuple[StreamingQuery, ObservedGraph]:
     """Apply a stream of changes batch by batch; on_graph(graph, batch number) is called after each.
 
-    Batches that arrive again after a failure carry the same number and are applied once.
+    The edges after each batch are written beside the checkpoint under its number. A batch that arrives again after a
+    failure is applied once, and a query that is started again from the checkpoint goes on from the last edges written;
+    `g` is the graph before the first batch.
     """
-    observed = ObservedGraph(g)
-    done = {"last": -1}
+    spark, folder = g.vertices.sparkSession, f"{checkpoint}/graph"
+    last, edges = _last_state(spark, folder)
+    observed = ObservedGraph(g if edges is None else Graph(g.vertices, edges))
+    done = {"last": last}
 
     def apply(batch: DataFrame, number: int) -> None:
-        if number <= done["last"]:
-            return
-        observed.change(materialise(batch, "changes"))
-        done["last"] = number
+        if number > done["last"]:
+            after = apply_changes(observed.graph, materialise(batch, "changes"))
+            after.edges.select("src", "dst").write.mode("overwrite").parquet(f"{folder}/{number}")
+            observed.replace(spark.read.schema("src long, dst long").parquet(f"{folder}/{number}"), batch)
+            done["last"] = number
         if on_graph is not None:
             on_graph(observed.graph, number)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import pairs
 from loomgraph import cli, streaming, viz
 from loomgraph.graph import Graph, GraphError, make_undirected
-from loomgraph.operators import boxcover, cuttree, hubs, paths
+from loomgraph.operators import boxcover, connectivity, cuttree, hubs, paths
 from loomgraph.runtime import fresh_path
 from loomgraph.sources import files, generators
 
@@ -146,6 +146,36 @@ def test_changes(spark, edges):
     assert len(streaming.index_cost(g, [log.where("seq = 0")], streaming.DistanceIndex())) == 1
 
 
+def test_scenario_of_sparse_ids_and_full_graphs(spark, edges):
+    ids = [3, 10**12, 7 * 10**9, 50]
+    every = [(a, b) for a in ids for b in ids if a != b]
+    g = Graph(spark.createDataFrame([(i,) for i in ids], "id long"), edges(every[2:]))
+    added = pairs(streaming.random_additions_and_removals(g, 2).where("op = 'add'"), "src", "dst")
+    assert added == sorted(every[:2])  # the only two that are missing
+    with pytest.raises(GraphError):
+        streaming.random_additions_and_removals(g, 3)
+
+
+def test_sketch_cover_stops_when_enough_is_covered(spark):
+    g = Graph.of(make_undirected(generators.cycle(spark, 60)))
+    for k, alpha in ((128, 1.0), (4, 0.0)):
+        centers = boxcover.sketch_cover(g, 1, k=k, alpha=alpha, enough=0.5, passes=1)
+        assert centers.count() == 10 and boxcover.coverage(g, centers, 1).first().coverage == 0.5
+    two = Graph.of(make_undirected(generators.barbell(spark, 6).where("not (src < 6 and dst >= 6)")))
+    assert boxcover.sketch_cover(two, 1, enough=0.5).count() == 1 and boxcover.sketch_cover(two, 1).count() == 2
+
+
+def test_bridges_of_large_components(spark, edges):
+    """The search by labels over all tasks finds what the search in one task finds."""
+    import random
+
+    rng = random.Random(3)
+    for n, m in ((30, 34), (40, 60), (25, 24)):
+        arcs = edges([(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(100, 110)])
+        g = Graph.of_endpoints(arcs)
+        assert pairs(connectivity.bridges(g, most_edges=0), "src", "dst") == pairs(connectivity.bridges(g), "src", "dst") == sorted(connectivity.low_links(sorted({(min(a, b), max(a, b)) for a, b in pairs(arcs, "src", "dst") if a != b})))
+
+
 def test_stream(spark, edges):
     g = Graph.of(edges([(0, 1)]), 3)
     where = fresh_path(spark, "stream")
@@ -154,6 +184,11 @@ def test_stream(spark, edges):
     query, observed = streaming.follow(spark.readStream.schema(streaming.CHANGE).parquet(f"{where}/in"), g, f"{where}/checkpoint", lambda h, k: seen.append(k))
     query.awaitTermination()
     assert pairs(observed.graph.edges, "src", "dst") == [(0, 1), (1, 2)] and seen == [0]
+    # Started again from the checkpoint, the graph goes on from the batches before.
+    spark.createDataFrame([(1, "add", 2, 0), (2, "remove", 0, 1)], streaming.CHANGE).write.mode("append").parquet(f"{where}/in")
+    query, observed = streaming.follow(spark.readStream.schema(streaming.CHANGE).parquet(f"{where}/in"), g, f"{where}/checkpoint", lambda h, k: seen.append(k))
+    query.awaitTermination()
+    assert pairs(observed.graph.edges, "src", "dst") == [(1, 2), (2, 0)] and seen == [0, 1]
 
 
 def test_dot(edges):
