@@ -92,16 +92,15 @@ def update(rows: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     Null and empty texts are one blob without spans; a blob that many rows hold is scanned once; a rule whose
     version has changed is scanned again, others are not. Append the result to the ledger's table.
     """
-    texts = blobs(rows.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    # Only texts that some rule may match travel to where the copies of a blob meet, one of each task.
+    suspect = F.when(F.col("text").rlike("|".join(f"(?:{r.hint})" for r in rules)), F.col("text"))
+    texts = blobs(rows.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).groupBy("blob").agg(F.max(suspect).alias("text"))
     wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is not None:
         known = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("known"))
         texts = texts.join(known, "blob", "left")
         wanted = F.array_except(wanted, F.coalesce("known", F.array().cast("array<struct<kind:string,version:int>>")))
-    texts = texts.withColumn("due", F.transform(wanted, lambda w: w["kind"])).where(F.size("due") > 0)
-    # Only texts that some rule may match travel to where the copies of a blob meet.
-    suspect = F.when(F.col("text").rlike("|".join(f"(?:{r.hint})" for r in rules)), F.col("text"))
-    return _scanned(texts.withColumn("text", suspect).groupBy("blob", "due").agg(F.max("text").alias("text")), rules)
+    return _scanned(texts.withColumn("due", F.transform(wanted, lambda w: w["kind"])).where(F.size("due") > 0), rules)
 
 
 def findings(rows: DataFrame, ledger: DataFrame, keys: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
