@@ -34,6 +34,9 @@ SLACK = 1e-9
 ORDER_BITS = 20
 #: Shingles of a usual class, for what a task can hold.
 PER_CLASS = 512
+#: Least number of parts of all shingles that a set's shingles are counted in, and most shingles a part on average.
+PARTS = 256
+PER_PART = 16
 
 
 def shingles_of(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -53,8 +56,12 @@ def _signature(s: np.ndarray) -> int:
 
 
 def _parts(s: np.ndarray) -> bytes:
-    """How many shingles of a set lie in each of the 256 parts of all shingles, 255 at most."""
-    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+    """How many shingles of a set lie in each part of all shingles, 255 at most.
+
+    Large sets have more parts, by doubling, so that chance alone brings no two sets near, however large they are.
+    """
+    bits = max(PARTS.bit_length() - 1, (-(-s.size // PER_PART) - 1).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 def _far(percent: int) -> float:
@@ -143,54 +150,73 @@ def _windows(batches, order, width: int, percent: int, at_once: int = 1 << 16):
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in (pivots, nodes, ns)], names=["pivot", "node", "n"])
 
 
-def _met(batches):
-    """From rows sorted by (pivot, n, node): the rows whose region has another set, each set of a region once."""
-    last, before = None, None  # the row before, and the pivot of the one before that
+def _met(batches, percent: int):
+    """From rows sorted by (pivot, n, node): each set of a region once, where the next smaller or larger set there is near in size."""
+    last, kept = None, False  # the row before, and whether it has met the one before that
     for batch in batches:
         rows = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
         if last is not None:
             rows = np.concatenate([last[None], rows])
-        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
-        pivot = rows[:, 0]
-        same = pivot[1:] == pivot[:-1]
-        met = np.append(same, False) | np.insert(same, 0, before == pivot[0] if before is not None else False)
+        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
+        near = (rows[1:, 0] == rows[:-1, 0]) & (100 * rows[:-1, 1] >= percent * rows[1:, 1])
+        met = np.append(near, False) | np.insert(near, 0, kept)
         if met[:-1].any():
-            yield pa.record_batch([pa.array(np.ascontiguousarray(rows[:-1][met[:-1], k])) for k in range(3)], names=["pivot", "node", "n"])
-        if rows.shape[0] > 1:
-            before = pivot[-2]
-        last = rows[-1]
-    if last is not None and before is not None and before == last[0]:
-        yield pa.record_batch([pa.array(last[k : k + 1]) for k in range(3)], names=["pivot", "node", "n"])
-
-
-def _near(i: int, n: np.ndarray, parts: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets may link with the i-th: their differences over the parts add up to no more than a link allows."""
-    apart = np.abs(parts - parts[i]).sum(axis=1, dtype=np.int64)
-    return links((n + n[i] - apart) // 2, n[i], n, percent)
+            yield pa.record_batch([pa.array(np.ascontiguousarray(rows[:-1][met[:-1], k])) for k in (0, 2, 1)], names=["pivot", "node", "n"])
+        last, kept = rows[-1], bool(met[-1])
+    if kept:
+        yield pa.record_batch([pa.array(last[k : k + 1]) for k in (0, 2, 1)], names=["pivot", "node", "n"])
+
+
+class _Parts:
+    """The part counts of the sets of a region, compared over as many parts as the smaller of two sets has."""
+
+    def __init__(self, n: np.ndarray, parts: list[bytes], percent: int):
+        self.n, self.percent = n, percent
+        self.own = np.array([len(x) for x in parts])
+        self.doubled = (-(-100 // percent) - 1).bit_length()  # how often the parts of a set that may link can have doubled
+        self.at = {}  # number of parts: the sets with so many or some more, and their counts over so many
+        for width in np.unique(self.own).tolist():
+            who = np.flatnonzero((self.own >= width) & (self.own <= width << self.doubled))
+            rows = np.empty((who.size, width), np.int16)
+            for k, x in enumerate(who.tolist()):
+                rows[k] = np.minimum(np.frombuffer(parts[x], np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int64), 255)
+            self.at[width] = who, rows
+
+    def near(self, i: int) -> np.ndarray:
+        """Which sets may link with the i-th: their differences over the parts add up to no more than a link allows."""
+        out = []
+        for width in (int(self.own[i]) >> d for d in range(self.doubled + 1)):
+            if width in self.at:
+                who, rows = self.at[width]
+                apart = np.abs(rows - rows[np.searchsorted(who, i)]).sum(axis=1, dtype=np.int64)
+                found = who[links((self.n[who] + self.n[i] - apart) // 2, self.n[i], self.n[who], self.percent)]
+                out.append(found if width == self.own[i] else found[self.own[found] == width])
+        return np.concatenate(out)
 
 
 def _joins(batches, most: int, percent: int):
     """From rows (pivot, node, n, parts) sorted by pivot: edges that join the sets of a region that may link.
 
     Every set outside the largest join of its region is held against all others, so no pair is missed. A region of
-    more than `most` sets is joined as a whole along its sizes.
+    more than `most` sets, or of as many bytes of parts as 16 times so many usual ones, is joined as a whole along its
+    sizes.
     """
     for rows in _groups(batches):
         node, n = rows.column(1).to_numpy(), rows.column(2).to_numpy()
         size = node.size
         if size < 2:
             continue
-        if size > most:
+        if size > most or pa.compute.sum(pa.compute.binary_length(rows.column(3))).as_py() > 16 * most * PARTS:
             order = np.argsort(n, kind="stable")
             step = 100 * n[order[:-1]] >= percent * n[order[1:]]
             src, dst = node[order[1:]][step], node[order[:-1]][step]
         else:
-            parts = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(size, 256).astype(np.int16)
+            parts = _Parts(n, rows.column(3).to_pylist(), percent)
             root, turned = np.arange(size), np.zeros(size, bool)
             i = size // 2
             while i is not None:
                 turned[i] = True
-                found = np.unique(root[_near(i, n, parts, percent)])
+                found = np.unique(root[parts.near(i)])
                 root[np.isin(root, found)] = found[0]
                 value, count = np.unique(root, return_counts=True)
                 rest = np.flatnonzero(~turned & (root != value[count.argmax()]))
@@ -437,7 +463,7 @@ def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots:
     speakers = own.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.max("parts").alias("parts"))
 
     windows = rows.select("text").where("text is not null").mapInArrow(lambda b: _windows(b, order.value, width, percent), "pivot long, node long, n long")
-    met = windows.repartition("pivot").sortWithinPartitions("pivot", "n", "node").mapInArrow(_met, "pivot long, node long, n long")
+    met = windows.select("pivot", "n", "node").repartition("pivot").sortWithinPartitions("pivot", "n", "node").mapInArrow(lambda b: _met(b, percent), "pivot long, node long, n long")
     met = runtime.materialise(met, "shared_windows")
     held = met.select("pivot", "node").join(speakers.select("node", "n", "parts"), "node").select("pivot", "node", "n", "parts")
     joins = held.repartition("pivot").sortWithinPartitions("pivot", "node").mapInArrow(lambda b: _joins(b, 4096, percent), "src long, dst long").distinct()

@@ -336,6 +336,36 @@ def test_jaccard_recursion():
         assert ((region.root == region.root[i]) == (label == label[i])).all()
 
 
+def test_jaccard_parts():
+    """Large sets that share little do not join by chance; sets that link do, over different numbers of parts too."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+    a, b, c = draw(20000), draw(20000), draw(4000)
+    near = [c, np.unique(np.append(c, draw(500)))]  # 256 and 512 parts
+    sets = [a, b, np.unique(np.append(a[1000:], draw(1000))), *near]
+    assert [len(jaccard._parts(s)) for s in sets[3:]] == [256, 512]
+    rows = pa.record_batch([pa.array([1] * 5), pa.array(range(5)), pa.array([s.size for s in sets]), pa.array([jaccard._parts(s) for s in sets], pa.binary())], names=["pivot", "node", "n", "parts"])
+    for percent in (80, 85, 30):
+        root = list(range(5))
+        for batch in jaccard._joins([rows], 4096, percent):
+            for x, y in zip(batch["src"].to_pylist(), batch["dst"].to_pylist(), strict=True):
+                root = [root[x] if r == root[y] else r for r in root]
+        assert root[0] == root[2] and root[3] == root[4]
+        if percent > 50:
+            assert len(set(root)) == 3
+
+
+def test_jaccard_met():
+    """Of a region the sets stay that have another of like size, wherever the batches end."""
+    rows = [(1, 10, 5), (1, 10, 5), (1, 10, 6), (1, 20, 7), (1, 100, 8), (1, 120, 9), (2, 50, 5), (3, 50, 5), (3, 70, 6), (4, 80, 1), (4, 90, 2)]
+    want = [(1, 5, 10), (1, 6, 10), (1, 8, 100), (1, 9, 120), (4, 1, 80), (4, 2, 90)]
+    for size in (1, 2, 3, 20):
+        cut = [rows[k : k + size] for k in range(0, len(rows), size)]
+        batches = [pa.record_batch([pa.array(x) for x in zip(*part, strict=True)], names=["pivot", "n", "node"]) for part in cut]
+        got = [tuple(r.values()) for b in jaccard._met(batches, 80) for r in b.to_pylist()]
+        assert got == want
+
+
 def test_jaccard_odd(odd, small, none):
     for df in (odd, small):
         got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.components(df).collect())
