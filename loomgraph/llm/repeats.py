@@ -130,7 +130,7 @@ def _window_rows(batches, length: int, rounds: int, at_once: int):
 
         going = np.flatnonzero(~again)
         apart = (np.diff(going) != 1) | (w.lead[going[1:]] != w.lead[going[:-1]]) | (w.doc[going[1:]] != w.doc[going[:-1]])
-        emit(going, apart, (w.hash >> np.uint64(32)).astype("<u4"))
+        emit(going, apart, w.hash.astype("<u8"))
         seen = np.flatnonzero(known)
         apart = (np.diff(seen) != 1) | (w.doc[seen[1:]] != w.doc[seen[:-1]])
         emit(seen, apart, None)
@@ -172,10 +172,10 @@ def _repeated(batches, most: int):
 
     def spread(rows: pa.Table):
         """Each window of the rows: row, start, and a 64-bit name from key, place of the leader and hash."""
-        sizes = pa.compute.binary_length(rows["windows"]).to_numpy() // 4
+        sizes = pa.compute.binary_length(rows["windows"]).to_numpy() // 8
         row = np.repeat(np.arange(rows.num_rows), sizes)
         start = np.arange(row.size) - np.repeat(np.cumsum(sizes) - sizes, sizes) + rows["first"].to_numpy()[row]
-        hashed = np.frombuffer(b"".join(rows["windows"].to_pylist()), "<u4").astype(np.uint64)
+        hashed = np.frombuffer(b"".join(rows["windows"].to_pylist()), "<u8")
         name = mix(rows["key"].to_numpy().view(np.uint64)[row] * np.uint64(0xD6E8FEB86659FD93) + (rows["lead"].to_numpy()[row] - start).astype(np.uint64))
         return row, start, mix(name + hashed)
 

@@ -412,6 +412,15 @@ def test_repeats(spark, rounds, at_once, most):
         assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(rows, length)
 
 
+def test_repeats_like_windows(spark):
+    """Many windows that differ in one word only meet under one symbol, and none is taken for another."""
+    same = F.lit(" ".join(f"word{k}" for k in range(34)))
+    df = spark.range(0, 200_000, 1, 8).select(F.col("id").alias("doc_id"), F.concat_ws(" ", same, F.col("id").cast("string")).alias("text"))
+    assert repeats.remove_repeats(df).where("n_removed > 0").count() == 0
+    twice = df.union(df.where("doc_id = 77").withColumn("doc_id", F.lit(-1)))
+    assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(twice).where("n_removed > 0").collect()} == {77: 35, -1: 35}
+
+
 def test_repeats_odd(odd, small, none):
     for df in (odd, small):
         got = repeats.remove_repeats(df, digest=True).collect()
