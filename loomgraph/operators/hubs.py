@@ -1,8 +1,8 @@
 """A two-hop distance index: labels (v, direction, hub, dist) such that the best common hub gives the distance.
 
 Labels are made by pruned searches from hubs in descending degree, in one task (each search prunes by the labels of
-those before); the sizes are checked. Queries are a join of labels. Edge insertions resume the searches of the hubs
-of both ends; removals are not supported.
+those before); the sizes are checked. Queries are a join of labels. Edge insertions start from stored labels and resume
+the searches of the hubs of both ends; vertices come and go while they have no edges; edge removals are not supported.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.graph import BWD, FWD, Graph, GraphError
+from loomgraph.graph import BWD, FWD, Graph, GraphError, relabel
 from loomgraph.runtime import materialise
 
 #: What the index answers for pairs without a path.
@@ -29,12 +29,22 @@ class PrunedLabels:
             self.near[FWD][a].append(b)
             self.near[BWD][b].append(a)
         weight = {v: len(self.near[FWD][v]) + len(self.near[BWD][v]) for v in vertices}
-        self.order = sorted(vertices, key=lambda v: (-weight[v], v))
-        self.rank = {v: k for k, v in enumerate(self.order)}
+        self.order = dict(enumerate(sorted(vertices, key=lambda v: (-weight[v], v))))
+        self.rank = {v: k for k, v in self.order.items()}
         self.label = {FWD: {v: {} for v in vertices}, BWD: {v: {} for v in vertices}}
 
+    @classmethod
+    def resumed(cls, labels: list[tuple[int, str, int, int]], arcs: list[tuple[int, int]]) -> PrunedLabels:
+        """The index as rows() gave it, over the arcs that it stands for. Every hub has a label of itself."""
+        order = {hub: v for v, d, hub, dist in labels if dist == 0 and d == FWD}
+        index = cls(list(order.values()), arcs)
+        index.order, index.rank = order, {v: hub for hub, v in order.items()}
+        for v, d, hub, dist in labels:
+            index.label[d][v][hub] = dist
+        return index
+
     def build(self) -> PrunedLabels:
-        for rank, hub in enumerate(self.order):
+        for rank, hub in self.order.items():
             for d in (FWD, BWD):
                 self._search(rank, [(hub, 0)], d)
         return self
@@ -72,29 +82,69 @@ class PrunedLabels:
         return [(v, d, h, dist) for d in (FWD, BWD) for v, own in self.label[d].items() for h, dist in own.items()]
 
 
+def _index(rows: DataFrame, edges: DataFrame, added: DataFrame | None, start, name: str) -> DataFrame:
+    """Labels by one task: start(rows of kinds under 3, arcs) gives the index, then the arcs `added` are inserted by seq."""
+    import pandas as pd
+
+    none = F.lit(0).cast("long")  # not null, so that ids stay integers in pandas
+    rows = rows.union(edges.select(F.lit(3), "src", "dst", none))
+    if added is not None:
+        rows = rows.union(added.select(F.lit(4), "src", "dst", F.col("seq").cast("long")))
+
+    def run(pdf):
+        index = start(pdf[pdf.kind < 3], [(int(a), int(b)) for a, b in pdf.loc[pdf.kind == 3, ["a", "b"]].to_numpy()])
+        for a, b in pdf[pdf.kind == 4].sort_values("seq")[["a", "b"]].to_numpy():
+            index.add_edge(int(a), int(b))
+        return pd.DataFrame(index.rows(), columns=["v", "direction", "hub", "dist"])
+
+    return materialise(rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: run(pdf), LABELS), name)
+
+
 def build(g: Graph, added: DataFrame | None = None, most_edges: int = 5_000_000) -> DataFrame:
     """Labels of a graph, with the arcs of added(seq, src, dst) inserted one by one afterwards.
 
     `hub` is a rank: hubs are numbered in descending degree, ties by id.
     """
-    import pandas as pd
-
-    n, m = g.num_vertices(), g.num_edges()
-    if n + m > most_edges:
+    if g.num_vertices() + g.num_edges() > most_edges:
         raise GraphError("the graph is too large for one index task")
-    none = F.lit(None).cast("long")
+    none = F.lit(0).cast("long")  # not null, so that ids stay integers in pandas
     rows = g.vertices.select(F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), none.alias("seq"))
-    rows = rows.union(g.edges.select(F.lit(1), "src", "dst", none))
-    if added is not None:
-        rows = rows.union(added.select(F.lit(2), "src", "dst", F.col("seq").cast("long")))
+    return _index(rows, g.edges, added, lambda pdf, arcs: PrunedLabels(sorted(pdf["a"].tolist()), arcs).build(), "hub_labels")
+
+
+def insert(labels: DataFrame, edges: DataFrame, added: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
+    """Labels of edges(src, dst) after the arcs of added(seq, src, dst); only the searches that these reach run again.
+
+    The ends of the arcs must be vertices of the index. Ranks stay.
+    """
+    if edges.count() + labels.count() > most_edges:
+        raise GraphError("the graph is too large for one index task")
+    rows = labels.select(F.when(F.col("direction") == FWD, 1).otherwise(2).alias("kind"), F.col("v").alias("a"), F.col("hub").alias("b"), F.col("dist").cast("long").alias("seq"))
+
+    def start(pdf, arcs):
+        known = [(int(v), FWD if kind == 1 else BWD, int(hub), int(dist)) for kind, v, hub, dist in pdf[["kind", "a", "b", "seq"]].to_numpy()]
+        return PrunedLabels.resumed(known, arcs)
+
+    return _index(rows, edges, added, start, "hub_labels")
+
+
+def add_vertices(labels: DataFrame, ids: DataFrame) -> DataFrame:
+    """Labels with the vertices ids(id) too, which have no edges yet; they rank after all others."""
+    new = ids.select("id").distinct().join(labels.select(F.col("v").alias("id")), "id", "left_anti")
+    top = labels.agg(F.coalesce(F.max("hub"), F.lit(-1)).alias("top"))
+    ranked = relabel(Graph(new, ids.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0))).crossJoin(top)  # one row
+    sides = F.explode(F.array(F.lit(FWD), F.lit(BWD))).alias("direction")
+    rows = ranked.select(F.col("id").alias("v"), sides, (F.col("top") + 1 + F.col("new_id")).alias("hub"), F.lit(0).alias("dist"))
+    return materialise(labels.union(rows), "hub_labels")
 
-    def run(pdf):
-        index = PrunedLabels(sorted(pdf.loc[pdf.kind == 0, "a"].tolist()), [(int(a), int(b)) for a, b in pdf.loc[pdf.kind == 1, ["a", "b"]].to_numpy()]).build()
-        for a, b in pdf[pdf.kind == 2].sort_values("seq")[["a", "b"]].to_numpy():
-            index.add_edge(int(a), int(b))
-        return pd.DataFrame(index.rows(), columns=["v", "direction", "hub", "dist"])
 
-    return materialise(rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: run(pdf), LABELS), "hub_labels")
+def remove_vertices(labels: DataFrame, ids: DataFrame) -> DataFrame:
+    """Labels without the vertices ids(id), which must have no edges; others keep their ranks."""
+    gone = ids.select(F.col("id").alias("v")).distinct()
+    ranks = labels.where("dist = 0").join(gone, "v", "left_semi").select("hub").distinct()
+    if not labels.where("dist > 0").join(gone, "v", "left_semi").isEmpty() or not labels.where("dist > 0").join(ranks, "hub", "left_semi").isEmpty():
+        raise GraphError("the index cannot remove vertices that have edges")
+    return materialise(labels.join(gone, "v", "left_anti").select(*labels.columns), "hub_labels")
 
 
 def query(labels: DataFrame, pairs: DataFrame, no_path: int = NO_PATH) -> DataFrame:

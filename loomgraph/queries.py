@@ -478,7 +478,9 @@ def _hub_added(g: Graph) -> DataFrame:
     new = g.vertices.where("id % 9 = 0").select(F.col("id").alias("seq"), F.col("id").alias("src"), ((F.col("id") * 13 + 5) % 100).alias("dst"))
     new = new.join(g.vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
     a, b = g.vertices.select(F.col("id").alias("u")), g.vertices.select(F.col("id").alias("v"))
-    return hubs.query(hubs.build(g, new), a.join(b, F.col("u") % 7 == F.col("v") % 5))
+    first, edges = new.where("seq % 2 = 0"), g.edges.select("src", "dst")
+    labels = hubs.insert(hubs.build(g, first), edges.union(first.select("src", "dst")), new.where("seq % 2 = 1"))
+    return hubs.query(labels, a.join(b, F.col("u") % 7 == F.col("v") % 5))
 
 
 @_query("hub_label_size", "cos")

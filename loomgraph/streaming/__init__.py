@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.graph import Graph, GraphError, relabel
 from loomgraph.operators import hubs
-from loomgraph.runtime import materialise
+from loomgraph.runtime import discard, materialise
 
 CHANGE = "seq long, op string, src long, dst long"
 
@@ -48,21 +48,29 @@ class DynamicGraphIndex(GraphIndex):
 
 
 class DistanceIndex(DynamicGraphIndex):
-    """Two-hop labels under insertions; removals fail."""
+    """Two-hop labels under insertions, each batch from the labels of the one before; removals of edges fail."""
 
     def __init__(self):
         self.labels: DataFrame | None = None
 
     def construct(self, g: Graph) -> None:
-        self.base, self.log = g, None
-        self.labels = hubs.build(g)
+        self.edges, self.labels = g.edges, hubs.build(g)
+
+    def _replace(self, labels: DataFrame) -> None:
+        old, self.labels = self.labels, labels
+        discard(old)
 
     def changed(self, g: Graph, changes: DataFrame) -> None:
         if not changes.where("op = 'remove'").isEmpty():
             hubs.remove_edge()
-        new = changes.select("seq", "src", "dst")
-        self.log = new if self.log is None else self.log.union(new)
-        self.labels = hubs.build(self.base, self.log)
+        self._replace(hubs.insert(self.labels, self.edges, changes.select("seq", "src", "dst")))
+        self.edges = g.edges
+
+    def add_vertices(self, ids: DataFrame) -> None:
+        self._replace(hubs.add_vertices(self.labels, ids))
+
+    def remove_vertices(self, ids: DataFrame) -> None:
+        self._replace(hubs.remove_vertices(self.labels, ids))
 
     def distances(self, pairs: DataFrame) -> DataFrame:
         return hubs.query(self.labels, pairs)

@@ -1,4 +1,5 @@
 import json
+import random
 from itertools import combinations
 
 import pytest
@@ -127,6 +128,35 @@ def test_hub_labels(spark, edges):
         hubs.remove_edge()
 
 
+def test_labels_resume(spark):
+    """Batches of insertions go on from stored labels; vertices come and go while they have no edges."""
+    rng = random.Random(8)
+    arcs = list({(rng.randrange(20), rng.randrange(20)) for _ in range(60)})
+    schema, change = "src long, dst long", "seq long, src long, dst long"
+    ids = spark.range(20)
+    edges = spark.createDataFrame(arcs[:20], schema)
+    labels = hubs.build(Graph(ids, edges))
+    labels = hubs.add_vertices(labels, spark.createDataFrame([(30,), (31,), (3,)], "id long"))
+    labels = hubs.remove_vertices(labels, spark.createDataFrame([(30,)], "id long"))
+    arcs += [(31, 4), (5, 31)]
+    for k, batch in enumerate((arcs[20:40], arcs[40:])):
+        labels = hubs.insert(labels, edges, spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(batch)], change))
+        edges = edges.union(spark.createDataFrame(batch, schema))
+        known = [tuple(r) for r in edges.collect()]
+        want = {(v, v): 0 for v in [*range(20), 31]}
+        for dist in range(1, 22):
+            for (u, v), d in list(want.items()):
+                if d == dist - 1:
+                    for x, y in known:
+                        if x == v:
+                            want.setdefault((u, y), dist)
+        names = spark.createDataFrame([(v,) for v in [*range(20), 31]], "u long")
+        got = hubs.query(labels, names.join(names.toDF("v")))
+        assert {(u, v): d for u, v, d in pairs(got, "u", "v", "dist")} == {(u, v): want.get((u, v), hubs.NO_PATH) for u in [*range(20), 31] for v in [*range(20), 31]}
+    with pytest.raises(GraphError):
+        hubs.remove_vertices(labels, spark.createDataFrame([(31,)], "id long"))
+
+
 def test_changes(spark, edges):
     g = Graph.of(edges([(0, 1), (1, 2)]), 4)
     log = spark.createDataFrame([(0, "add", 2, 3), (1, "remove", 2, 3), (2, "add", 2, 3), (3, "remove", 0, 1)], streaming.CHANGE)
