@@ -135,22 +135,83 @@ def estimate(sketch, k: int):
 
 
 def greedy_by_sketches(sketches: dict[int, list[float]], k: int) -> list[int]:
-    """Centers that most raise the estimate of the merged sketch; ties go to smaller ids; stops when nothing is added."""
-
-    def size(s: list[float]) -> float:
-        return float(len(s)) if len(s) < k else (k - 1) / s[k - 1]
+    """Centers that most raise the estimate of the merged sketch; ties go to smaller ids; stops when nothing is added.
 
+    Where no sketch is full they hold the whole balls, so the merged one is not cut to k and its length is the size.
+    A center's count of ranks that can still enter the merged sketch only falls and bounds its estimate, so a heap of
+    counts gives the few whose estimates are worked out.
+    """
+    import heapq
+    from bisect import insort
+
+    whole = all(len(s) < k for s in sketches.values())
+    holders: dict[float, list[int]] = {}
+    for c, own in sketches.items():
+        for r in own:
+            holders.setdefault(r, []).append(c)
+    rising = sorted(holders)
     merged: list[float] = []
+    used: set[float] = set()  # ranks that were merged or can no longer be
+    left = {c: sorted(own) for c, own in sketches.items()}
+    count = {c: len(own) for c, own in left.items()}
+    heap = [(-n, c) for c, n in count.items() if n]
+    heapq.heapify(heap)
     chosen: list[int] = []
-    rest = dict(sketches)
-    while rest:
-        best = max(rest, key=lambda c: (size(sorted(set(merged) | set(rest[c]))[:k]), -c))
-        new = sorted(set(merged) | set(rest[best]))[:k]
-        if size(new) <= size(merged):
+
+    def at_most(n: int) -> float:
+        """What n new ranks can make of the estimate."""
+        if whole or len(merged) + n < k:
+            return float(len(merged) + n)
+        return (k - 1) / merged[k - 1 - n] if n < k else float("inf")
+
+    def size_with(c: int) -> float:
+        if whole or len(merged) + count[c] < k:
+            return float(len(merged) + count[c])
+        own = left[c] = [r for r in left[c] if r not in used]
+        n = max(0, k - len(merged))  # of own ranks, the least that are among the k smallest of both
+        while n < min(k, len(own)) and own[n] < merged[k - 1 - n]:
+            n += 1
+        last = max(own[n - 1] if n else 0.0, merged[k - 1 - n] if n < k else 0.0)
+        return (k - 1) / last
+
+    now = 0.0
+    while heap:
+        best, pick, seen = now, None, []
+        while heap:
+            bound = at_most(-heap[0][0])
+            if bound < best or bound == best and (pick is None or heap[0][1] > pick):
+                break
+            n, c = heapq.heappop(heap)
+            if -n != count[c]:
+                if count[c]:
+                    heapq.heappush(heap, (-count[c], c))
+                continue
+            seen.append(c)
+            size = size_with(c)
+            if size > best or size == best and pick is not None and c < pick:
+                best, pick = size, c
+        if pick is None:
             break
-        merged = new
-        chosen.append(best)
-        del rest[best]
+        chosen.append(pick)
+        for c in seen:
+            if c != pick:
+                heapq.heappush(heap, (-count[c], c))
+        new = [r for r in left.pop(pick) if r not in used]
+        for r in new:
+            insort(merged, r)
+        used.update(new)
+        gone = new
+        if not whole:
+            del merged[k:]
+            while rising and len(merged) == k and rising[-1] > merged[-1]:
+                if rising[-1] not in used:
+                    gone.append(rising[-1])
+                rising.pop()
+            used.update(gone)
+        for r in gone:
+            for c in holders.pop(r):
+                count[c] -= 1
+        now = best
     return chosen
 
 

@@ -195,6 +195,24 @@ def test_sketch_cover_stops_when_enough_is_covered(spark):
     assert boxcover.sketch_cover(two, 1, enough=0.5).count() == 1 and boxcover.sketch_cover(two, 1).count() == 2
 
 
+def test_sketches_of_whole_balls_choose_greedily(spark):
+    """More vertices than k ranks: sketches that hold whole balls are counted, not estimated; full ones are estimated."""
+    rng = random.Random(5)
+    near = {v: {v, *(rng.randrange(3000) for _ in range(rng.randrange(8)))} for v in range(3000)}
+    place = [rng.random() for _ in near]
+    sketches = {v: sorted(place[w] for w in own) for v, own in near.items()}
+    assert boxcover.greedy_by_sketches(sketches, 20) == boxcover.greedy_cover(near)
+    few = {v: own[:4] for v, own in list(sketches.items())[:80]}
+    merged, want = [], []
+    size = lambda s: float(len(s)) if len(s) < 4 else 3 / s[3]
+    while (best := max(few, key=lambda c: (size(sorted({*merged, *few[c]})[:4]), -c))) is not None and size(sorted({*merged, *few[best]})[:4]) > size(merged):
+        merged = sorted({*merged, *few[best]})[:4]
+        want.append(best)
+    assert boxcover.greedy_by_sketches(few, 4) == want
+    g = Graph.of(make_undirected(generators.erdos_renyi(spark, 120, 2.5, seed=3)), 120)
+    assert pairs(boxcover.sketch_cover(g, 1, k=40, alpha=0.0), "id") == pairs(boxcover.memb(g, 1), "id")
+
+
 def test_bridges_of_large_components(spark, edges):
     """The search by labels over all tasks finds what the search in one task finds."""
     import random
