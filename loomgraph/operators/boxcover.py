@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph.graph import Graph, GraphError
 from loomgraph.operators.connectivity import connected_components
 from loomgraph.plans.iterate import levels
-from loomgraph.runtime import materialise
+from loomgraph.runtime import materialise, spread
 
 
 def balls(g: Graph, radius: int, centers: DataFrame | None = None) -> DataFrame:
@@ -241,7 +241,7 @@ def sketch_cover(g: Graph, radius: int, k: int = 128, passes: int = 4, enough: f
         if number + 1 == passes or pairs <= alpha * k * n and sketches.where(F.size("sketch") >= k).isEmpty():
             break
         rows = sketches.join(named, "id").select("component", "id", "sketch")
-        picked = rows.groupBy("component").applyInPandas(lambda pdf: pd.DataFrame({"id": greedy_by_sketches(dict(zip(pdf["id"].tolist(), map(list, pdf["sketch"]), strict=True)), k)}), "id long")
+        picked = spread(rows, "component").groupBy("component").applyInPandas(lambda pdf: pd.DataFrame({"id": greedy_by_sketches(dict(zip(pdf["id"].tolist(), map(list, pdf["sketch"]), strict=True)), k)}), "id long")
         chosen = materialise(chosen.union(picked).distinct(), "centers")
         left = materialise(g.vertices.join(covered(g, chosen, radius), "id", "left_anti"), "uncovered")
         if left.count() <= allowed:

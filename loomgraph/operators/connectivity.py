@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import BWD, Graph, relabel, to_directed
 from loomgraph.plans.iterate import levels
-from loomgraph.runtime import discard, materialise
+from loomgraph.runtime import discard, materialise, spread
 
 
 def _forests(batches):
@@ -156,7 +156,7 @@ def by_component(g: Graph, kernel, schema: str, most_edges: int = 5_000_000) ->
         pairs = sorted(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))
         return kernel(int(pdf["component"].iloc[0]), pairs)
 
-    return rows.groupBy("component").applyInPandas(run, schema)
+    return spread(rows, "component").groupBy("component").applyInPandas(run, schema)
 
 
 def low_links(pairs: list[tuple[int, int]]) -> set[tuple[int, int]]:

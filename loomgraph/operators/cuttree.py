@@ -1,15 +1,13 @@
 """All-pairs edge connectivity by cut trees of the simple undirected graph beneath a graph.
 
 Components and two-edge-connected parts are found over all tasks; each such core then gets its tree in one task by
-Gusfield's method over unit-capacity flows. Bridges join the cores with weight 1 and components hang together with
+Gusfield's method: packed trees settle most vertices, unit-capacity flows the others. Bridges join the cores with weight 1 and components hang together with
 weight 0, so the tree spans all vertices. Any correct tree is as good as another: results are to be compared by
 connectivity values.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,108 +18,139 @@ from loomgraph.runtime import materialise
 
 
 class UnitFlow:
-    """Maximum flow with one unit each way on every undirected edge: blocking flows in levels, reset for each pair."""
+    """Maximum flow with one unit each way on every undirected edge: paths are sought from both ends, the smaller front first.
 
-    def __init__(self, n: int, pairs: list[tuple[int, int]]):
-        self.near: list[list[int]] = [[] for _ in range(n)]  # arc numbers; arc k goes back as k ^ 1
-        self.head: list[int] = []
-        for a, b in pairs:
-            self.near[a].append(len(self.head))
-            self.head.append(b)
-            self.near[b].append(len(self.head))
-            self.head.append(a)
-        self.room = [1] * len(self.head)
-
-    def _levels(self, s: int, t: int) -> list[int]:
-        level = [-1] * len(self.near)
-        level[s] = 0
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            for k in self.near[v]:
-                w = self.head[k]
-                if self.room[k] and level[w] < 0:
-                    level[w] = level[v] + 1
-                    queue.append(w)
-        return level
+    Searches stay near the ends where the graph spreads fast, and only arcs that carried flow are reset for each pair.
+    """
 
-    def max_flow(self, s: int, t: int) -> int:
-        self.room = [1] * len(self.head)
-        total = 0
+    def __init__(self, n: int, pairs: list[tuple[int, int]]):
+        self.near: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # (arc number, head); arc k goes back as k ^ 1
+        for k, (a, b) in enumerate(pairs):
+            self.near[a].append((2 * k, b))
+            self.near[b].append((2 * k + 1, a))
+        self.room = [1] * (2 * len(pairs))
+        self.side: tuple[bool, set[int]] = (True, set())
+
+    def _path(self, s: int, t: int) -> list[int] | None:
+        """Arcs of a path with room, or None; then one end's side is searched in full and kept."""
+        near, room = self.near, self.room
+        came, goes = {s: -1}, {t: -1}  # the arc by which a vertex was reached, from s and towards t
+        tails: dict[int, int] = {}  # of the arcs in came; the heads of those in goes are found the same way
+        fronts = [[s], [t]]
+        work = [len(near[s]), len(near[t])]
         while True:
-            self.level = self._levels(s, t)
-            if self.level[t] < 0:
-                return total
-            at = [0] * len(self.near)
-            while True:
-                path, v = [], s
-                while v != t:
-                    while at[v] < len(self.near[v]):
-                        k = self.near[v][at[v]]
-                        if self.room[k] and self.level[self.head[k]] == self.level[v] + 1:
-                            break
-                        at[v] += 1
-                    else:
-                        if v == s:
-                            break
-                        k = path.pop()
-                        v = self.head[k ^ 1]
-                        at[v] += 1
+            forward = work[0] <= work[1]
+            mine, other = (came, goes) if forward else (goes, came)
+            after, more = [], 0
+            for v in fronts[not forward]:
+                for k, w in near[v]:
+                    if w in mine or not room[k if forward else k ^ 1]:
                         continue
-                    path.append(k)
-                    v = self.head[k]
-                if v != t:
-                    break
-                total += 1
-                for k in path:
-                    self.room[k] -= 1
-                    self.room[k ^ 1] += 1
+                    k = k if forward else k ^ 1
+                    mine[w] = k
+                    tails[k if forward else ~k] = v
+                    if w in other:
+                        path, x = [], w
+                        while (k := came[x]) >= 0:
+                            path.append(k)
+                            x = tails[k]
+                        x = w
+                        while (k := goes[x]) >= 0:
+                            path.append(k)
+                            x = tails[~k]
+                        return path
+                    after.append(w)
+                    more += len(near[w])
+            if not after:
+                self.side = (forward, set(mine))
+                return None
+            fronts[not forward] = after
+            work[not forward] = more
 
-    def source_side(self) -> list[bool]:
-        """The vertices on the source's side of the last minimum cut."""
-        return [x >= 0 for x in self.level]
+    def max_flow(self, s: int, t: int) -> int:
+        room, most, moved = self.room, min(len(self.near[s]), len(self.near[t])), []
+        total = 0
+        while total < most and (path := self._path(s, t)) is not None:
+            for k in path:
+                room[k] -= 1
+                room[k ^ 1] += 1
+            moved.extend(path)
+            total += 1
+        if total == most:  # an end alone is a side
+            self.side = (True, {s}) if len(self.near[s]) == most else (False, {t})
+        for k in moved:
+            room[k] = room[k ^ 1] = 1
+        return total
+
+    def from_source(self, v: int) -> bool:
+        """Whether v is on the source's side of the last minimum cut."""
+        forward, side = self.side
+        return (v in side) == forward
 
 
 def gusfield(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Tree edges (u, v, w) of a connected simple graph: n - 1 flows, each between a vertex and its present parent."""
-    ids = sorted({v for e in pairs for v in e})
-    at = {v: k for k, v in enumerate(ids)}
-    flow = UnitFlow(len(ids), [(at[a], at[b]) for a, b in pairs])
-    parent, weight = [0] * len(ids), [0] * len(ids)
+    """Tree edges (u, v, w) of a connected simple graph: a flow between each vertex and its present parent.
+
+    The root has the highest degree. Vertices that packed trees reach as often as their degree come first: they alone
+    are a least cut from the root, which moves no other vertex, so they need no flow.
+    """
+    degree: dict[int, int] = {}
+    for v in (v for e in pairs for v in e):
+        degree[v] = degree.get(v, 0) + 1
+    if not degree:
+        return []
+    root = min(degree, key=lambda v: (-degree[v], v))
+    bound = greedy_tree_packing(pairs, root)
+    plain = sorted(v for v in degree if v != root and bound[v] == degree[v])
+    ids = [root, *sorted((v for v in degree if v != root and bound[v] < degree[v]), key=lambda v: (-degree[v], v))]
+    tree = [(v, root, degree[v]) for v in plain]
+    at = {v: k for k, v in enumerate([*ids, *plain])}
+    flow = UnitFlow(len(at), [(at[a], at[b]) for a, b in pairs])
+    parent = [0] * len(ids)
     for v in range(1, len(ids)):
-        weight[v] = flow.max_flow(v, parent[v])
-        side = flow.source_side()
-        for w in range(v + 1, len(ids)):
-            if side[w] and parent[w] == parent[v]:
+        above = parent[v]
+        tree.append((ids[v], ids[above], flow.max_flow(v, above)))
+        forward, side = flow.side
+        for w in side if forward and len(side) < len(ids) - v else range(v + 1, len(ids)):
+            if v < w < len(ids) and parent[w] == above and flow.from_source(w):
                 parent[w] = v
-    return [(ids[v], ids[parent[v]], weight[v]) for v in range(1, len(ids))]
+    return tree
 
 
 def greedy_tree_packing(pairs: list[tuple[int, int]], root: int) -> dict[int, int]:
-    """How many of greedily packed trees, each on edges unused so far, reach every vertex from the root.
+    """How many of greedily packed trees, each on arcs unused so far, reach every vertex from the root.
 
-    The number is a lower bound of the vertex's connectivity with the root.
+    Every edge has an arc each way, as in flows, so the number is a lower bound of the vertex's connectivity with the root.
     """
     near: dict[int, list[int]] = {}
     for a, b in pairs:
         near.setdefault(a, []).append(b)
         near.setdefault(b, []).append(a)
-    used: set[tuple[int, int]] = set()
+    size = {v: len(own) for v, own in near.items()}
+    for own in near.values():
+        own.sort(key=lambda w: (-size[w], w))  # taken from the end: low degrees first
     bound = dict.fromkeys(near, 0)
-    while True:
-        seen, stack = {root}, [root]
+    for _ in range(len(near.get(root, ()))):
+        seen, stack, kept = {root}, [root], {root: []}
         while stack:
             v = stack[-1]
-            w = next((w for w in near.get(v, ()) if w not in seen and (v, w) not in used and (w, v) not in used), None)
-            if w is None:
+            own = near[v]
+            while own:
+                w = own.pop()
+                if w in seen:
+                    kept[v].append(w)
+                    continue
+                seen.add(w)
+                bound[w] += 1
+                kept[w] = []
+                stack.append(w)
+                break
+            else:
+                near[v] = kept[v][::-1]
                 stack.pop()
-                continue
-            used.add((v, w))
-            seen.add(w)
-            bound[w] += 1
-            stack.append(w)
         if len(seen) <= 1:
-            return bound
+            break
+    return bound
 
 
 def cut_tree(g: Graph, most_edges: int = 2_000_000) -> DataFrame:

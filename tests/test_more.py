@@ -2,7 +2,9 @@ import json
 import random
 from itertools import combinations
 
+import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from conftest import pairs
@@ -111,6 +113,22 @@ def test_tree_packing_bounds_flow():
     assert cuttree.gusfield([]) == []
 
 
+def test_cut_trees_of_many_vertices_and_components(spark, edges):
+    """Trees settle in time that grows little faster than the graph, and components get tasks of their own."""
+    rng = random.Random(4)
+    few = sorted({(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(90)) if a < b})
+    flow = cuttree.UnitFlow(30, few)
+    assert all(n == flow.max_flow(u, v) for u, v, n in cuttree.gusfield(few))
+    bound = cuttree.greedy_tree_packing(few, few[0][0])
+    assert all(n <= flow.max_flow(few[0][0], v) for v, n in bound.items() if v != few[0][0]) and max(bound.values()) > 1
+    began = time.process_time()
+    many = sorted({(min(v, w), max(v, w)) for v in range(3000) for w in rng.sample(range(3000), 3) if v != w})
+    assert len(cuttree.gusfield(many)) == 2999 and time.process_time() - began < 20
+    clique = [(8 * k + a, 8 * k + b) for k in range(12) for a in range(6) for b in range(a)]
+    tasks = connectivity.by_component(Graph.of_endpoints(edges(clique)), lambda component, pairs: pd.DataFrame({"task": [TaskContext.get().partitionId()]}), "task long")
+    assert tasks.distinct().count() > 1
+
+
 def test_hub_labels(spark, edges):
     arcs = sorted(map(tuple, generators.erdos_renyi(spark, 30, 1.5, seed=2).collect()))
     index = hubs.PrunedLabels(list(range(30)), arcs[:30]).build()
