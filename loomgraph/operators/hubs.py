@@ -1,7 +1,7 @@
 """A two-hop distance index: labels (v, direction, hub, dist) such that the best common hub gives the distance.
 
-Labels are made by pruned searches from hubs in descending degree, in one task (each search prunes by the labels of
-those before); the sizes are checked. Queries are a join of labels. Edge insertions start from stored labels and resume
+Labels are made by pruned searches from hubs in descending degree, in one task for each weak component (each search
+prunes by the labels of those before); the sizes are checked. Queries are a join of labels. Edge insertions start from stored labels and resume
 the searches of the hubs of both ends; vertices come and go while they have no edges; edge removals are not supported.
 """
 
@@ -13,23 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import BWD, FWD, Graph, GraphError, relabel
-from loomgraph.runtime import materialise
+from loomgraph.operators.connectivity import connected_components
+from loomgraph.runtime import materialise, spread
 
 #: What the index answers for pairs without a path.
 NO_PATH = 100
+#: Weak components share index tasks by hashes of this many values.
+GROUPS = 4096
 LABELS = "v long, direction string, hub long, dist int"
 
 
 class PrunedLabels:
     """The index in memory, for one worker: near[d][v] are neighbours, label[d][v] is {hub rank: distance}."""
 
-    def __init__(self, vertices: list[int], arcs: list[tuple[int, int]]):
+    def __init__(self, vertices: list[int], arcs: list[tuple[int, int]], order: dict[int, int] | None = None):
         self.near = {FWD: {v: [] for v in vertices}, BWD: {v: [] for v in vertices}}
         for a, b in arcs:
             self.near[FWD][a].append(b)
             self.near[BWD][b].append(a)
         weight = {v: len(self.near[FWD][v]) + len(self.near[BWD][v]) for v in vertices}
-        self.order = dict(enumerate(sorted(vertices, key=lambda v: (-weight[v], v))))
+        self.order = dict(enumerate(sorted(vertices, key=lambda v: (-weight[v], v)))) if order is None else dict(sorted(order.items()))
         self.rank = {v: k for k, v in self.order.items()}
         self.label = {FWD: {v: {} for v in vertices}, BWD: {v: {} for v in vertices}}
 
@@ -58,16 +61,21 @@ class PrunedLabels:
 
     def _search(self, rank: int, starts: list[tuple[int, int]], d: str) -> None:
         """Search from the hub along d; label[FWD][v] holds hub -> v, label[BWD][v] holds v -> hub."""
-        hub, label, queue = self.order[rank], self.label[d], deque(starts)
+        label, near, ranks, queue = self.label[d], self.near[d], self.rank, deque(starts)
+        mine = self.label[BWD if d == FWD else FWD][self.order[rank]]
         while queue:
             v, dist = queue.popleft()
-            if self.rank[v] < rank or label[v].get(rank, dist + 1) <= dist:
+            own = label[v]
+            if ranks[v] < rank or own.get(rank, dist + 1) <= dist:
                 continue
-            known = self.query(hub, v) if d == FWD else self.query(v, hub)
-            if known is not None and known <= dist:
-                continue
-            label[v][rank] = dist
-            queue.extend((w, dist + 1) for w in self.near[d][v])
+            small, large = (own, mine) if len(own) < len(mine) else (mine, own)
+            for h, there in small.items():
+                if there <= dist and h in large and there + large[h] <= dist:
+                    break  # a common hub is as near
+            else:
+                own[rank] = dist
+                for w in near[v]:
+                    queue.append((w, dist + 1))
 
     def add_edge(self, u: int, v: int) -> None:
         """Insert the arc u -> v and resume the searches that reach it."""
@@ -82,14 +90,24 @@ class PrunedLabels:
         return [(v, d, h, dist) for d in (FWD, BWD) for v, own in self.label[d].items() for h, dist in own.items()]
 
 
-def _index(rows: DataFrame, edges: DataFrame, added: DataFrame | None, start, name: str) -> DataFrame:
-    """Labels by one task: start(rows of kinds under 3, arcs) gives the index, then the arcs `added` are inserted by seq."""
+def _index(rows: DataFrame, edges: DataFrame, added: DataFrame | None, start, name: str, most_edges: int) -> DataFrame:
+    """Labels by start(rows of kinds under 3, arcs), which gives the index of some weak components; then the arcs `added` are inserted by seq.
+
+    No path leaves a component of the arcs with those added, so components share nothing but the order of hubs.
+    """
     import pandas as pd
 
     none = F.lit(0).cast("long")  # not null, so that ids stay integers in pandas
     rows = rows.union(edges.select(F.lit(3), "src", "dst", none))
+    arcs = edges.select("src", "dst")
     if added is not None:
         rows = rows.union(added.select(F.lit(4), "src", "dst", F.col("seq").cast("long")))
+        arcs = arcs.union(added.select("src", "dst"))
+    named = connected_components(arcs).select(F.col("id").alias("a"), "component")
+    group = F.pmod(F.xxhash64(F.coalesce("component", "a")), F.lit(GROUPS))  # small components go together
+    dealt = materialise(rows.join(named, "a", "left").select("kind", "a", "b", "seq", group.alias("g")), "hub_rows")
+    if not dealt.groupBy("g").count().where(F.col("count") > most_edges).isEmpty():
+        raise GraphError("the graph is too large for one index task")
 
     def run(pdf):
         index = start(pdf[pdf.kind < 3], [(int(a), int(b)) for a, b in pdf.loc[pdf.kind == 3, ["a", "b"]].to_numpy()])
@@ -97,7 +115,7 @@ def _index(rows: DataFrame, edges: DataFrame, added: DataFrame | None, start, na
             index.add_edge(int(a), int(b))
         return pd.DataFrame(index.rows(), columns=["v", "direction", "hub", "dist"])
 
-    return materialise(rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: run(pdf), LABELS), name)
+    return materialise(spread(dealt, "g").groupBy("g").applyInPandas(lambda pdf: run(pdf), LABELS), name)
 
 
 def build(g: Graph, added: DataFrame | None = None, most_edges: int = 5_000_000) -> DataFrame:
@@ -105,11 +123,17 @@ def build(g: Graph, added: DataFrame | None = None, most_edges: int = 5_000_000)
 
     `hub` is a rank: hubs are numbered in descending degree, ties by id.
     """
-    if g.num_vertices() + g.num_edges() > most_edges:
-        raise GraphError("the graph is too large for one index task")
+    ends = g.edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    order = g.vertices.join(ends, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "id")
+    ranked = order.select("id").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
+    ranked = g.vertices.sparkSession.createDataFrame(ranked, "id long, rank long")
     none = F.lit(0).cast("long")  # not null, so that ids stay integers in pandas
-    rows = g.vertices.select(F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), none.alias("seq"))
-    return _index(rows, g.edges, added, lambda pdf, arcs: PrunedLabels(sorted(pdf["a"].tolist()), arcs).build(), "hub_labels")
+    rows = ranked.select(F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), F.col("rank").alias("seq"))
+
+    def start(pdf, arcs):
+        return PrunedLabels(pdf["a"].tolist(), arcs, dict(zip(pdf["seq"].tolist(), pdf["a"].tolist(), strict=True))).build()
+
+    return _index(rows, g.edges, added, start, "hub_labels", most_edges)
 
 
 def insert(labels: DataFrame, edges: DataFrame, added: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
@@ -117,15 +141,13 @@ def insert(labels: DataFrame, edges: DataFrame, added: DataFrame, most_edges: in
 
     The ends of the arcs must be vertices of the index. Ranks stay.
     """
-    if edges.count() + labels.count() > most_edges:
-        raise GraphError("the graph is too large for one index task")
     rows = labels.select(F.when(F.col("direction") == FWD, 1).otherwise(2).alias("kind"), F.col("v").alias("a"), F.col("hub").alias("b"), F.col("dist").cast("long").alias("seq"))
 
     def start(pdf, arcs):
         known = [(int(v), FWD if kind == 1 else BWD, int(hub), int(dist)) for kind, v, hub, dist in pdf[["kind", "a", "b", "seq"]].to_numpy()]
         return PrunedLabels.resumed(known, arcs)
 
-    return _index(rows, edges, added, start, "hub_labels")
+    return _index(rows, edges, added, start, "hub_labels", most_edges)
 
 
 def add_vertices(labels: DataFrame, ids: DataFrame) -> DataFrame:

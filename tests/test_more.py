@@ -1,5 +1,6 @@
 import json
 import random
+import time
 from itertools import combinations
 
 import pandas as pd
@@ -146,6 +147,23 @@ def test_hub_labels(spark, edges):
         hubs.remove_edge()
 
 
+def test_labels_of_components_apart(spark, edges):
+    """Components are indexed in tasks of their own, with the same labels and one order of hubs over all."""
+    rng = random.Random(3)
+    arcs = [(20 * k + rng.randrange(20), 20 * k + rng.randrange(20)) for k in range(6) for _ in range(50)]
+    index = hubs.PrunedLabels(list(range(125)), arcs).build()
+    g = Graph.of(edges(arcs), 125)
+    assert pairs(hubs.build(g), "v", "direction", "hub", "dist") == sorted(index.rows())
+    with pytest.raises(GraphError):
+        hubs.build(g, most_edges=60)
+    assert hubs.build(g, most_edges=200).count() == len(index.rows())  # 425 rows in all, 70 a component
+    extra = [(0, 25), (45, 3)]
+    for e in extra:
+        index.add_edge(*e)
+    added = spark.createDataFrame([(k, *e) for k, e in enumerate(extra)], "seq long, src long, dst long")
+    assert pairs(hubs.build(g, added), "v", "direction", "hub", "dist") == sorted(index.rows())
+
+
 def test_labels_resume(spark):
     """Batches of insertions go on from stored labels; vertices come and go while they have no edges."""
     rng = random.Random(8)
