@@ -177,6 +177,57 @@ def query(labels: DataFrame, pairs: DataFrame, no_path: int = NO_PATH) -> DataFr
     return pairs.join(met, ["u", "v"], "left").select("u", "v", F.when(F.col("u") == F.col("v"), 0).otherwise(F.coalesce("dist", F.lit(no_path))).alias("dist"))
 
 
+def _meet(no_path: int):
+    """For a block of ends u and all v of their key: (u, v, dist), by scattering the labels of v that share a hub with u."""
+    import numpy as np
+    import pyarrow as pa
+
+    def flat(column):
+        column = column.combine_chunks()
+        return column.offsets.to_numpy(), column.flatten().to_numpy()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        us, vs = left["u"].to_numpy(), right["v"].to_numpy()
+        dist = np.full((len(us), len(vs)), np.iinfo(np.int32).max, np.int32)
+        if len(us) and len(vs):
+            at, hubs = flat(right["hubs"])
+            order = np.argsort(hubs, kind="stable")
+            place = np.repeat(np.arange(len(vs)), np.diff(at))[order]
+            far = flat(right["dists"])[1][order]
+            known, first = np.unique(hubs[order], return_index=True)
+            last = np.append(first[1:], len(hubs))
+            at, hubs = flat(left["hubs"])
+            away = flat(left["dists"])[1]
+            for row, (a, b) in zip(dist, zip(at[:-1].tolist(), at[1:].tolist(), strict=True), strict=True):
+                _, mine, theirs = np.intersect1d(hubs[a:b], known, assume_unique=True, return_indices=True)
+                for d, f, t in zip(away[a:b][mine].tolist(), first[theirs].tolist(), last[theirs].tolist(), strict=True):
+                    where = place[f:t]  # a vertex has a hub once
+                    row[where] = np.minimum(row[where], far[f:t] + np.int32(d))
+            dist[dist == np.iinfo(np.int32).max] = no_path
+            dist[us[:, None] == vs] = 0
+        return pa.table({"u": np.repeat(us, len(vs)), "v": np.tile(vs, len(us)), "dist": dist.ravel()})
+
+    return lambda left, right: run(left, right)
+
+
+def query_by_key(labels: DataFrame, us: DataFrame, vs: DataFrame, no_path: int = NO_PATH, block: int = 4_000_000) -> DataFrame:
+    """What query() gives for all pairs of us(u, key) and vs(v, key) with equal keys, each of which must be distinct.
+
+    Pairs without a common hub cost only their row. A task takes some u of a key, for about `block` pairs, and all v of it.
+    """
+    own = labels.groupBy("v", "direction").agg(F.sort_array(F.collect_list(F.struct("hub", "dist"))).alias("l"))  # as many as its labels
+    own = materialise(own.select("v", "direction", F.col("l.hub").alias("hubs"), F.col("l.dist").alias("dists")), "labels_by_vertex")
+    none = [F.coalesce("hubs", F.array().cast("array<long>")).alias("hubs"), F.coalesce("dists", F.array().cast("array<int>")).alias("dists")]
+    both = us.groupBy("key").agg(F.count("*").alias("nu")).join(vs.groupBy("key").agg(F.count("*").alias("nv")), "key")
+    parts = materialise(both.select("key", F.greatest(F.lit(1), F.ceil(F.col("nu") * F.col("nv") / block)).cast("int").alias("parts")), "key_parts")
+    out = us.join(own.where(F.col("direction") == BWD).withColumnRenamed("v", "u"), "u", "left").join(parts, "key")
+    out = out.select("key", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), "u", *none)
+    into = vs.join(own.where(F.col("direction") == FWD), "v", "left").join(parts, "key")
+    into = into.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "v", *none)
+    met = spread(out, "key", "part").groupBy("key", "part").cogroup(spread(into, "key", "part").groupBy("key", "part"))
+    return met.applyInArrow(_meet(no_path), "u long, v long, dist int")
+
+
 def label_of(labels: DataFrame, v: int, direction: str = FWD) -> DataFrame:
     return labels.where((F.col("v") == v) & (F.col("direction") == direction)).select("hub", "dist").orderBy("hub")
 

@@ -164,6 +164,19 @@ def test_labels_of_components_apart(spark, edges):
     assert pairs(hubs.build(g, added), "v", "direction", "hub", "dist") == sorted(index.rows())
 
 
+def test_distances_by_key(spark, edges):
+    """The pairs of each key in blocks: what the join of labels gives, with vertices that the index lacks, and no pair twice."""
+    rng = random.Random(6)
+    g = Graph.of(edges([(rng.randrange(40), rng.randrange(40)) for _ in range(70)]), 42)
+    labels = hubs.build(g)
+    us = spark.range(45).select(F.col("id").alias("u"), (F.col("id") % 7).alias("key"))
+    vs = spark.range(45).select(F.col("id").alias("v"), (F.col("id") % 5).alias("key"))
+    want = pairs(hubs.query(labels, us.join(vs, "key").select("u", "v")), "u", "v", "dist")
+    for block in (10, 4_000_000):
+        assert pairs(hubs.query_by_key(labels, us, vs, block=block), "u", "v", "dist") == want
+    assert hubs.query_by_key(labels, us.limit(0), vs).isEmpty()
+
+
 def test_labels_resume(spark):
     """Batches of insertions go on from stored labels; vertices come and go while they have no edges."""
     rng = random.Random(8)
