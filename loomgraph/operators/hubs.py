@@ -2,24 +2,30 @@
 
 Labels are made by pruned searches from hubs in descending degree, in one task for each weak component (each search
 prunes by the labels of those before); the sizes are checked. Queries are a join of labels. Edge insertions start from stored labels and resume
-the searches of the hubs of both ends; vertices come and go while they have no edges; edge removals are not supported.
+the searches of the hubs of both ends, a batch of arcs at once and in parts that share only what the arcs reach; vertices
+come and go while they have no edges; edge removals are not supported.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import BWD, FWD, Graph, GraphError, relabel
 from loomgraph.operators.connectivity import connected_components
-from loomgraph.runtime import materialise, spread
+from loomgraph.runtime import discard, materialise, spread
 
 #: What the index answers for pairs without a path.
 NO_PATH = 100
 #: Weak components share index tasks by hashes of this many values.
 GROUPS = 4096
+#: Beyond any distance, and how many places of a table or labels a worker takes at once.
+FAR, CELLS = 1 << 29, 1 << 23
+#: Forests of at most so many edges are joined to components in one task.
+FOREST = 1_000_000
 LABELS = "v long, direction string, hub long, dist int"
 
 
@@ -36,16 +42,6 @@ class PrunedLabels:
         self.rank = {v: k for k, v in self.order.items()}
         self.label = {FWD: {v: {} for v in vertices}, BWD: {v: {} for v in vertices}}
 
-    @classmethod
-    def resumed(cls, labels: list[tuple[int, str, int, int]], arcs: list[tuple[int, int]]) -> PrunedLabels:
-        """The index as rows() gave it, over the arcs that it stands for. Every hub has a label of itself."""
-        order = {hub: v for v, d, hub, dist in labels if dist == 0 and d == FWD}
-        index = cls(list(order.values()), arcs)
-        index.order, index.rank = order, {v: hub for hub, v in order.items()}
-        for v, d, hub, dist in labels:
-            index.label[d][v][hub] = dist
-        return index
-
     def build(self) -> PrunedLabels:
         for rank, hub in self.order.items():
             for d in (FWD, BWD):
@@ -78,76 +74,264 @@ class PrunedLabels:
                     queue.append((w, dist + 1))
 
     def add_edge(self, u: int, v: int) -> None:
-        """Insert the arc u -> v and resume the searches that reach it."""
+        """Insert the arc u -> v and resume the searches that reach it, in order of rank."""
         self.near[FWD][u].append(v)
         self.near[BWD][v].append(u)
-        for rank, dist in sorted(self.label[FWD][u].items()):
-            self._search(rank, [(v, dist + 1)], FWD)
-        for rank, dist in sorted(self.label[BWD][v].items()):
-            self._search(rank, [(u, dist + 1)], BWD)
+        ways = {FWD: (dict(self.label[FWD][u]), v), BWD: (dict(self.label[BWD][v]), u)}
+        for rank in sorted(ways[FWD][0].keys() | ways[BWD][0].keys()):
+            for d, (known, start) in ways.items():
+                if rank in known:
+                    self._search(rank, [(start, known[rank] + 1)], d)
 
     def rows(self) -> list[tuple[int, str, int, int]]:
         return [(v, d, h, dist) for d in (FWD, BWD) for v, own in self.label[d].items() for h, dist in own.items()]
 
 
-def _index(rows: DataFrame, edges: DataFrame, added: DataFrame | None, start, name: str, most_edges: int) -> DataFrame:
-    """Labels by start(rows of kinds under 3, arcs), which gives the index of some weak components; then the arcs `added` are inserted by seq.
+def _by_vertex(n: int, v: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Columns sorted by v, after the places where each of n vertices begins."""
+    order = np.argsort(v, kind="stable")
+    return np.append(0, np.cumsum(np.bincount(v, minlength=n))), *[c[order] for c in columns]
 
-    No path leaves a component of the arcs with those added, so components share nothing but the order of hubs.
-    """
-    import pandas as pd
 
-    none = F.lit(0).cast("long")  # not null, so that ids stay integers in pandas
-    rows = rows.union(edges.select(F.lit(3), "src", "dst", none))
-    arcs = edges.select("src", "dst")
-    if added is not None:
-        rows = rows.union(added.select(F.lit(4), "src", "dst", F.col("seq").cast("long")))
-        arcs = arcs.union(added.select("src", "dst"))
-    named = connected_components(arcs).select(F.col("id").alias("a"), "component")
-    group = F.pmod(F.xxhash64(F.coalesce("component", "a")), F.lit(GROUPS))  # small components go together
-    dealt = materialise(rows.join(named, "a", "left").select("kind", "a", "b", "seq", group.alias("g")), "hub_rows")
-    if not dealt.groupBy("g").count().where(F.col("count") > most_edges).isEmpty():
-        raise GraphError("the graph is too large for one index task")
+def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... count[0] of them, then those of first[1] and so on."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
-    def run(pdf):
-        index = start(pdf[pdf.kind < 3], [(int(a), int(b)) for a, b in pdf.loc[pdf.kind == 3, ["a", "b"]].to_numpy()])
-        for a, b in pdf[pdf.kind == 4].sort_values("seq")[["a", "b"]].to_numpy():
-            index.add_edge(int(a), int(b))
-        return pd.DataFrame(index.rows(), columns=["v", "direction", "hub", "dist"])
 
-    return materialise(spread(dealt, "g").groupBy("g").applyInPandas(lambda pdf: run(pdf), LABELS), name)
+def _least(far: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the least far of every key, in order of key."""
+    order = np.lexsort((far, key))
+    return order[np.append(True, np.diff(key[order]) != 0)] if len(key) else order
+
+
+class LabelArrays:
+    """The index in arrays, for one worker that inserts arcs; vertices are numbers 0 .. n-1 in order of rank.
+
+    Hubs resume their searches in batches. Those of a batch do not see each other's labels, so what a lower hub of the
+    batch covers goes afterwards, and the labels are those of hubs one by one.
+    """
+
+    def __init__(self, n: int, arcs: tuple[np.ndarray, np.ndarray], labels: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """arcs (src, dst) and, for each direction, the labels (v, hub, dist) that stand for them."""
+        self.n, self.arcs = n, arcs
+        self.parts = {d: [_by_vertex(n, *labels[d])] for d in (FWD, BWD)}  # the labels of each are there in any of its parts
+
+    def insert(self, src: np.ndarray, dst: np.ndarray, most_starts: int = 1 << 24) -> None:
+        """Insert arcs, at once where their ends have at most most_starts labels, else some after others."""
+        size = sum(at[ends + 1] - at[ends] for d, ends in ((FWD, src), (BWD, dst)) for at, _, _ in self.parts[d])
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // most_starts)) + 1
+        for a, b in zip(np.split(src, cuts), np.split(dst, cuts), strict=True):
+            self._insert(a, b)
+
+    def _insert(self, src: np.ndarray, dst: np.ndarray) -> None:
+        n = self.n
+        self.arcs = tuple(np.concatenate(c) for c in zip(self.arcs, (src, dst), strict=True))
+        self.near = {FWD: _by_vertex(n, *self.arcs), BWD: _by_vertex(n, *self.arcs[::-1])}
+        starts = {}
+        for d, tail, head in ((FWD, src, dst), (BWD, dst, src)):
+            row, hub, far = self._labels(d, tail)
+            key = hub * n + head[row]
+            use = _least(far, key)
+            starts[d] = key[use], far[use] + 1
+        hubs = np.union1d(starts[FWD][0] // n, starts[BWD][0] // n)
+        at, size, most = 0, 1, max(1, min(128, CELLS // n))
+        while at < len(hubs):
+            self._resume(hubs[at : at + size], starts)
+            at, size = at + size, min(2 * size, most)
+
+    def rows(self, d: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(v, hub, dist) of a direction."""
+        v = np.concatenate([np.repeat(np.arange(self.n), np.diff(at)) for at, _, _ in self.parts[d]])
+        hub, far = (np.concatenate([part[k] for part in self.parts[d]]) for k in (1, 2))
+        use = _least(far, v * self.n + hub)
+        return v[use], hub[use], far[use]
+
+    def _labels(self, d: str, vs: np.ndarray) -> list[np.ndarray]:
+        """(place in vs, hub, dist) of the labels of vs; old and new distances of a hub may both be there."""
+        found = []
+        for at, hubs, far in self.parts[d]:
+            count = at[vs + 1] - at[vs]
+            flat = _spans(at[vs], count)
+            found.append((np.repeat(np.arange(len(vs)), count), hubs[flat], far[flat]))
+        return [np.concatenate(c) for c in zip(*found, strict=True)]
+
+    def _resume(self, hubs: np.ndarray, starts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Resume the searches of a batch of hubs in both directions."""
+        n, found, tables, fresh = self.n, {}, {}, {}
+        for d, other in ((FWD, BWD), (BWD, FWD)):
+            row, hub, far = self._labels(other, hubs)
+            tables[d] = np.full((len(hubs), n), FAR, np.int32)  # from each hub of the batch, against d, to its own hubs
+            np.minimum.at(tables[d], (row, hub), far)
+            key, far = starts[d]
+            first, last = np.searchsorted(key, [hubs[0] * n, (hubs[-1] + 1) * n])
+            key, far = key[first:last], far[first:last]
+            found[d] = self._search(d, hubs, np.searchsorted(hubs, key // n) * n + key % n, far, tables[d])
+        for d, other in ((FWD, BWD), (BWD, FWD)):
+            row, v, far = found[d]
+            within = np.full((len(hubs), n), FAR, np.int32)  # the same to lower hubs of the batch, now with what it found
+            within[:, hubs] = tables[d][:, hubs]
+            by, end, way = found[other]
+            place = np.minimum(np.searchsorted(hubs, end), len(hubs) - 1)
+            there = hubs[place] == end
+            np.minimum.at(within, (place[there], hubs[by[there]]), way[there])
+            within[np.arange(len(hubs)), hubs] = FAR
+            test = np.flatnonzero((within[:, hubs] < FAR).any(axis=1)[row])
+            gone = np.zeros(len(row), bool)
+            gone[test] = self._covered(within, row[test], v[test], far[test], [*self.parts[d], _by_vertex(n, v, hubs[row], far)])
+            fresh[d] = v[~gone], hubs[row[~gone]], far[~gone]
+        for d, new in fresh.items():
+            parts = self.parts[d]
+            while len(parts) > 1 and len(parts[-1][1]) <= 2 * len(new[0]):  # few parts, and a label moves seldom
+                at, *rest = parts.pop()
+                new = [np.concatenate(c) for c in zip((np.repeat(np.arange(n), np.diff(at)), *rest), new, strict=True)]
+            if len(new[0]):
+                parts.append(_by_vertex(n, *new))
+
+    def _search(self, d: str, hubs: np.ndarray, starts: np.ndarray, far: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in hubs, v, dist) that searches along d label, level by level; starts are place * n + v."""
+        n, (at, near) = self.n, self.near[d]
+        order = np.argsort(far, kind="stable")
+        starts, far = starts[order], far[order]
+        seen, front = np.zeros(len(hubs) * n, bool), starts[:0]
+        found, level, done = [(starts[:0], starts[:0], far[:0])], 0, 0
+        while done < len(starts) or len(front):
+            level = level if len(front) else far[done]
+            upto = np.searchsorted(far, level, "right")
+            key, done = np.concatenate([front, starts[done:upto]]), upto
+            key = np.unique(key[~seen[key]])
+            seen[key] = True
+            row, v = key // n, key % n
+            row, v = row[v > hubs[row]], v[v > hubs[row]]
+            new = ~self._covered(table, row, v, np.full(len(row), level, np.int32), self.parts[d])
+            row, v = row[new], v[new]
+            found.append((row, v, np.full(len(row), level, np.int32)))
+            count = at[v + 1] - at[v]
+            front = np.repeat(row * n, count) + near[_spans(at[v], count)]
+            level += 1
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def _covered(self, table: np.ndarray, row: np.ndarray, v: np.ndarray, dist: np.ndarray, parts: list) -> np.ndarray:
+        """Whether a hub of v in one of the parts, which the row of the table reaches, gives at most dist."""
+        out, flat_table = np.zeros(len(row), bool), table.ravel()
+        for at, hubs, far in parts:
+            for skip, most in ((0, 16), (16, len(hubs))):  # mostly one of the first few
+                count = np.minimum(at[v + 1] - at[v] - skip, most)
+                left = np.flatnonzero((count > 0) & ~out)
+                for who in np.split(left, np.flatnonzero(np.diff(np.cumsum(count[left]) // CELLS)) + 1):
+                    if len(who):
+                        flat = _spans(at[v[who]] + skip, count[who])
+                        ways = flat_table.take(np.repeat(row[who] * self.n, count[who]) + hubs[flat]) + far[flat]
+                        out[who] = np.minimum.reduceat(ways, np.cumsum(count[who]) - count[who]) <= dist[who]
+        return out
+
+
+def _checked(dealt: DataFrame, keys: list[str], most_edges: int) -> DataFrame:
+    if not dealt.groupBy(*keys).count().where(F.col("count") > most_edges).isEmpty():
+        raise GraphError("the graph is too large for one index task")
+    return spread(dealt, *keys, times=8)  # many tasks, for keys of unlike work
 
 
 def build(g: Graph, added: DataFrame | None = None, most_edges: int = 5_000_000) -> DataFrame:
-    """Labels of a graph, with the arcs of added(seq, src, dst) inserted one by one afterwards.
+    """Labels of a graph, with the arcs of added(seq, src, dst) inserted afterwards.
 
-    `hub` is a rank: hubs are numbered in descending degree, ties by id.
+    `hub` is a rank: hubs are numbered in descending degree, ties by id. No path leaves a weak component, so components
+    share nothing but the order of hubs.
     """
+    import pandas as pd
+
     ends = g.edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     order = g.vertices.join(ends, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "id")
     ranked = order.select("id").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
     ranked = g.vertices.sparkSession.createDataFrame(ranked, "id long, rank long")
-    none = F.lit(0).cast("long")  # not null, so that ids stay integers in pandas
-    rows = ranked.select(F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), F.col("rank").alias("seq"))
+    rows = ranked.select(F.lit(True).alias("vertex"), F.col("id").alias("a"), F.col("rank").alias("b")).union(g.edges.select(F.lit(False), "src", "dst"))
+    named = connected_components(g.edges.select("src", "dst"), small=FOREST).select(F.col("id").alias("a"), "component")
+    group = F.pmod(F.xxhash64(F.coalesce("component", "a")), F.lit(GROUPS))  # small components go together
+    dealt = materialise(rows.join(named, "a", "left").select("vertex", "a", "b", group.alias("g")), "hub_rows")
 
-    def start(pdf, arcs):
-        return PrunedLabels(pdf["a"].tolist(), arcs, dict(zip(pdf["seq"].tolist(), pdf["a"].tolist(), strict=True))).build()
+    def run(pdf):
+        ids, arcs = pdf[pdf.vertex], pdf[~pdf.vertex]
+        order = dict(zip(ids["b"].tolist(), ids["a"].tolist(), strict=True))
+        index = PrunedLabels(list(order.values()), list(zip(arcs["a"].tolist(), arcs["b"].tolist(), strict=True)), order).build()
+        return pd.DataFrame(index.rows(), columns=["v", "direction", "hub", "dist"])
 
-    return _index(rows, g.edges, added, start, "hub_labels", most_edges)
+    labels = materialise(_checked(dealt, ["g"], most_edges).groupBy("g").applyInPandas(lambda pdf: run(pdf), LABELS), "hub_labels")
+    if added is None:
+        return labels
+    out = insert(labels, g.edges, added, most_edges)
+    discard(labels)
+    return out
 
 
-def insert(labels: DataFrame, edges: DataFrame, added: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
-    """Labels of edges(src, dst) after the arcs of added(seq, src, dst); only the searches that these reach run again.
+def _inserted(rows):
+    """Labels of one part: rows (kind, a, b, far, own) are vertices 0 (rank, id), labels 1 and 2, arcs 3, new arcs 4, all by rank."""
+    import pyarrow as pa
 
-    The ends of the arcs must be vertices of the index. Ranks stay.
+    kind, a, b, far, own = (rows[c].to_numpy() for c in ("kind", "a", "b", "far", "own"))
+    ranks, at = np.unique(a[kind == 0], return_index=True)
+    ids, own = b[kind == 0][at], own[kind == 0][at]
+    a, b = np.searchsorted(ranks, a), np.where(kind == 0, 0, np.searchsorted(ranks, b))
+    index = LabelArrays(len(ranks), (a[kind == 3], b[kind == 3]), {d: (a[kind == k], b[kind == k], far[kind == k]) for k, d in ((1, FWD), (2, BWD))})
+    new = np.unique(a[kind == 4] * len(ranks) + b[kind == 4])
+    index.insert(new // len(ranks), new % len(ranks))
+    out = []
+    for d in (FWD, BWD):
+        v, hub, dist = index.rows(d)
+        mine = own[hub if d == FWD else v]
+        out.append(pa.table({"v": ids[v[mine]], "direction": pa.repeat(d, int(mine.sum())), "hub": ranks[hub[mine]], "dist": dist[mine]}))
+    return pa.concat_tables(out)
+
+
+def _placed(labels: DataFrame, arcs: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, rank, g, part, parts): where each vertex of the index goes when the arcs `new`, which are among `arcs`, come.
+
+    What the new arcs' ends reach is a set R that no path leaves. The rest falls into weak components without R; each goes,
+    with all of R in its weak component, to one of `parts` parts of about the size of R. In R, `part` is null.
     """
-    rows = labels.select(F.when(F.col("direction") == FWD, 1).otherwise(2).alias("kind"), F.col("v").alias("a"), F.col("hub").alias("b"), F.col("dist").cast("long").alias("seq"))
+    ends = new.select(F.col("dst").alias("v")).distinct()
+    met = labels.where(F.col("direction") == BWD).join(ends, "v", "left_semi").select("hub").distinct()
+    reached = labels.where(F.col("direction") == FWD).join(met, "hub", "left_semi").select(F.col("v").alias("id")).distinct()
+    reached = materialise(reached.withColumn("inside", F.lit(True)), "reached")
+    outer = arcs.join(reached.select(F.col("id").alias("src")), "src", "left_anti").join(reached.select(F.col("id").alias("dst")), "dst", "left_anti")
+    whole, piece = connected_components(arcs, small=FOREST), connected_components(outer.select("src", "dst"), small=FOREST).withColumnRenamed("component", "piece")
+    vertices = labels.where((F.col("dist") == 0) & (F.col("direction") == FWD)).select(F.col("v").alias("id"), F.col("hub").alias("rank"))
+    named = vertices.join(whole, "id", "left").join(piece, "id", "left").join(reached, "id", "left")
+    named = named.select("id", "rank", F.coalesce("component", "id").alias("component"), F.coalesce("piece", "id").alias("piece"), "inside")
+    named = materialise(named, "hub_places")
+    sizes = named.groupBy("component").agg(F.count("inside").alias("k"))
+    pieces = named.where("inside is null").groupBy("component", "piece").agg(F.count("*").alias("n")).join(sizes, "component")
+    before = F.sum("n").over(Window.partitionBy("component").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    part = F.when(F.col("k") > 0, F.floor(F.coalesce(before, F.lit(0)) / F.col("k"))).otherwise(0).cast("int")
+    pieces = materialise(pieces.select("component", "piece", F.dense_rank().over(Window.partitionBy("component").orderBy(part)).alias("part")), "hub_pieces")
+    parts = pieces.groupBy("component").agg(F.max("part").alias("parts"))
+    place = named.join(parts, "component", "left").join(pieces, ["component", "piece"], "left")
+    group = F.pmod(F.xxhash64("component"), F.lit(GROUPS))  # small components go together
+    part = F.when(F.col("inside").isNull(), F.col("part") - 1)
+    return materialise(place.select("id", "rank", group.alias("g"), part.alias("part"), F.coalesce("parts", F.lit(1)).alias("parts")), "hub_places")
+
 
-    def start(pdf, arcs):
-        known = [(int(v), FWD if kind == 1 else BWD, int(hub), int(dist)) for kind, v, hub, dist in pdf[["kind", "a", "b", "seq"]].to_numpy()]
-        return PrunedLabels.resumed(known, arcs)
+def insert(labels: DataFrame, edges: DataFrame, added: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
+    """Labels of edges(src, dst) after the arcs of added(seq, src, dst); only the searches that these reach run again.
 
-    return _index(rows, edges, added, start, "hub_labels", most_edges)
+    The ends of the arcs must be vertices of the index. Ranks stay. A label goes with the vertex that its path leaves.
+    """
+    new = materialise(added.select("src", "dst").distinct(), "added")
+    old = edges.select("src", "dst")
+    place = _placed(labels, old.union(new), new)
+    known = place.select("id")
+    if not old.union(new).select(F.explode(F.array("src", "dst")).alias("id")).join(known, "id", "left_anti").isEmpty():
+        raise GraphError("an end of an arc is not in the index")
+    ends, none = place.select(F.col("id").alias("dst"), F.col("rank").alias("b")), F.lit(0)
+    rank = place.select(F.col("id").alias("v"), F.col("rank").alias("a"))
+    rows = place.select(F.lit(0).alias("kind"), F.col("rank").alias("a"), F.col("id").alias("b"), none.alias("far"), "g", "part", "parts")
+    into = labels.where(F.col("direction") == FWD).join(rank, "v").join(place.withColumnRenamed("rank", "hub"), "hub")
+    rows = rows.union(into.select(F.lit(1), "a", "hub", "dist", "g", "part", "parts"))
+    out = labels.where(F.col("direction") == BWD).join(place.withColumnRenamed("id", "v"), "v")
+    rows = rows.union(out.select(F.lit(2), "rank", "hub", "dist", "g", "part", "parts"))
+    for kind, arcs in ((3, old), (4, new)):
+        rows = rows.union(arcs.join(place.withColumnRenamed("id", "src"), "src").join(ends, "dst").select(F.lit(kind), "rank", "b", none, "g", "part", "parts"))
+    every = F.when(F.col("part").isNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    dealt = materialise(rows.select("kind", "a", "b", "far", "g", "part", F.explode(every).alias("p")).withColumn("own", F.col("part").isNotNull() | (F.col("p") == 0)).drop("part"), "hub_rows")
+    return materialise(_checked(dealt, ["g", "p"], most_edges).groupBy("g", "p").applyInArrow(lambda rows: _inserted(rows), LABELS), "hub_labels")
 
 
 def add_vertices(labels: DataFrame, ids: DataFrame) -> DataFrame:

@@ -38,10 +38,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, times: int = 2) -> DataFrame:
     """df dealt out by the keys to a fixed number of tasks: adaptive plans would join small groups of long work in one task."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), times * spark.sparkContext.defaultParallelism), *keys)
 
 
 def discard(df: DataFrame) -> None:

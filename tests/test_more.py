@@ -3,6 +3,7 @@ import random
 import time
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark import TaskContext
@@ -177,6 +178,51 @@ def test_distances_by_key(spark, edges):
     assert hubs.query_by_key(labels, us.limit(0), vs).isEmpty()
 
 
+def test_insertions_in_parts(spark, edges):
+    """Arcs that join all components into one: parts of the index share only what the arcs reach, and need not fit one task."""
+    rng = random.Random(4)
+    arcs = [(20 * k + rng.randrange(20), 20 * k + rng.randrange(20)) for k in range(8) for _ in range(50)]
+    extra = [(20 * k + rng.randrange(20), rng.randrange(20)) for k in range(1, 8) for _ in range(3)]
+    g, change = Graph.of(edges(arcs), 165), "seq long, src long, dst long"
+    labels = hubs.build(g)
+    added = spark.createDataFrame([(k, *e) for k, e in enumerate(extra)], change)
+    most = (labels.count() + len(arcs) + len(extra)) // 2
+    labels = hubs.insert(labels, g.edges, added, most_edges=most)
+    order = hubs.PrunedLabels(list(range(165)), arcs).order
+    assert pairs(labels, "v", "direction", "hub", "dist") == sorted(hubs.PrunedLabels(list(range(165)), arcs + extra, order).build().rows())
+    cycle = [(3, 45), (50, 101), (101, 3), (7, 7), (164, 45)]
+    labels = hubs.insert(labels, edges(arcs + extra), spark.createDataFrame([(k, *e) for k, e in enumerate(cycle)], change))
+    index = hubs.PrunedLabels(list(range(165)), arcs + extra + cycle).build()
+    ids = g.vertices.select(F.col("id").alias("u"))
+    got = hubs.query(labels, ids.crossJoin(ids.select(F.col("u").alias("v"))))
+    assert all(d == (hubs.NO_PATH if (want := index.query(u, v)) is None else want) for u, v, d in pairs(got, "u", "v", "dist"))
+    with pytest.raises(GraphError):
+        hubs.insert(labels, g.edges, spark.createDataFrame([(0, 3, 999)], change))
+
+
+def test_label_arrays():
+    """Batches of arcs at once: exact distances, also where old labels grow stale, and every label that a new index has."""
+    for seed in range(30):
+        rng = random.Random(seed)
+        n, draw = 40, lambda k: [(rng.randrange(40), min(rng.randrange(40), rng.randrange(40))) for _ in range(k)]
+        arcs = draw(seed)
+        index = hubs.PrunedLabels(list(range(n)), arcs).build()
+        rank, order = index.rank, index.order
+        label = {d: [np.array(c) for c in zip(*[(rank[v], hub, dist) for v, side, hub, dist in index.rows() if side == d])] for d in ("fwd", "bwd")}
+        table = hubs.LabelArrays(n, tuple(np.array([rank[e[k]] for e in arcs], np.int64) for k in (0, 1)), label)
+        for _ in range(2):
+            new = draw(25)
+            arcs += new
+            table.insert(*[np.array([rank[e[k]] for e in new]) for k in (0, 1)], most_starts=rng.choice([40, 1 << 24]))
+            fresh = hubs.PrunedLabels(list(range(n)), arcs, order).build()
+            rows = [(order[v], d, hub, dist) for d in ("fwd", "bwd") for v, hub, dist in zip(*[c.tolist() for c in table.rows(d)])]
+            assert set(fresh.rows()) <= set(rows) and len({r[:3] for r in rows}) == len(rows)
+            whole = hubs.PrunedLabels(list(range(n)), [], order)
+            for v, d, hub, dist in rows:
+                whole.label[d][v][hub] = dist
+            assert all(whole.query(u, v) == fresh.query(u, v) for u in range(n) for v in range(n))
+
+
 def test_labels_resume(spark):
     """Batches of insertions go on from stored labels; vertices come and go while they have no edges."""
     rng = random.Random(8)
