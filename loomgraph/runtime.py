@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -33,11 +34,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    trim(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomgraph_path = path
     return out
 
 
+def trim(spark: SparkSession) -> str:
+    """Give the memory that the driver's JVM has freed outside its heap back to the system; says how much, or nothing.
+
+    Hundreds of Spark's threads, and the compiler's, free into arenas of their own, which the C library keeps. JVMs
+    that have no such command are left alone.
+    """
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    none = new_array(jvm.java.lang.Object, 0), new_array(jvm.java.lang.String, 0)
+    given = new_array(jvm.java.lang.Object, 4)
+    try:
+        given[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given[1], given[2], given[3] = "systemTrimNativeHeap", *none
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # By the interface: the server's own class is closed to callers.
+        method = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        return method.invoke(server, given)
+    except Py4JError:
+        return ""
+
+
 def spread(df: DataFrame, *keys: str, times: int = 2) -> DataFrame:
     """df dealt out by the keys to a fixed number of tasks: adaptive plans would join small groups of long work in one task."""
     spark = df.sparkSession
@@ -58,7 +80,7 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the workers find this checkout, whatever folder the driver was started in, and keep their batches small."""
+    """Make the workers find this checkout, whatever folder the driver was started in, keep their batches small, and trim the driver."""
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
@@ -66,3 +88,4 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([here, *paths])
     if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, "1000")
+    trim(spark)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -241,6 +242,16 @@ def test_language_rejection_of_a_large_fit(spark):
     assert not any(r["rejected"] for r in table(langid.predict(short, model, ["doc_id"])))
 
 
+def test_language_fit_keeps_its_sample_off_the_driver(spark):
+    """2000 rows are learnt from, and the driver never holds a vector of each."""
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('a text of ', crc32(cast(cast(id as string) as binary)), ' and abcdefg') as text", "concat('l', id % 4) as lang")
+    tracemalloc.start()
+    model = langid.fit(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) == 16 and most < 2000 * model.dimensions
+
+
 # --- Jaccard
 
 

@@ -13,7 +13,7 @@ from conftest import pairs
 from loomgraph import cli, streaming, viz
 from loomgraph.graph import Graph, GraphError, make_undirected
 from loomgraph.operators import boxcover, connectivity, cuttree, hubs, paths
-from loomgraph.runtime import fresh_path
+from loomgraph.runtime import fresh_path, trim
 from loomgraph.sources import files, generators
 
 
@@ -361,3 +361,7 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["write", "--graph", "karate_club", "--method", "binary", "--out", str(tmp_path / "k.bin")], spark) == 0
     assert cli.main(["distribution", "--graph", str(tmp_path / "k.bin")], spark) == 0
     assert "12\t1" in capsys.readouterr().out
+
+
+def test_driver_gives_freed_memory_back(spark):
+    assert trim(spark).startswith("Trim native heap")
