@@ -37,22 +37,75 @@ PER_CLASS = 512
 #: Least number of parts of all shingles that a set's shingles are counted in, and most shingles a part on average.
 PARTS = 256
 PER_PART = 16
+#: Words or shingles that are hashed at once, unless one text has more.
+RUN = 1 << 15
+#: Sets of a region whose pairs are all compared, together with those of other small regions; the bytes of parts that are
+#: held so at once, and those of one side of the pairs that are compared at once.
+FEW = 64
+FEW_BYTES = 1 << 22
+PAIR_BYTES = 1 << 19
+
+
+def _shingles(run: list[list[bytes]], width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, given as words; one for the whole sequence where it has fewer."""
+    names = hashes([word for words in run for word in words])
+    every = chain(names, width)  # those that begin in one text and end in another are not taken
+    out, begin = [], 0
+    for words in run:
+        n = len(words)
+        if n >= width:
+            s = np.sort(every[begin : begin + n - width + 1])
+            s = s[np.append(True, s[1:] != s[:-1])]
+        elif n:
+            s = mix(chain(names[begin : begin + n], n) + np.uint64(n))
+        else:
+            s = np.zeros(0, np.uint64)
+        out.append(s)
+        begin += n
+    return out
+
+
+def shingle_sets(texts, width: int = WIDTH):
+    """The shingle hashes of each text, made for runs of texts at once: most texts are short."""
+    run, held = [], 0
+    for text in texts:
+        run.append(text.encode().lower().split() if text else [])
+        held += len(run[-1])
+        if held >= RUN:
+            yield from _shingles(run, width)
+            run, held = [], 0
+    yield from _shingles(run, width)
 
 
 def shingles_of(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct shingle hashes of a text; one for the whole sequence where it has fewer words."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    names = hashes(words)
-    if len(words) < width:
-        return mix(chain(names, len(words)) + np.uint64(len(words)))
-    return np.unique(chain(names, width))
+    return next(shingle_sets([text], width))
+
+
+def _signatures(sets: list[np.ndarray]) -> list[int]:
+    """A 64-bit name of each set; none is empty."""
+    if not sets:
+        return []
+    size = np.array([s.size for s in sets])
+    sums = np.add.reduceat(mix(np.concatenate(sets) + np.repeat(size, size).astype(np.uint64)), np.cumsum(size) - size)
+    return mix(sums).view(np.int64).tolist()
+
+
+def _named(texts, width: int):
+    """Each text's shingle hashes and the name of that set, None where it is empty."""
 
+    def named(run):
+        names = iter(_signatures([s for s in run if s.size]))
+        return ((s, next(names) if s.size else None) for s in run)
 
-def _signature(s: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int(mix(np.array([mix(s.copy() + np.uint64(s.size)).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
+    run, held = [], 0
+    for s in shingle_sets(texts, width):
+        run.append(s)
+        held += s.size
+        if held >= RUN:
+            yield from named(run)
+            run, held = [], 0
+    yield from named(run)
 
 
 def _parts(s: np.ndarray) -> bytes:
@@ -88,9 +141,11 @@ def _describe(batches, at_once: int, width: int):
     def frequent(sets):
         if not sets:
             return
-        value, count = np.unique(np.concatenate(sets), return_counts=True)
+        value = np.sort(np.concatenate(sets))
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
+        count = np.diff(first)
         many = count > 1
-        bucket = (value[many] >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+        bucket = (value[first[:-1][many]] >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
         if bucket.size:
             table = np.zeros(1 << ORDER_BITS, np.int64)
             np.maximum.at(table, bucket, count[many])
@@ -101,9 +156,7 @@ def _describe(batches, at_once: int, width: int):
     sets, known, size = [], set(), 0
     for batch in batches:
         nodes, ns, parts = [], [], []
-        for text in _column(batch, 2):
-            s = shingles_of(text, width)
-            node = _signature(s) if s.size else None
+        for s, node in _named(_column(batch, 2), width):
             nodes.append(node)
             ns.append(s.size)
             parts.append(_parts(s) if s.size else None)
@@ -134,9 +187,8 @@ def _windows(batches, order, width: int, percent: int, at_once: int = 1 << 16):
     known: set[int] = set()
     for batch in batches:
         pivots, nodes, ns = [], [], []
-        for text in _column(batch, 0):
-            s = shingles_of(text, width)
-            if not s.size or (node := _signature(s)) in known:
+        for s, node in _named(_column(batch, 0), width):
+            if node is None or node in known:
                 continue
             if len(known) >= at_once:
                 known.clear()
@@ -167,19 +219,29 @@ def _met(batches, percent: int):
         yield pa.record_batch([pa.array(last[k : k + 1]) for k in (0, 2, 1)], names=["pivot", "node", "n"])
 
 
+def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sums over each row of how far two tables of bytes are apart."""
+    return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+
+
 class _Parts:
-    """The part counts of the sets of a region, compared over as many parts as the smaller of two sets has."""
+    """The part counts of sets, compared over as many parts as the smaller of two sets has."""
 
-    def __init__(self, n: np.ndarray, parts: list[bytes], percent: int):
+    def __init__(self, n: np.ndarray, parts: pa.Array, percent: int):
         self.n, self.percent = n, percent
-        self.own = np.array([len(x) for x in parts])
+        self.own = pa.compute.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         self.doubled = (-(-100 // percent) - 1).bit_length()  # how often the parts of a set that may link can have doubled
         self.at = {}  # number of parts: the sets with so many or some more, and their counts over so many
-        for width in np.unique(self.own).tolist():
+        parts = parts.cast(pa.large_binary())
+        edge = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
+        flat = np.frombuffer(parts.buffers()[2], np.uint8)[edge[0] : edge[-1]]
+        widths = np.unique(self.own).tolist()
+        counts = {w: flat[np.repeat(self.own == w, self.own)].reshape(-1, w) for w in widths}
+        for width in widths:
             who = np.flatnonzero((self.own >= width) & (self.own <= width << self.doubled))
-            rows = np.empty((who.size, width), np.int16)
-            for k, x in enumerate(who.tolist()):
-                rows[k] = np.minimum(np.frombuffer(parts[x], np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int64), 255)
+            rows = np.empty((who.size, width), np.uint8)
+            for w in np.unique(self.own[who]).tolist():
+                rows[self.own[who] == w] = counts[w] if w == width else np.minimum(counts[w].reshape(-1, width, w // width).sum(axis=2, dtype=np.int64), 255)
             self.at[width] = who, rows
 
     def near(self, i: int) -> np.ndarray:
@@ -188,32 +250,84 @@ class _Parts:
         for width in (int(self.own[i]) >> d for d in range(self.doubled + 1)):
             if width in self.at:
                 who, rows = self.at[width]
-                apart = np.abs(rows - rows[np.searchsorted(who, i)]).sum(axis=1, dtype=np.int64)
+                apart = _differences(rows, rows[np.searchsorted(who, i)])
                 found = who[links((self.n[who] + self.n[i] - apart) // 2, self.n[i], self.n[who], self.percent)]
                 out.append(found if width == self.own[i] else found[self.own[found] == width])
         return np.concatenate(out)
 
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The same of pairs of sets: whether each may link."""
+        out = np.zeros(i.size, bool)
+        less, more = np.minimum(self.own[i], self.own[j]), np.maximum(self.own[i], self.own[j])
+        for width, (who, rows) in self.at.items():
+            alike = np.flatnonzero((less == width) & (more <= width << self.doubled))
+            step = max(1, PAIR_BYTES // width)
+            for at in range(0, alike.size, step):
+                pair = alike[at : at + step]
+                a, b = i[pair], j[pair]
+                apart = _differences(rows[np.searchsorted(who, a)], rows[np.searchsorted(who, b)])
+                out[pair] = links((self.n[a] + self.n[b] - apart) // 2, self.n[a], self.n[b], self.percent)
+        return out
+
+
+def _join_few(n: np.ndarray, parts: pa.Array, size: np.ndarray, percent: int) -> np.ndarray:
+    """Of the sets of small regions, one region of `size` sets after another: the first that each one joins, through others too."""
+    begin = np.repeat(np.cumsum(size) - size, size)
+    place = np.arange(n.size) - begin
+    j = np.repeat(np.arange(n.size), place)  # each set with all before it in its region
+    i = begin[j] + np.arange(j.size) - np.repeat(np.cumsum(place) - place, place)
+    alike = links(np.minimum(n[i], n[j]), n[i], n[j], percent)
+    i, j = i[alike], j[alike]
+    near = _Parts(n, parts, percent).may_link(i, j)
+    i, j = i[near], j[near]
+    root = np.arange(n.size)
+    while i.size:
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
 
 def _joins(batches, most: int, percent: int):
     """From rows (pivot, node, n, parts) sorted by pivot: edges that join the sets of a region that may link.
 
-    Every set outside the largest join of its region is held against all others, so no pair is missed. A region of
-    more than `most` sets, or of as many bytes of parts as 16 times so many usual ones, is joined as a whole along its
-    sizes.
+    All pairs of a region of up to FEW sets are compared; in a larger one every set outside the largest join is held
+    against all others, so no pair is missed. A region of more than `most` sets, or of as many bytes of parts as 16
+    times so many usual ones, is joined as a whole along its sizes.
     """
-    for rows in _groups(batches):
-        node, n = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-        size = node.size
-        if size < 2:
-            continue
-        if size > most or pa.compute.sum(pa.compute.binary_length(rows.column(3))).as_py() > 16 * most * PARTS:
-            order = np.argsort(n, kind="stable")
-            step = 100 * n[order[:-1]] >= percent * n[order[1:]]
-            src, dst = node[order[1:]][step], node[order[:-1]][step]
-        else:
-            parts = _Parts(n, rows.column(3).to_pylist(), percent)
-            root, turned = np.arange(size), np.zeros(size, bool)
-            i = size // 2
+
+    def edges(node, root):
+        differ = root != np.arange(node.size)
+        if differ.any():
+            yield pa.record_batch([pa.array(node[differ]), pa.array(node[root[differ]])], names=["src", "dst"])
+
+    for rows, cut in _runs(batches):
+        size = np.diff(cut)
+        held = np.concatenate([[0], np.cumsum(pa.compute.binary_length(rows.column(3)).to_numpy(), dtype=np.int64)])
+        held = held[cut[1:]] - held[cut[:-1]]
+        whole = (size > most) | (held > 16 * most * PARTS)
+        few = np.flatnonzero((size > 1) & (size <= FEW) & ~whole)
+        for some in np.split(few, np.flatnonzero(np.diff(np.cumsum(held[few]) // FEW_BYTES)) + 1):
+            if some.size:
+                a, b = some[0], some[-1] + 1
+                taken = rows.slice(cut[a], cut[b] - cut[a]).filter(np.repeat(np.isin(np.arange(a, b), some), size[a:b]))
+                yield from edges(taken.column(1).to_numpy(), _join_few(taken.column(2).to_numpy(), _one(taken.column(3)), size[some], percent))
+        for k in np.flatnonzero((size > 1) & ((size > FEW) | whole)).tolist():
+            group = rows.slice(cut[k], size[k])
+            node, n = group.column(1).to_numpy(), group.column(2).to_numpy()
+            root = np.arange(node.size)
+            if whole[k]:
+                order = np.argsort(n, kind="stable")
+                step = 100 * n[order[:-1]] >= percent * n[order[1:]]
+                src, dst = node[order[1:]][step], node[order[:-1]][step]
+                if src.size:
+                    yield pa.record_batch([pa.array(src), pa.array(dst)], names=["src", "dst"])
+                continue
+            parts, turned = _Parts(n, _one(group.column(3)), percent), np.zeros(node.size, bool)
+            i = node.size // 2
             while i is not None:
                 turned[i] = True
                 found = np.unique(root[parts.near(i)])
@@ -221,10 +335,7 @@ def _joins(batches, most: int, percent: int):
                 value, count = np.unique(root, return_counts=True)
                 rest = np.flatnonzero(~turned & (root != value[count.argmax()]))
                 i = int(rest[0]) if rest.size else None
-            differ = root != np.arange(size)
-            src, dst = node[differ], node[root[differ]]
-        if src.size:
-            yield pa.record_batch([pa.array(src), pa.array(dst)], names=["src", "dst"])
+            yield from edges(node, root)
 
 
 # --- recursion within a region --------------------------------------------------------------------------------
@@ -332,8 +443,13 @@ class _Region:
             self.solve(cell)
 
 
-def _groups(batches, key: int = 0):
-    """The rows of each key, from batches sorted by it."""
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    """A column as one array."""
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
+def _runs(batches, key: int = 0):
+    """From batches sorted by a key: rows of whole keys, and where each key begins and the last one ends."""
     carried = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -343,11 +459,18 @@ def _groups(batches, key: int = 0):
             continue
         keys = rows.column(key).to_numpy()
         cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-        for a, b in zip(cut[:-2], cut[1:-1], strict=True):
-            yield rows.slice(a, b - a)
+        if cut.size > 2:
+            yield rows.slice(0, cut[-2]), cut[:-1]
         carried = rows.slice(cut[-2])
     if carried is not None and carried.num_rows:
-        yield carried
+        yield carried, np.array([0, carried.num_rows])
+
+
+def _groups(batches, key: int = 0):
+    """The rows of each key, from batches sorted by it."""
+    for rows, cut in _runs(batches, key):
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield rows.slice(a, b - a)
 
 
 def _solve(batches, percent: int):
@@ -472,7 +595,7 @@ def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots:
 
     def sets(batches):
         for batch in batches:
-            made = [shingles_of(t, width).astype("<u8").tobytes() for t in _column(batch, 3)]
+            made = [s.astype("<u8").tobytes() for s in shingle_sets(_column(batch, 3), width)]
             yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.binary())], names=["region", "node", "n", "set"])
 
     # A plan that is the same at every size: never the speakers to all texts.

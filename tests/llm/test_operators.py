@@ -366,6 +366,54 @@ def test_jaccard_parts():
             assert len(set(root)) == 3
 
 
+def test_jaccard_many_small_regions(monkeypatch):
+    """Small regions are compared together, not one by one, and join as all their pairs say, wherever the batches end."""
+    rng = np.random.default_rng(6)
+    rows, pivot = [], 0
+    for size in [2] * 400 + [1, 3, 9, 64, 65, 90, 2, 2]:
+        pivot += 1
+        base = np.unique(rng.integers(0, 1 << 63, 4300 if size == 9 else 120, np.uint64) * np.uint64(2))  # 9: over 256 and 512 parts
+        for _ in range(size):
+            s = np.unique(np.append(base[rng.random(base.size) > rng.choice([0.02, 0.3])], rng.integers(0, 1 << 63, 5, np.uint64)))
+            rows.append((pivot, len(rows), s.size, jaccard._parts(s)))
+    assert {len(r[3]) for r in rows} == {256, 512}
+    want = list(range(len(rows)))
+    for p, x, n, parts in rows:
+        for q, y, m, others in rows[max(0, x - 90) : x]:
+            if p == q:
+                least = min(len(parts), len(others))
+                u, v = (np.minimum(np.frombuffer(z, np.uint8).reshape(least, -1).sum(axis=1, dtype=int), 255) for z in (parts, others))
+                if 100 * ((n + m - abs(u - v).sum()) // 2) >= 85 * (n + m - (n + m - abs(u - v).sum()) // 2):
+                    want = [want[y] if r == want[x] else r for r in want]
+    assert 100 < len(set(want)) < len(rows) - 100
+    made, init = [], jaccard._Parts.__init__
+    monkeypatch.setattr(jaccard._Parts, "__init__", lambda self, *a: made.append(1) or init(self, *a))
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    for size in (10000, 300, 7):
+        made.clear()
+        cut = [rows[k : k + size] for k in range(0, len(rows), size)]
+        batches = [pa.record_batch([pa.array(x, t) for x, t in zip(zip(*part, strict=True), types, strict=True)], names=["pivot", "node", "n", "parts"]) for part in cut]
+        got = list(range(len(rows)))
+        for batch in jaccard._joins(batches, 4096, 85):
+            for x, y in zip(batch["src"].to_pylist(), batch["dst"].to_pylist(), strict=True):
+                got = [got[x] if r == got[y] else r for r in got]
+        assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+        assert len(made) <= 2 + 1 + len(cut)  # each large region, and the small ones of a batch; what the last batch leaves
+
+
+def test_jaccard_shingles():
+    """Texts that are hashed together have the sets and names of each alone."""
+    texts_ = ["a b c d e a b c d", "", None, "a b", "A  b", "x", "a b c", "a b c d", " ".join(f"w{k % 50}" for k in range(70000)), "d e f g", " "]
+    found = list(jaccard._named(texts_, 4))
+    for text, (s, node) in zip(texts_, found, strict=True):
+        words = (text or "").lower().split()
+        own = {tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3))} if words else set()
+        assert s.size == len(own) and (np.diff(s.astype(object)) > 0).all()
+        assert [x.tolist() for x, _ in jaccard._named([text], 4)] == [s.tolist()] and [n for _, n in jaccard._named([text], 4)] == [node]
+        assert (node is None) == (not words)
+    assert found[3][1] == found[4][1] and len({n for _, n in found if n}) == 7
+
+
 def test_jaccard_met():
     """Of a region the sets stay that have another of like size, wherever the batches end."""
     rows = [(1, 10, 5), (1, 10, 5), (1, 10, 6), (1, 20, 7), (1, 100, 8), (1, 120, 9), (2, 50, 5), (3, 50, 5), (3, 70, 6), (4, 80, 1), (4, 90, 2)]
