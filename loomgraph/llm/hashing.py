@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 
@@ -37,6 +38,49 @@ def chain(names: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
+#: Of each byte: whether it is white space, and A-Z lower-cased; of each number of bytes: the mask of so many in 64 bits.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are hashed together with other words; longer ones are hashed one by one.
+_LONG = 64
+
+
+def lower_word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, A-Z lower-cased, one text after another, and how many words each text has.
+
+    The bytes of all texts are taken at once: eight at a time are a number, and those of a word are mixed in turn.
+    """
+    if not len(texts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    texts = texts.fill_null("").cast(pa.large_binary())
+    edge = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    size = int(edge[-1] - edge[0])
+    if not size:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    flat = np.frombuffer(texts.buffers()[2], np.uint8)[edge[0] : edge[-1]]
+    edge = edge - edge[0]
+    held = ~_SPACE[flat]
+    first, last = held.copy(), held.copy()
+    first[1:] &= ~held[:-1]
+    last[:-1] &= ~held[1:]
+    cut = edge[(edge > 0) & (edge < size)]  # a word ends where its text does
+    first[cut], last[cut - 1] = held[cut], held[cut - 1]
+    begin = np.flatnonzero(first)
+    length = np.flatnonzero(last) + 1 - begin
+    lower = np.zeros(size + 8, np.uint8)
+    lower[:size] = _LOWER[flat]
+    eight = np.ndarray((size,), "<u8", lower, strides=(1,))
+    out = mix((eight[begin] & _MASK[np.minimum(length, 8)]) + length.astype(np.uint64) * BASE)
+    rest = np.flatnonzero(length > 8)
+    for k in range(8, _LONG, 8):
+        out[rest] = mix(out[rest] + (eight[begin[rest] + k] & _MASK[np.minimum(length[rest] - k, 8)]))
+        rest = rest[length[rest] > k + 8]
+    for i in rest.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(lower[begin[i] : begin[i] + length[i]].tobytes())
+    return out, np.diff(np.searchsorted(begin, edge))
+
+
 def unused(columns: list[str], name: str) -> str:
     """`name`, with underscores before it until no column has it (names do not differ by case)."""
     taken = {c.lower() for c in columns}

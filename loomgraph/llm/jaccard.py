@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import runtime
-from loomgraph.llm.hashing import BASE, chain, hashes, mix, unused
+from loomgraph.llm.hashing import BASE, chain, lower_word_hashes, mix, unused
 from loomgraph.operators.connectivity import connected_components
 
 #: Operator 3's words of a shingle and least Jaccard similarity, in percent.
@@ -37,8 +38,11 @@ PER_CLASS = 512
 #: Least number of parts of all shingles that a set's shingles are counted in, and most shingles a part on average.
 PARTS = 256
 PER_PART = 16
-#: Words or shingles that are hashed at once, unless one text has more.
+#: Shingles that are hashed at once, and bytes of text, unless one text has more.
 RUN = 1 << 15
+RUN_BYTES = 1 << 18
+#: Rows of windows that are compared at once: batches are small, for texts.
+MEET_ROWS = 1 << 16
 #: Sets of a region whose pairs are all compared, together with those of other small regions; the bytes of parts that are
 #: held so at once, and those of one side of the pairs that are compared at once.
 FEW = 64
@@ -46,16 +50,17 @@ FEW_BYTES = 1 << 22
 PAIR_BYTES = 1 << 19
 
 
-def _shingles(run: list[list[bytes]], width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, given as words; one for the whole sequence where it has fewer."""
-    names = hashes([word for words in run for word in words])
+def _shingles(run: pa.Array, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; one for the whole sequence where it has fewer words."""
+    names, count = lower_word_hashes(run)
     every = chain(names, width)  # those that begin in one text and end in another are not taken
     out, begin = [], 0
-    for words in run:
-        n = len(words)
+    for n in count.tolist():
         if n >= width:
             s = np.sort(every[begin : begin + n - width + 1])
-            s = s[np.append(True, s[1:] != s[:-1])]
+            new = s[1:] != s[:-1]
+            if not new.all():
+                s = s[np.append(True, new)]
         elif n:
             s = mix(chain(names[begin : begin + n], n) + np.uint64(n))
         else:
@@ -66,15 +71,13 @@ def _shingles(run: list[list[bytes]], width: int) -> list[np.ndarray]:
 
 
 def shingle_sets(texts, width: int = WIDTH):
-    """The shingle hashes of each text, made for runs of texts at once: most texts are short."""
-    run, held = [], 0
-    for text in texts:
-        run.append(text.encode().lower().split() if text else [])
-        held += len(run[-1])
-        if held >= RUN:
-            yield from _shingles(run, width)
-            run, held = [], 0
-    yield from _shingles(run, width)
+    """The shingle hashes of each text of a list or column, made for runs of texts at once: most texts are short."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.large_string())
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64)
+    cut = np.flatnonzero(np.diff(size // RUN_BYTES)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)], strict=True):
+        yield from _shingles(texts.slice(a, b - a), width)
 
 
 def shingles_of(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -127,10 +130,6 @@ def links(overlap, a, b, percent: int = PERCENT):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def _column(batch, k):
-    return (x.as_py() for x in batch.column(k))
-
-
 # --- signatures and the order of shingles ---------------------------------------------------------------------
 
 
@@ -156,7 +155,7 @@ def _describe(batches, at_once: int, width: int):
     sets, known, size = [], set(), 0
     for batch in batches:
         nodes, ns, parts = [], [], []
-        for s, node in _named(_column(batch, 2), width):
+        for s, node in _named(batch.column(2), width):
             nodes.append(node)
             ns.append(s.size)
             parts.append(_parts(s) if s.size else None)
@@ -187,7 +186,7 @@ def _windows(batches, order, width: int, percent: int, at_once: int = 1 << 16):
     known: set[int] = set()
     for batch in batches:
         pivots, nodes, ns = [], [], []
-        for s, node in _named(_column(batch, 0), width):
+        for s, node in _named(batch.column(0), width):
             if node is None or node in known:
                 continue
             if len(known) >= at_once:
@@ -202,11 +201,23 @@ def _windows(batches, order, width: int, percent: int, at_once: int = 1 << 16):
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in (pivots, nodes, ns)], names=["pivot", "node", "n"])
 
 
+def _many(batches):
+    """The rows of three columns of numbers, some batches together."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1))
+        n += batch.num_rows
+        if n >= MEET_ROWS:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def _met(batches, percent: int):
     """From rows sorted by (pivot, n, node): each set of a region once, where the next smaller or larger set there is near in size."""
     last, kept = None, False  # the row before, and whether it has met the one before that
-    for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+    for rows in _many(batches):
         if last is not None:
             rows = np.concatenate([last[None], rows])
         rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
@@ -229,7 +240,7 @@ class _Parts:
 
     def __init__(self, n: np.ndarray, parts: pa.Array, percent: int):
         self.n, self.percent = n, percent
-        self.own = pa.compute.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.own = pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         self.doubled = (-(-100 // percent) - 1).bit_length()  # how often the parts of a set that may link can have doubled
         self.at = {}  # number of parts: the sets with so many or some more, and their counts over so many
         parts = parts.cast(pa.large_binary())
@@ -306,7 +317,7 @@ def _joins(batches, most: int, percent: int):
 
     for rows, cut in _runs(batches):
         size = np.diff(cut)
-        held = np.concatenate([[0], np.cumsum(pa.compute.binary_length(rows.column(3)).to_numpy(), dtype=np.int64)])
+        held = np.concatenate([[0], np.cumsum(pc.binary_length(rows.column(3)).to_numpy(), dtype=np.int64)])
         held = held[cut[1:]] - held[cut[:-1]]
         whole = (size > most) | (held > 16 * most * PARTS)
         few = np.flatnonzero((size > 1) & (size <= FEW) & ~whole)
@@ -595,7 +606,7 @@ def classes(docs: DataFrame, at_once: int = 1_000_000, most: int = 4096, pivots:
 
     def sets(batches):
         for batch in batches:
-            made = [s.astype("<u8").tobytes() for s in shingle_sets(_column(batch, 3), width)]
+            made = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column(3), width)]
             yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.binary())], names=["region", "node", "n", "set"])
 
     # A plan that is the same at every size: never the speakers to all texts.

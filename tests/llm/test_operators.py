@@ -414,6 +414,29 @@ def test_jaccard_shingles():
     assert found[3][1] == found[4][1] and len({n for _, n in found if n}) == 7
 
 
+def test_jaccard_words_at_once(monkeypatch):
+    """The words of many texts are hashed together, only very long ones alone, and are equal where the lower-cased words are."""
+    from loomgraph.llm import hashing
+
+    rng = np.random.default_rng(7)
+    chars = [*"aAbBzZ\x00\x1f\x0e\x08@[`{éÉ漢", "\x85", "\xa0", "\u3000", *" \t\n\x0b\x0c\r", " ", " "]
+    texts_ = ["".join(rng.choice(chars, n)) for n in rng.integers(0, 300, 300)] + ["", None, " ", "x", "x\x00", "x" * 64, "X" * 64, "x" * 65, "x" * 1000, "X" * 1000 + "  ", "x" * 999 + "y"]
+    texts_ += ["".join(rng.choice(["q", "Q", "\x00"], n)) for n in range(1, 40) for _ in range(20)]
+    made, one = [], hashing.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(hashing.xxhash, "xxh3_64_intdigest", lambda w: made.append(w) or one(w))
+    words = [(t or "").encode().lower().split() for t in texts_]
+    flat = [w for ws in words for w in ws]
+    for column in (pa.array(texts_), pa.array(texts_, pa.large_string()), pa.array(["a b", *texts_, "c"]).slice(1, len(texts_))):
+        names, count = hashing.lower_word_hashes(column)
+        assert count.tolist() == [len(w) for w in words] and names.size == len(flat)
+        assert len(set(zip(flat, names.tolist(), strict=True))) == len(set(flat)) == len(set(names.tolist()))
+    assert {len(w) > 64 for w in made} == {True}
+    made.clear()
+    sets = list(jaccard.shingle_sets(pa.array(["a b c d e f"] * 3 + [None, "A b  C d"])))
+    assert [s.size for s in sets] == [3, 3, 3, 0, 1] and sets[4][0] in sets[0] and not made
+    assert list(jaccard.shingle_sets(pa.array([], pa.string()))) == []
+
+
 def test_jaccard_met():
     """Of a region the sets stay that have another of like size, wherever the batches end."""
     rows = [(1, 10, 5), (1, 10, 5), (1, 10, 6), (1, 20, 7), (1, 100, 8), (1, 120, 9), (2, 50, 5), (3, 50, 5), (3, 70, 6), (4, 80, 1), (4, 90, 2)]
