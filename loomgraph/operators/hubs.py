@@ -1,8 +1,9 @@
 """A two-hop distance index: labels (v, direction, hub, dist) such that the best common hub gives the distance.
 
-Labels are made by pruned searches from hubs in descending degree, in one task for each weak component (each search
-prunes by the labels of those before); the sizes are checked. Queries are a join of labels. Edge insertions start from stored labels and resume
-the searches of the hubs of both ends, a batch of arcs at once and in parts that share only what the arcs reach; vertices
+Hubs rank in descending degree, and a hub labels a vertex if no shortest path between them meets a higher one: what searches
+that prune by the labels of hubs before them leave. That needs no order, so the hubs of a weak component are dealt to tasks, each with all
+arcs of the component; the sizes are checked. Queries are a join of labels. Edge insertions start from stored labels: the searches of
+the hubs of both ends resume, a batch of arcs at once, or in large components run again; vertices
 come and go while they have no edges; edge removals are not supported.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import BWD, FWD, Graph, GraphError, relabel
@@ -24,6 +25,10 @@ NO_PATH = 100
 GROUPS = 4096
 #: Beyond any distance, and how many places of a table or labels a worker takes at once.
 FAR, CELLS = 1 << 29, 1 << 23
+#: A task searches from at least so many hubs, and a weak component has at most so many tasks.
+HUBS, PARTS = 2048, 128
+#: Insertions resume searches in one task where labels and arcs are at most so many, else those searches run again.
+RESUMED = 1_000_000
 #: Forests of at most so many edges are joined to components in one task.
 FOREST = 1_000_000
 LABELS = "v long, direction string, hub long, dist int"
@@ -225,10 +230,123 @@ class LabelArrays:
         return out
 
 
-def _checked(dealt: DataFrame, keys: list[str], most_edges: int) -> DataFrame:
-    if not dealt.groupBy(*keys).count().where(F.col("count") > most_edges).isEmpty():
+class HubSearches:
+    """Searches along arcs from many hubs at once, a bit for each, for one worker; vertices are numbers 0 .. n-1 in order of rank.
+
+    Beside what a hub reaches at a level is kept what it reaches past a higher vertex, on any shortest path. The rest are
+    its labels, and a hub stops at a level without any.
+    """
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray):
+        self.n, (self.at, self.near) = n, _by_vertex(n, src, dst)
+        self.hubs_at_once = 64 * max(1, min(8, CELLS // max(1, n, len(src))))
+
+    def thin(self) -> bool:
+        """Whether levels from the highest vertex hold so few that their number is what a search costs."""
+        seen, front, left = np.zeros(self.n, bool), np.arange(min(self.n, 1)), 64 + self.n // 64
+        while len(front) and left:
+            seen[front] = True
+            front = np.unique(self.near[_spans(self.at[front], self.at[front + 1] - self.at[front])])
+            front, left = front[~seen[front]], left - 1
+        return not left
+
+    def labels(self, hubs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(v, hub, dist) of some hubs, in ascending order; at most hubs_at_once."""
+        k, words = len(hubs), -(-len(hubs) // 64)
+        row, front = hubs, np.zeros((k, words), np.uint64)
+        front[np.arange(k), np.arange(k) // 64] = np.uint64(1) << (np.arange(k) % 64).astype(np.uint64)
+        past, seen = np.zeros_like(front), np.zeros((self.n, words), np.uint64)
+        seen[row] = front
+        found, level = [(hubs, hubs, np.zeros(k, np.int32))], 0
+        while len(row):
+            level += 1
+            count = self.at[row + 1] - self.at[row]
+            head, tail = self.near[_spans(self.at[row], count)], np.repeat(np.arange(len(row)), count)
+            order = np.argsort(head, kind="stable")
+            row, both = self._any(head[order], np.concatenate([front, past], axis=1)[tail[order]])
+            front = both[:, :words] & ~seen[row]
+            seen[row] |= front
+            # Hubs beyond a vertex reach it past itself.
+            own = np.clip(np.searchsorted(hubs, row, "right")[:, None] - 64 * np.arange(words), 0, 64)
+            beyond = np.where(own < 64, ~np.uint64(0) << np.minimum(own, 63).astype(np.uint64), np.uint64(0))
+            past = front & (both[:, words:] | beyond)
+            label = front & ~past
+            going = np.bitwise_or.reduce(label, axis=0)
+            front, past = front & going, past & going
+            use = np.flatnonzero(front.any(axis=1))
+            row, front, past, label = row[use], front[use], past[use], label[use].ravel()
+            where = np.flatnonzero(label)
+            bit = np.flatnonzero(np.unpackbits(label[where].astype("<u8").view(np.uint8), bitorder="little"))
+            place = where[bit // 64]
+            found.append((row[place // words], hubs[place % words * 64 + bit % 64], np.full(len(bit), level, np.int32)))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    @staticmethod
+    def _any(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys, which are sorted, once each, and the bits that any of their rows has: neighbours are joined until none are left."""
+        while (same := key[1:] == key[:-1]).any():
+            first = np.flatnonzero(np.append(True, ~same))
+            even = np.flatnonzero((np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))) % 2 == 0)
+            joined, pair = rows[even], np.append(same, False)[even]
+            joined[pair] |= rows[even[pair] + 1]
+            key, rows = key[even], joined
+        return key, rows
+
+
+def _check(rows: DataFrame, most_edges: int) -> None:
+    if not rows.groupBy("g").count().where(F.col("count") > most_edges).isEmpty():
         raise GraphError("the graph is too large for one index task")
-    return spread(dealt, *keys, times=8)  # many tasks, for keys of unlike work
+
+
+def _components(arcs: DataFrame) -> tuple[DataFrame, Column]:
+    """(id, component) of ends of arcs, and where the vertex `id` goes by it: small components go together."""
+    named = connected_components(arcs.select("src", "dst"), small=FOREST)
+    return named, F.pmod(F.xxhash64(F.coalesce("component", "id")), F.lit(GROUPS)).alias("g")
+
+
+def _table(ids: np.ndarray, ranks: np.ndarray, d: str, v: np.ndarray, hub: np.ndarray, dist: np.ndarray):
+    import pyarrow as pa
+
+    return pa.table({"v": ids[v], "direction": pa.repeat(d, len(v)), "hub": ranks[hub], "dist": dist})
+
+
+def _searched(part: int, parts: int, rows):
+    """Labels of the hubs of one part: rows (kind, a, b) are vertices (id, rank), with the bits of kind for directions to search, and arcs (kind 4)."""
+    import pyarrow as pa
+
+    kind, a, b = (rows[c].to_numpy() for c in ("kind", "a", "b"))
+    vertex = np.flatnonzero(kind != 4)
+    vertex = vertex[np.argsort(b[vertex])]
+    ids, ranks, todo, n = a[vertex], b[vertex], kind[vertex], len(vertex)
+    by_id = np.argsort(ids)
+    ends = [by_id[np.searchsorted(ids, c[kind == 4], sorter=by_id)] for c in (a, b)]
+    ways = {FWD: HubSearches(n, *ends), BWD: HubSearches(n, *ends[::-1])}
+    out = [_table(ids, ranks, FWD, *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.int32))]
+    if (todo == 3).all() and any(way.thin() for way in ways.values()):  # hubs one by one
+        if part == 0:
+            index = PrunedLabels(list(range(n)), list(zip(*[c.tolist() for c in ends], strict=True)), dict(enumerate(range(n)))).build()
+            for d, label in index.label.items():
+                size = np.array([len(own) for own in label.values()])
+                hub, dist = (np.fromiter((x for own in label.values() for x in pick(own)), np.int64, size.sum()) for pick in (dict.keys, dict.values))
+                out.append(_table(ids, ranks, d, np.repeat(np.fromiter(label, np.int64, n), size), hub, dist.astype(np.int32)))
+        return pa.concat_tables(out)
+    for bit, (d, way) in enumerate(ways.items()):
+        hubs = np.flatnonzero(todo >> bit & 1)
+        for k in range(part * way.hubs_at_once, len(hubs), parts * way.hubs_at_once):
+            out.append(_table(ids, ranks, d, *way.labels(hubs[k : k + way.hubs_at_once])))
+    return pa.concat_tables(out)
+
+
+def _search(places: DataFrame, arcs: DataFrame, most_edges: int) -> DataFrame:
+    """Labels of the hubs places(id, rank, kind, g) along arcs(src, dst) between them; kind is 1 for FWD, 2 for BWD, 3 for both, 0 for neither."""
+    rows = places.select("g", "kind", F.col("id").alias("a"), F.col("rank").alias("b"))
+    rows = rows.union(arcs.join(places.select(F.col("id").alias("src"), "g"), "src").select("g", F.lit(4), "src", "dst"))
+    rows = materialise(rows, "hub_rows")
+    _check(rows, most_edges)
+    parts = rows.where("kind <> 4").groupBy("g").agg(F.least(F.lit(PARTS), F.ceil(F.count("*") / HUBS)).cast("int").alias("parts"))
+    dealt = rows.join(parts, "g").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    keys = ["g", "p", "parts"]
+    return spread(dealt, *keys, times=8).groupBy(*keys).applyInArrow(lambda key, rows: _searched(key[1].as_py(), key[2].as_py(), rows), LABELS)
 
 
 def build(g: Graph, added: DataFrame | None = None, most_edges: int = 5_000_000) -> DataFrame:
@@ -237,24 +355,13 @@ def build(g: Graph, added: DataFrame | None = None, most_edges: int = 5_000_000)
     `hub` is a rank: hubs are numbered in descending degree, ties by id. No path leaves a weak component, so components
     share nothing but the order of hubs.
     """
-    import pandas as pd
-
     ends = g.edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     order = g.vertices.join(ends, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "id")
     ranked = order.select("id").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
     ranked = g.vertices.sparkSession.createDataFrame(ranked, "id long, rank long")
-    rows = ranked.select(F.lit(True).alias("vertex"), F.col("id").alias("a"), F.col("rank").alias("b")).union(g.edges.select(F.lit(False), "src", "dst"))
-    named = connected_components(g.edges.select("src", "dst"), small=FOREST).select(F.col("id").alias("a"), "component")
-    group = F.pmod(F.xxhash64(F.coalesce("component", "a")), F.lit(GROUPS))  # small components go together
-    dealt = materialise(rows.join(named, "a", "left").select("vertex", "a", "b", group.alias("g")), "hub_rows")
-
-    def run(pdf):
-        ids, arcs = pdf[pdf.vertex], pdf[~pdf.vertex]
-        order = dict(zip(ids["b"].tolist(), ids["a"].tolist(), strict=True))
-        index = PrunedLabels(list(order.values()), list(zip(arcs["a"].tolist(), arcs["b"].tolist(), strict=True)), order).build()
-        return pd.DataFrame(index.rows(), columns=["v", "direction", "hub", "dist"])
-
-    labels = materialise(_checked(dealt, ["g"], most_edges).groupBy("g").applyInPandas(lambda pdf: run(pdf), LABELS), "hub_labels")
+    named, group = _components(g.edges)
+    places = materialise(ranked.join(named, "id", "left").select("id", "rank", F.lit(3).alias("kind"), group), "hub_places")
+    labels = materialise(_search(places, g.edges.select("src", "dst"), most_edges), "hub_labels")
     if added is None:
         return labels
     out = insert(labels, g.edges, added, most_edges)
@@ -263,75 +370,55 @@ def build(g: Graph, added: DataFrame | None = None, most_edges: int = 5_000_000)
 
 
 def _inserted(rows):
-    """Labels of one part: rows (kind, a, b, far, own) are vertices 0 (rank, id), labels 1 and 2, arcs 3, new arcs 4, all by rank."""
+    """Labels of one group: rows (kind, a, b, far) are vertices 0 (rank, id), labels 1 and 2, arcs 3, new arcs 4, all by rank."""
     import pyarrow as pa
 
-    kind, a, b, far, own = (rows[c].to_numpy() for c in ("kind", "a", "b", "far", "own"))
+    kind, a, b, far = (rows[c].to_numpy() for c in ("kind", "a", "b", "far"))
     ranks, at = np.unique(a[kind == 0], return_index=True)
-    ids, own = b[kind == 0][at], own[kind == 0][at]
+    ids = b[kind == 0][at]
     a, b = np.searchsorted(ranks, a), np.where(kind == 0, 0, np.searchsorted(ranks, b))
     index = LabelArrays(len(ranks), (a[kind == 3], b[kind == 3]), {d: (a[kind == k], b[kind == k], far[kind == k]) for k, d in ((1, FWD), (2, BWD))})
     new = np.unique(a[kind == 4] * len(ranks) + b[kind == 4])
     index.insert(new // len(ranks), new % len(ranks))
-    out = []
-    for d in (FWD, BWD):
-        v, hub, dist = index.rows(d)
-        mine = own[hub if d == FWD else v]
-        out.append(pa.table({"v": ids[v[mine]], "direction": pa.repeat(d, int(mine.sum())), "hub": ranks[hub[mine]], "dist": dist[mine]}))
-    return pa.concat_tables(out)
-
-
-def _placed(labels: DataFrame, arcs: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, rank, g, part, parts): where each vertex of the index goes when the arcs `new`, which are among `arcs`, come.
-
-    What the new arcs' ends reach is a set R that no path leaves. The rest falls into weak components without R; each goes,
-    with all of R in its weak component, to one of `parts` parts of about the size of R. In R, `part` is null.
-    """
-    ends = new.select(F.col("dst").alias("v")).distinct()
-    met = labels.where(F.col("direction") == BWD).join(ends, "v", "left_semi").select("hub").distinct()
-    reached = labels.where(F.col("direction") == FWD).join(met, "hub", "left_semi").select(F.col("v").alias("id")).distinct()
-    reached = materialise(reached.withColumn("inside", F.lit(True)), "reached")
-    outer = arcs.join(reached.select(F.col("id").alias("src")), "src", "left_anti").join(reached.select(F.col("id").alias("dst")), "dst", "left_anti")
-    whole, piece = connected_components(arcs, small=FOREST), connected_components(outer.select("src", "dst"), small=FOREST).withColumnRenamed("component", "piece")
-    vertices = labels.where((F.col("dist") == 0) & (F.col("direction") == FWD)).select(F.col("v").alias("id"), F.col("hub").alias("rank"))
-    named = vertices.join(whole, "id", "left").join(piece, "id", "left").join(reached, "id", "left")
-    named = named.select("id", "rank", F.coalesce("component", "id").alias("component"), F.coalesce("piece", "id").alias("piece"), "inside")
-    named = materialise(named, "hub_places")
-    sizes = named.groupBy("component").agg(F.count("inside").alias("k"))
-    pieces = named.where("inside is null").groupBy("component", "piece").agg(F.count("*").alias("n")).join(sizes, "component")
-    before = F.sum("n").over(Window.partitionBy("component").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
-    part = F.when(F.col("k") > 0, F.floor(F.coalesce(before, F.lit(0)) / F.col("k"))).otherwise(0).cast("int")
-    pieces = materialise(pieces.select("component", "piece", F.dense_rank().over(Window.partitionBy("component").orderBy(part)).alias("part")), "hub_pieces")
-    parts = pieces.groupBy("component").agg(F.max("part").alias("parts"))
-    place = named.join(parts, "component", "left").join(pieces, ["component", "piece"], "left")
-    group = F.pmod(F.xxhash64("component"), F.lit(GROUPS))  # small components go together
-    part = F.when(F.col("inside").isNull(), F.col("part") - 1)
-    return materialise(place.select("id", "rank", group.alias("g"), part.alias("part"), F.coalesce("parts", F.lit(1)).alias("parts")), "hub_places")
+    return pa.concat_tables([_table(ids, ranks, d, *index.rows(d)) for d in (FWD, BWD)])
 
 
 def insert(labels: DataFrame, edges: DataFrame, added: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
     """Labels of edges(src, dst) after the arcs of added(seq, src, dst); only the searches that these reach run again.
 
-    The ends of the arcs must be vertices of the index. Ranks stay. A label goes with the vertex that its path leaves.
+    The ends of the arcs must be vertices of the index. Ranks stay. A search that reaches the tail of a new arc (backward:
+    the head) only past a higher hub is left to that hub, so the hubs in the labels of the ends are all that run again.
     """
     new = materialise(added.select("src", "dst").distinct(), "added")
     old = edges.select("src", "dst")
-    place = _placed(labels, old.union(new), new)
-    known = place.select("id")
-    if not old.union(new).select(F.explode(F.array("src", "dst")).alias("id")).join(known, "id", "left_anti").isEmpty():
+    arcs = old.union(new)
+    named, group = _components(arcs)
+    vertices = labels.where((F.col("dist") == 0) & (F.col("direction") == FWD)).select(F.col("v").alias("id"), F.col("hub").alias("rank"))
+    places = materialise(vertices.join(named, "id", "left").select("id", "rank", group), "hub_places")
+    if not arcs.select(F.explode(F.array("src", "dst")).alias("id")).join(places, "id", "left_anti").isEmpty():
         raise GraphError("an end of an arc is not in the index")
-    ends, none = place.select(F.col("id").alias("dst"), F.col("rank").alias("b")), F.lit(0)
-    rank = place.select(F.col("id").alias("v"), F.col("rank").alias("a"))
-    rows = place.select(F.lit(0).alias("kind"), F.col("rank").alias("a"), F.col("id").alias("b"), none.alias("far"), "g", "part", "parts")
-    into = labels.where(F.col("direction") == FWD).join(rank, "v").join(place.withColumnRenamed("rank", "hub"), "hub")
-    rows = rows.union(into.select(F.lit(1), "a", "hub", "dist", "g", "part", "parts"))
-    out = labels.where(F.col("direction") == BWD).join(place.withColumnRenamed("id", "v"), "v")
-    rows = rows.union(out.select(F.lit(2), "rank", "hub", "dist", "g", "part", "parts"))
-    for kind, arcs in ((3, old), (4, new)):
-        rows = rows.union(arcs.join(place.withColumnRenamed("id", "src"), "src").join(ends, "dst").select(F.lit(kind), "rank", "b", none, "g", "part", "parts"))
-    every = F.when(F.col("part").isNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    dealt = materialise(rows.select("kind", "a", "b", "far", "g", "part", F.explode(every).alias("p")).withColumn("own", F.col("part").isNotNull() | (F.col("p") == 0)).drop("part"), "hub_rows")
-    return materialise(_checked(dealt, ["g", "p"], most_edges).groupBy("g", "p").applyInArrow(lambda rows: _inserted(rows), LABELS), "hub_labels")
+    of_v, of_src = (places.select(F.col("id").alias(c), "rank", "g") for c in ("v", "src"))
+    ends = places.select(F.col("id").alias("dst"), F.col("rank").alias("b"))
+    # Groups that have new arcs, and whether these are too large to resume.
+    rows = labels.select("v").union(arcs.select("src")).groupBy("v").count().join(of_v, "v").groupBy("g").agg((F.sum("count") > min(RESUMED, most_edges)).alias("large"))
+    rows = materialise(rows.join(new.join(of_src, "src").select("g").distinct(), "g"), "hub_groups")
+    small, large = rows.where("not large").select("g"), rows.where("large").select("g")
+
+    none, here = F.lit(0), places.join(small, "g")
+    rows = here.select(F.lit(0).alias("kind"), F.col("rank").alias("a"), F.col("id").alias("b"), none.alias("far"), "g")
+    near = labels.join(of_v.join(small, "g"), "v").select(F.when(F.col("direction") == FWD, 1).otherwise(2), "rank", "hub", "dist", "g")
+    rows = rows.union(near)
+    for kind, some in ((3, old), (4, new)):
+        rows = rows.union(some.join(of_src.join(small, "g"), "src").join(ends, "dst").select(F.lit(kind), "rank", "b", none, "g"))
+    resumed = spread(rows, "g", times=8).groupBy("g").applyInArrow(lambda rows: _inserted(rows), LABELS)
+
+    met = [labels.where(F.col("direction") == d).join(new.select(F.col(c).alias("v")).distinct(), "v", "left_semi").select("direction", "hub") for d, c in ((FWD, "src"), (BWD, "dst"))]
+    again = materialise(met[0].union(met[1]).distinct(), "hubs_again")
+    kind = again.groupBy(F.col("hub").alias("rank")).agg(F.sum(F.when(F.col("direction") == FWD, 1).otherwise(2)).cast("int").alias("kind"))
+    inside = places.join(large, "g").join(kind, "rank", "left").select("id", "rank", F.coalesce("kind", none).alias("kind"), "g")
+    searched = _search(materialise(inside, "hub_places"), arcs, most_edges)
+    kept = labels.join(of_v.join(small, "g", "left_anti").select("v"), "v").join(again, ["direction", "hub"], "left_anti").select("v", "direction", "hub", "dist")
+    return materialise(kept.union(resumed).union(searched), "hub_labels")
 
 
 def add_vertices(labels: DataFrame, ids: DataFrame) -> DataFrame:
@@ -361,9 +448,28 @@ def query(labels: DataFrame, pairs: DataFrame, no_path: int = NO_PATH) -> DataFr
     return pairs.join(met, ["u", "v"], "left").select("u", "v", F.when(F.col("u") == F.col("v"), 0).otherwise(F.coalesce("dist", F.lit(no_path))).alias("dist"))
 
 
+def _by_end(batches):
+    """Labels (v, back, hub, dist) of some vertices, all of theirs, as one row for each vertex and direction: (v, direction, hubs, dists)."""
+    import pyarrow as pa
+
+    rows = list(batches)
+    if rows:
+        v, back, hubs, dists = (c.to_numpy() for c in pa.Table.from_batches(rows).columns)
+        order = np.lexsort((hubs, back, v))
+        v, back, hubs, dists = v[order], back[order], hubs[order], dists[order]
+        first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (back[1:] != back[:-1])))
+        for k in range(0, len(first), 1000):
+            some = first[k : k + 1000]
+            at = np.append(some, first[k + 1000] if k + 1000 < len(first) else len(v)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(at - at[0], c[at[0] : at[-1]]) for c in (hubs, dists)]
+            yield pa.record_batch([pa.array(v[some]), pa.array(np.where(back[some] == 1, BWD, FWD)), *lists], names=["v", "direction", "hubs", "dists"])
+
+
 def _meet(no_path: int):
-    """For a block of ends u and all v of their key: (u, v, dist), by scattering the labels of v that share a hub with u."""
-    import numpy as np
+    """For a block of ends u and all v of their key: (u, v, dist), by the labels of v that share a hub with u.
+
+    Hubs that many v have are rows over all v, the most frequent first, so far as these are few; labels of other hubs are scattered.
+    """
     import pyarrow as pa
 
     def flat(column):
@@ -372,35 +478,51 @@ def _meet(no_path: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         us, vs = left["u"].to_numpy(), right["v"].to_numpy()
-        dist = np.full((len(us), len(vs)), np.iinfo(np.int32).max, np.int32)
-        if len(us) and len(vs):
-            at, hubs = flat(right["hubs"])
+        (start, own), away = flat(left["hubs"]), flat(left["dists"])[1]
+        (at, hubs), far = flat(right["hubs"]), flat(right["dists"])[1]
+        short = max(away.max(initial=0), far.max(initial=0)) < 1 << 13
+        kind, none = (np.int16, 1 << 14) if short else (np.int32, FAR)
+        dist = np.full((len(us), len(vs)), none, kind)
+        if len(own) and len(hubs):
             order = np.argsort(hubs, kind="stable")
             place = np.repeat(np.arange(len(vs)), np.diff(at))[order]
-            far = flat(right["dists"])[1][order]
-            known, first = np.unique(hubs[order], return_index=True)
-            last = np.append(first[1:], len(hubs))
-            at, hubs = flat(left["hubs"])
-            away = flat(left["dists"])[1]
-            for row, (a, b) in zip(dist, zip(at[:-1].tolist(), at[1:].tolist(), strict=True), strict=True):
-                _, mine, theirs = np.intersect1d(hubs[a:b], known, assume_unique=True, return_indices=True)
-                for d, f, t in zip(away[a:b][mine].tolist(), first[theirs].tolist(), last[theirs].tolist(), strict=True):
+            far = far[order].astype(kind)
+            known, first, count = np.unique(hubs[order], return_index=True, return_counts=True)
+            often = np.argsort(-count, kind="stable")[: 4 * CELLS // len(vs)]
+            often = often[count[often] * 16 > len(vs)]
+            rows = np.full((len(often), len(vs)), none, kind)
+            for row, h in zip(rows, often.tolist(), strict=True):
+                row[place[first[h] : first[h] + count[h]]] = far[first[h] : first[h] + count[h]]
+            row_of = np.full(len(known), -1)
+            row_of[often] = np.arange(len(often))
+            there = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            met = np.flatnonzero(known[there] == own)  # labels of some u whose hub some v has
+            there, via = there[met], np.empty(len(vs), kind)
+            ways = (np.searchsorted(start, met, "right") - 1, away[met], row_of[there], first[there], first[there] + count[there])
+            for u, d, row, f, t in zip(*[c.tolist() for c in ways], strict=True):
+                best = dist[u]
+                if row >= 0:
+                    np.add(rows[row], kind(d), out=via)
+                    np.minimum(best, via, out=best)
+                else:
                     where = place[f:t]  # a vertex has a hub once
-                    row[where] = np.minimum(row[where], far[f:t] + np.int32(d))
-            dist[dist == np.iinfo(np.int32).max] = no_path
-            dist[us[:, None] == vs] = 0
+                    best[where] = np.minimum(best[where], far[f:t] + kind(d))
+        dist = dist.astype(np.int32)
+        dist[dist >= none] = no_path
+        dist[us[:, None] == vs] = 0
         return pa.table({"u": np.repeat(us, len(vs)), "v": np.tile(vs, len(us)), "dist": dist.ravel()})
 
     return lambda left, right: run(left, right)
 
 
-def query_by_key(labels: DataFrame, us: DataFrame, vs: DataFrame, no_path: int = NO_PATH, block: int = 4_000_000) -> DataFrame:
+def query_by_key(labels: DataFrame, us: DataFrame, vs: DataFrame, no_path: int = NO_PATH, block: int = 8_000_000) -> DataFrame:
     """What query() gives for all pairs of us(u, key) and vs(v, key) with equal keys, each of which must be distinct.
 
     Pairs without a common hub cost only their row. A task takes some u of a key, for about `block` pairs, and all v of it.
     """
-    own = labels.groupBy("v", "direction").agg(F.sort_array(F.collect_list(F.struct("hub", "dist"))).alias("l"))  # as many as its labels
-    own = materialise(own.select("v", "direction", F.col("l.hub").alias("hubs"), F.col("l.dist").alias("dists")), "labels_by_vertex")
+    own = spread(labels.select("v", (F.col("direction") == BWD).cast("long").alias("back"), "hub", "dist"), "v", times=32)
+    own = own.mapInArrow(lambda rows: _by_end(rows), "v long, direction string, hubs array<long>, dists array<int>")
+    own = materialise(own, "labels_by_vertex")
     none = [F.coalesce("hubs", F.array().cast("array<long>")).alias("hubs"), F.coalesce("dists", F.array().cast("array<int>")).alias("dists")]
     both = us.groupBy("key").agg(F.count("*").alias("nu")).join(vs.groupBy("key").agg(F.count("*").alias("nv")), "key")
     parts = materialise(both.select("key", F.greatest(F.lit(1), F.ceil(F.col("nu") * F.col("nv") / block)).cast("int").alias("parts")), "key_parts")

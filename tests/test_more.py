@@ -13,7 +13,7 @@ from conftest import pairs
 from loomgraph import cli, streaming, viz
 from loomgraph.graph import Graph, GraphError, make_undirected
 from loomgraph.operators import boxcover, connectivity, cuttree, hubs, paths
-from loomgraph.runtime import fresh_path, trim
+from loomgraph.runtime import fresh_path, spread, trim
 from loomgraph.sources import files, generators
 
 
@@ -165,6 +165,43 @@ def test_labels_of_components_apart(spark, edges):
     assert pairs(hubs.build(g, added), "v", "direction", "hub", "dist") == sorted(index.rows())
 
 
+def test_searches_of_many_hubs():
+    """Hubs that do not see each other's labels, a bit each: the labels of searches one by one."""
+    for seed, n in ((1, 50), (2, 200), (3, 300)):
+        rng = random.Random(seed)
+        arcs = [(rng.randrange(n), min(rng.randrange(n), rng.randrange(n))) for _ in range(2 * n)]
+        index = hubs.PrunedLabels(list(range(n)), arcs, dict(enumerate(range(n)))).build()
+        src, dst = (np.array([e[k] for e in arcs]) for k in (0, 1))
+        for d, way in (("fwd", hubs.HubSearches(n, src, dst)), ("bwd", hubs.HubSearches(n, dst, src))):
+            got = [row for some in np.split(np.arange(n), [1, 66, 130]) if len(some) for row in zip(*[c.tolist() for c in way.labels(some)], strict=True)]
+            assert sorted(got) == sorted((v, hub, dist) for v, side, hub, dist in index.rows() if side == d)
+            assert not way.thin()
+
+
+def test_one_component_over_tasks(spark, edges, monkeypatch):
+    """The hubs of one weak component are dealt to many tasks, also where insertions reach it; a long path is one task's work."""
+    monkeypatch.setattr(hubs, "HUBS", 40)
+    rng = random.Random(5)
+    for arcs in ([(k, rng.randrange(k)) for k in range(1, 200)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(200)], [(k * 77 % 200, (k + 1) * 77 % 200) for k in range(199)]):
+        index = hubs.PrunedLabels(list(range(200)), arcs).build()
+        g = Graph.of(edges(arcs), 200)
+        dealt = []
+        with monkeypatch.context() as m:
+            m.setattr(hubs, "spread", lambda df, *keys, **more: dealt.append(df.select(*keys).distinct().count()) or spread(df, *keys, **more))
+            labels = hubs.build(g)
+        assert dealt == [5]
+        assert pairs(labels, "v", "direction", "hub", "dist") == sorted(index.rows())
+    monkeypatch.setattr(hubs, "RESUMED", 0)
+    extra = [(rng.randrange(200), rng.randrange(9)) for _ in range(9)]
+    labels = hubs.insert(labels, g.edges, spark.createDataFrame([(k, *e) for k, e in enumerate(extra)], "seq long, src long, dst long"))
+    index, fresh = hubs.PrunedLabels(list(range(200)), [], index.order), hubs.PrunedLabels(list(range(200)), arcs + extra, index.order).build()
+    rows = pairs(labels, "v", "direction", "hub", "dist")
+    assert set(fresh.rows()) <= set(rows) and len({r[:3] for r in rows}) == len(rows)
+    for v, d, hub, dist in rows:
+        index.label[d][v][hub] = dist
+    assert all(index.query(u, v) == fresh.query(u, v) for u in range(200) for v in range(200))
+
+
 def test_distances_by_key(spark, edges):
     """The pairs of each key in blocks: what the join of labels gives, with vertices that the index lacks, and no pair twice."""
     rng = random.Random(6)
