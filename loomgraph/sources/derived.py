@@ -29,7 +29,8 @@ def supplier_edges(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame
     """Supplier -> the suppliers (three, or `most`) that most often share an order with it."""
     (line,) = _read(spark, sf_dir, "lineitem")
     a, b = line.select("l_orderkey", F.col("l_suppkey").alias("src")), line.select("l_orderkey", F.col("l_suppkey").alias("dst"))
-    pairs = a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
+    pairs = a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").repartition("src")  # once for counts and window
+    pairs = pairs.groupBy("src", "dst").agg(F.count("*").alias("w"))
     return _top(pairs, most)
 
 
