@@ -332,7 +332,8 @@ def _searched(part: int, parts: int, rows):
         return pa.concat_tables(out)
     for bit, (d, way) in enumerate(ways.items()):
         hubs = np.flatnonzero(todo >> bit & 1)
-        for k in range(part * way.hubs_at_once, len(hubs), parts * way.hubs_at_once):
+        hubs = hubs[np.arange(len(hubs)) // 64 % parts == part]  # words in turn: high hubs have most labels
+        for k in range(0, len(hubs), way.hubs_at_once):
             out.append(_table(ids, ranks, d, *way.labels(hubs[k : k + way.hubs_at_once])))
     return pa.concat_tables(out)
 
